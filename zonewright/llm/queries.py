@@ -8,6 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewright.llm.mixing import mix_documents
+from zonewright.llm.packing import pack_documents
+from zonewright.llm.sharding import external_shuffle, write_shards
+
+
+WORD_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary file lies; the same place on every machine of the cluster."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +30,20 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "weight", "copies", "first_finish")
 
 
+def op3_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = write_shards(external_shuffle(_table(spark, sf_dir, "documents"), 16))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    return shards.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file(WORD_VOCABULARY))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources,)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_shard_documents, op4_pack_sequences)}
 
 
 def oracle_sql() -> dict[str, str]:
