@@ -1,0 +1,37 @@
+"""Connected components of an edge table, in rounds of joins and grouped minima."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from zonewright.llm.common import materialize
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
+def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
+    """(node, root) for every node that has an edge to a smaller node; root is the smallest node it reaches.
+
+    edges: (a, b) of one ordered type, in any direction; loops and repeats do no harm, an empty table gives none.
+    Alternating large-star and small-star rounds: each is one grouped minimum and one join on the node, so a hub's
+    edges are summed before they move, and the number of rounds grows with the logarithm of the size. Every round is
+    stored, and the edges of one round never outnumber those of the round before.
+    """
+    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), label)
+    before = _state(edges)
+    while before[0]:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        near = large.join(least, "a")
+        small = near.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        edges = materialize(small.distinct(), label)
+        now = _state(edges)
+        if now == before:
+            break
+        before = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
