@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonewright.llm.line_dedup import dedup_lines
 from zonewright.llm.mixing import mix_documents
 from zonewright.llm.packing import pack_documents
+from zonewright.llm.quality_rules import rule_table
 from zonewright.llm.sharding import external_shuffle, write_shards
 from zonewright.llm.simhash import hex_mark, near_duplicate_groups
 
@@ -43,13 +45,21 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_table(_table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicate_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", hex_mark(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_shard_documents, op4_pack_sequences, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_shard_documents, op4_pack_sequences, op6_quality_rules, op8_line_dedup, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

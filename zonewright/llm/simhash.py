@@ -174,13 +174,17 @@ def near_duplicate_groups(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> D
 
 
 def keep_one_each(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest doc_id (nulls last), of equal ones the first."""
+    """docs with one row of each near-duplicate group: that of the smallest doc_id (nulls last), of equal ones the first.
+
+    The rows that go are stored apart; Spark broadcasts them if their size allows, and joins by row number otherwise.
+    """
     columns = docs.columns
     kept = materialize(docs.withColumn("_zw_rid", F.monotonically_increasing_id()), "simhash-rows")
     groups = near_duplicate_groups(kept, words_each)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
-    best = groups.groupBy("root").agg(first.alias("best")).select(F.col("best.rid").alias("_zw_rid"))
-    return kept.join(best, "_zw_rid", "left_semi").select(*columns)
+    best = groups.groupBy("root").agg(first.alias("best")).select(F.col("best.rid").alias("rid"))
+    gone = materialize(groups.select("rid").join(best, "rid", "left_anti").select(F.col("rid").alias("_zw_rid")), "simhash-gone")
+    return kept.join(gone, "_zw_rid", "left_anti").select(*columns)
 
 
 def hex_mark(fp: Column) -> Column:
