@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Public vocabulary files.
+WORD_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary file lies; the same place on every machine of the cluster."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 _own_roots: dict[str, str] = {}
 
 

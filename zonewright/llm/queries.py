@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from zonewright.llm.common import WORD_VOCABULARY, tokenizer_file
+from zonewright.llm.license_scan import license_table
 from zonewright.llm.line_dedup import dedup_lines
 from zonewright.llm.mixing import mix_documents
 from zonewright.llm.packing import pack_documents
@@ -15,16 +18,6 @@ from zonewright.llm.sharding import external_shuffle, write_shards
 from zonewright.llm.simhash import hex_mark, near_duplicate_groups
 
 
-WORD_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
-
-
-def tokenizer_file(name: str) -> str:
-    """Where a public vocabulary file lies; the same place on every machine of the cluster."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,13 +46,21 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_table(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicate_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", hex_mark(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_shard_documents, op4_pack_sequences, op6_quality_rules, op8_line_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_shard_documents, op4_pack_sequences, op6_quality_rules, op8_line_dedup, op9_license_scan, op10_simhash_near_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
