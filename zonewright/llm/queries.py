@@ -16,6 +16,7 @@ from zonewright.llm.packing import pack_documents
 from zonewright.llm.quality_rules import rule_table
 from zonewright.llm.sharding import external_shuffle, write_shards
 from zonewright.llm.simhash import hex_mark, near_duplicate_groups
+from zonewright.llm.vector_search import nearest_neighbours
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_table(_table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -60,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_shard_documents, op4_pack_sequences, op6_quality_rules, op8_line_dedup, op9_license_scan, op10_simhash_near_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_shard_documents, op4_pack_sequences, op6_quality_rules, op7_nearest_neighbours, op8_line_dedup, op9_license_scan, op10_simhash_near_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
