@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from zonewright.llm.common import WORD_VOCABULARY, tokenizer_file
+from zonewright.llm.common import PIECE_VOCABULARY, WORD_VOCABULARY, tokenizer_file
 from zonewright.llm.license_scan import license_table
 from zonewright.llm.line_dedup import dedup_lines
 from zonewright.llm.mixing import mix_documents
 from zonewright.llm.packing import pack_documents
+from zonewright.llm.quality_model import quality_posteriors
 from zonewright.llm.quality_rules import rule_table
 from zonewright.llm.sharding import external_shuffle, write_shards
 from zonewright.llm.simhash import hex_mark, near_duplicate_groups
+from zonewright.llm.token_counts import token_counts
 from zonewright.llm.vector_search import nearest_neighbours
 
 
@@ -27,6 +29,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "weight", "copies", "first_finish")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_posteriors(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = write_shards(external_shuffle(_table(spark, sf_dir, "documents"), 16))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
@@ -39,6 +45,10 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_file(PIECE_VOCABULARY))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_table(_table(spark, sf_dir, "documents"))
 
@@ -65,7 +75,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_shard_documents, op4_pack_sequences, op6_quality_rules, op7_nearest_neighbours, op8_line_dedup, op9_license_scan, op10_simhash_near_dedup, pipeline)}
+    every = (
+        op1_mix_sources,
+        op2_quality_classifier,
+        op3_shard_documents,
+        op4_pack_sequences,
+        op5_token_counts,
+        op6_quality_rules,
+        op7_nearest_neighbours,
+        op8_line_dedup,
+        op9_license_scan,
+        op10_simhash_near_dedup,
+        pipeline,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
