@@ -179,12 +179,12 @@ def shared_edge(first: Iterable | None, second: Iterable | None) -> tuple[float,
     return metres, touch
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def overlap_area(first: pd.Series, second: pd.Series) -> pd.Series:
     return pd.Series([overlap(a, b) for a, b in zip(first, second)], dtype=float)
 
 
-@F.pandas_udf("struct<metres:double,touch:boolean>")
+@F.pandas_udf(T.StructType([T.StructField("metres", T.DoubleType()), T.StructField("touch", T.BooleanType())]))
 def border(first: pd.Series, second: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([shared_edge(a, b) for a, b in zip(first, second)], columns=["metres", "touch"])
 
@@ -245,7 +245,7 @@ def voronoi_cells(points: DataFrame) -> DataFrame:
             ring = clip_half(ring, a, b, (a * a + b * b) / 2)
         return [[[{"x": a + x, "y": b + y} for a, b in ring]]]
 
-    @F.pandas_udf(T._parse_datatype_string(SHAPE))
+    @F.pandas_udf(SHAPE)
     def cells(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([cell(a, b) for a, b in zip(x, y)])
 
