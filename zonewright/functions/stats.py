@@ -19,6 +19,7 @@ def no_nan(c: Column) -> Column:
 
 
 def correlation(x: Column, y: Column) -> Column:
-    """Pearson's, as an aggregate; null where either side is constant."""
+    """Pearson's over the rows that have both, as an aggregate; null where either side is constant."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
     scale = F.stddev_pop(x) * F.stddev_pop(y)
     return F.covar_pop(x, y) / F.when(scale > TINY, scale)
