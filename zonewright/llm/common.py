@@ -1,13 +1,12 @@
-"""Shared pieces: scratch tables in the cluster's shared folder, word patterns, global numbering."""
+"""Shared pieces: word patterns, vocabulary files, global numbering."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonewright.functions.storage import materialize
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,36 +22,6 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-_own_roots: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_roots:
-        _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="zonewright-")
-    return _own_roots[app]
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/zonewright/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet to the shared scratch folder and read it back.
-
-    This cuts lineage: a lost executor costs a re-read, never a re-run of what came before, and row ids or
-    partition numbers that were made on the way hold for every later reader.
-    """
-    path = scratch_path(df.sparkSession, label)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column) -> Column:
     """Words of a text as long; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -84,8 +53,6 @@ def sorted_parts(df: DataFrame, order: list[str], label: str) -> DataFrame:
 
 def running_offsets(stored: DataFrame, amount: Column) -> DataFrame:
     """(part, part_amount, before): each part's amount and the sum over the parts before it. One row per part."""
-    from pyspark.sql import Window
-
     sums = stored.groupBy("part").agg(F.sum(amount).alias("part_amount"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return sums.withColumn("before", F.coalesce(F.sum("part_amount").over(ahead), F.lit(0)))

@@ -23,23 +23,23 @@ FAMILIES = [
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)", "bsd 4 clause"),
     ("0bsd", "bsd", "(?:zero clause bsd|bsd zero clause|0bsd)", "0bsd"),
     ("isc", "isc", "isc", "isc"),
-    ("gpl-1", "g", "(?:gnu )?(?:general public licen[cs]e|gpl) (?:version |v )?1(?: 0)?|gplv1", "gpl 1 0(?: only| or later)?"),
-    ("gpl-2", "g", "(?:gnu )?(?:general public licen[cs]e|gpl) (?:version |v )?2(?: 0)?|gplv2", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3", "g", "(?:gnu )?(?:general public licen[cs]e|gpl) (?:version |v )?3(?: 0)?|gplv3", "gpl 3 0(?: only| or later)?"),
+    ("gpl-1", "g", "(?:gnu )?(?:general public licen[cs]e|gpl) (?:version |v ?)?1(?: 0)?|gplv1", "gpl 1 0(?: only| or later)?"),
+    ("gpl-2", "g", "(?:gnu )?(?:general public licen[cs]e|gpl) (?:version |v ?)?2(?: 0)?|gplv2", "gpl 2 0(?: only| or later)?"),
+    ("gpl-3", "g", "(?:gnu )?(?:general public licen[cs]e|gpl) (?:version |v ?)?3(?: 0)?|gplv3", "gpl 3 0(?: only| or later)?"),
     ("gpl", "g", "gnu (?:general public licen[cs]e|gpl)", "gpl"),
-    ("lgpl-2", "l", "(?:gnu )?(?:lesser|library) (?:general public licen[cs]e|gpl) (?:version |v )?2(?: [01])?|lgplv2", "lgpl 2 [01](?: only| or later)?"),
-    ("lgpl-3", "l", "(?:gnu )?lesser (?:general public licen[cs]e|gpl) (?:version |v )?3(?: 0)?|lgplv3", "lgpl 3 0(?: only| or later)?"),
+    ("lgpl-2", "l", "(?:gnu )?(?:lesser|library) (?:general public licen[cs]e|gpl) (?:version |v ?)?2(?: [01])?|lgplv2", "lgpl 2 [01](?: only| or later)?"),
+    ("lgpl-3", "l", "(?:gnu )?lesser (?:general public licen[cs]e|gpl) (?:version |v ?)?3(?: 0)?|lgplv3", "lgpl 3 0(?: only| or later)?"),
     ("lgpl", "l", "gnu (?:lesser|library) (?:general public licen[cs]e|gpl)", "lgpl"),
-    ("agpl-3", "a", "(?:gnu )?affero (?:general public licen[cs]e|gpl) (?:version |v )?3(?: 0)?|agplv3", "agpl 3 0(?: only| or later)?"),
+    ("agpl-3", "a", "(?:gnu )?affero (?:general public licen[cs]e|gpl) (?:version |v ?)?3(?: 0)?|agplv3", "agpl 3 0(?: only| or later)?"),
     ("agpl", "affero", "gnu affero (?:general public licen[cs]e|gpl)", "agpl"),
     ("gfdl", "documentation", "gnu free documentation licen[cs]e(?: version 1(?: [123])?)?", "gfdl 1 [123](?: only| or later)?"),
-    ("mpl-1", "mozilla", "mozilla public licen[cs]e (?:version |v )?1(?: [01])?", "mpl 1 [01]"),
-    ("mpl-2", "mozilla", "mozilla public licen[cs]e (?:version |v )?2(?: 0)?", "mpl 2 0"),
-    ("epl-1", "eclipse", "eclipse public licen[cs]e (?:version |v )?1(?: 0)?", "epl 1 0"),
-    ("epl-2", "eclipse", "eclipse public licen[cs]e (?:version |v )?2(?: 0)?", "epl 2 0"),
-    ("cddl", "distribution", "common development and distribution licen[cs]e(?: (?:version |v )?1(?: [01])?)?", "cddl 1 [01]"),
-    ("cpl", "common", "common public licen[cs]e(?: (?:version |v )?1(?: 0)?)?", "cpl 1 0"),
-    ("eupl", "european", "european union public licen[cs]e(?: (?:version |v )?1(?: [012])?)?", "eupl 1 [012]"),
+    ("mpl-1", "mozilla", "mozilla public licen[cs]e (?:version |v ?)?1(?: [01])?", "mpl 1 [01]"),
+    ("mpl-2", "mozilla", "mozilla public licen[cs]e (?:version |v ?)?2(?: 0)?", "mpl 2 0"),
+    ("epl-1", "eclipse", "eclipse public licen[cs]e (?:version |v ?)?1(?: 0)?", "epl 1 0"),
+    ("epl-2", "eclipse", "eclipse public licen[cs]e (?:version |v ?)?2(?: 0)?", "epl 2 0"),
+    ("cddl", "distribution", "common development and distribution licen[cs]e(?: (?:version |v ?)?1(?: [01])?)?", "cddl 1 [01]"),
+    ("cpl", "common", "common public licen[cs]e(?: (?:version |v ?)?1(?: 0)?)?", "cpl 1 0"),
+    ("eupl", "european", "european union public licen[cs]e(?: (?:version |v ?)?1(?: [012])?)?", "eupl 1 [012]"),
     ("artistic-1", "artistic", "artistic licen[cs]e (?:version )?1(?: 0)?", "artistic 1 0"),
     ("artistic-2", "artistic", "artistic licen[cs]e (?:version )?2(?: 0)?", "artistic 2 0"),
     ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
@@ -56,15 +56,15 @@ FAMILIES = [
     ("ms-pl", "microsoft", "microsoft public licen[cs]e", "ms pl"),
     ("ms-rl", "microsoft", "microsoft reciprocal licen[cs]e", "ms rl"),
     ("ofl", "open", "(?:sil )?open font licen[cs]e(?: (?:version )?1(?: [01])?)?", "ofl 1 [01]"),
-    ("osl-3", "open", "open software licen[cs]e(?: (?:version |v )?3(?: 0)?)?", "osl 3 0"),
-    ("afl-3", "academic", "academic free licen[cs]e(?: (?:version |v )?3(?: 0)?)?", "afl 3 0"),
+    ("osl-3", "open", "open software licen[cs]e(?: (?:version |v ?)?3(?: 0)?)?", "osl 3 0"),
+    ("afl-3", "academic", "academic free licen[cs]e(?: (?:version |v ?)?3(?: 0)?)?", "afl 3 0"),
     ("ecl-2", "educational", "educational community licen[cs]e(?: (?:version )?2(?: 0)?)?", "ecl 2 0"),
     ("odbl", "open", "open (?:data commons )?(?:open )?database licen[cs]e(?: 1(?: 0)?)?", "odbl 1 0"),
     ("odc-by", "commons", "open data commons attribution licen[cs]e(?: 1(?: 0)?)?", "odc by 1 0"),
     ("pddl", "domain", "public domain dedication and licen[cs]e(?: 1(?: 0)?)?", "pddl 1 0"),
-    ("mulan", "mulan", "mulan (?:psl|permissive software licen[cs]e)(?: (?:v )?[12])?", "mulanpsl [12] 0"),
+    ("mulan", "mulan", "mulan (?:psl|permissive software licen[cs]e)(?: (?:v ?)?[12])?", "mulanpsl [12] 0"),
     ("elastic-2", "elastic", "elastic licen[cs]e(?: (?:version )?2(?: 0)?)?", "elastic 2 0"),
-    ("sspl", "server", "server side public licen[cs]e(?: (?:version |v )?1)?", "sspl 1 0"),
+    ("sspl", "server", "server side public licen[cs]e(?: (?:version |v ?)?1)?", "sspl 1 0"),
     ("busl", "business", "business source licen[cs]e(?: 1(?: 1)?)?", "busl 1 1"),
     ("cc0", "cc", "cc0(?: 1(?: 0)?)?|creative commons (?:zero|cc0)(?: 1(?: 0)?)?", "cc0 1 0"),
     ("cc-by", "c", "(?:cc by|creative commons attribution)(?: [1234](?: [05])?)?", "cc by [1234] [05]"),

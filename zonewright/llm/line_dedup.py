@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import materialize, source_key
+from zonewright.functions.storage import materialize
+from zonewright.llm.common import source_key
 
 #: A line on more than this share of its host's pages is boilerplate ...
 RATIO = 0.05

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import materialize, number_rows, running_offsets, sorted_parts, source_key, word_count
+from zonewright.functions.storage import materialize
+from zonewright.llm.common import number_rows, running_offsets, sorted_parts, source_key, word_count
 
 ROWS_A_BUCKET = 50_000
 

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import materialize, source_key
+from zonewright.functions.storage import materialize
+from zonewright.llm.common import source_key
 
 #: The classifier is fitted on at most so many labelled rows, those of the smallest seeded hash of doc_id.
 SAMPLE_ROWS = 20_000

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonewright.llm.common import materialize, source_key
+from zonewright.functions.storage import materialize
+from zonewright.llm.common import source_key
 
 SPACE, SYMBOLS, UPPER = b" \t\n\x0b\x0c\r", b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LEAST_WORDS = 50

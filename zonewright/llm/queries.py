@@ -12,6 +12,7 @@ from zonewright.llm.common import PIECE_VOCABULARY, WORD_VOCABULARY, tokenizer_f
 from zonewright.llm.license_scan import license_table
 from zonewright.llm.line_dedup import dedup_lines
 from zonewright.llm.mixing import mix_documents
+from zonewright.llm.oracles import license_scan_sql, line_dedup_sql, nearest_neighbours_sql, quality_rules_sql
 from zonewright.llm.packing import pack_documents
 from zonewright.llm.quality_model import quality_posteriors
 from zonewright.llm.quality_rules import rule_table
@@ -92,4 +93,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the others, the order of a shuffle, token ids, fitted weights and hashes are beyond SQL; tests have brute force."""
+    return {"op6_quality_rules": quality_rules_sql(), "op7_nearest_neighbours": nearest_neighbours_sql(), "op8_line_dedup": line_dedup_sql(), "op9_license_scan": license_scan_sql()}

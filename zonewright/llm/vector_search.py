@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import materialize, running_offsets, sorted_parts
+from zonewright.functions.storage import materialize
+from zonewright.llm.common import running_offsets, sorted_parts
 
 CURVES = 4
 #: Projected dimensions and bits of each; a key has DIMS * BITS bits.
@@ -110,7 +111,7 @@ def _nearest(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
         kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(some), np.inf)
         limit = np.minimum(kth, reach[at : at + 256] ** 2) + loose
         i, j = np.nonzero(rough <= limit[:, None])
-        exact = np.sqrt(((some[i] - x[j]) ** 2).sum(axis=1))
+        exact = np.sqrt(np.add.accumulate((some[i] - x[j]) ** 2, axis=1)[:, -1])  # summed in order, as SQL does
         order = np.lexsort((reps[j], exact, i))
         i, j, exact = i[order], j[order], exact[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
