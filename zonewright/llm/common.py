@@ -63,3 +63,14 @@ def number_rows(df: DataFrame, order: list[str], label: str, name: str = "positi
     stored = sorted_parts(df, order, label)
     offsets = running_offsets(stored, F.lit(1)).select("part", "before")
     return stored.join(offsets, "part").withColumn(name, (F.col("before") + F.col("place")).cast("long")).drop("part", "place", "before")
+
+
+def with_row_ids(docs: DataFrame, label: str) -> DataFrame:
+    """docs with _zw_rid: unlike for any two rows, and the same whenever the rows are read again.
+
+    Where every doc_id is there and stands once, it serves. Otherwise the rows are numbered and stored with their number.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        return docs.withColumn("_zw_rid", F.col("doc_id").cast("long"))
+    return materialize(docs.withColumn("_zw_rid", F.monotonically_increasing_id()), label)

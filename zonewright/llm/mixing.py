@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonewright.functions.storage import materialize
-from zonewright.llm.common import number_rows, running_offsets, sorted_parts, source_key, word_count
+from zonewright.llm.common import number_rows, running_offsets, sorted_parts, source_key, with_row_ids, word_count
 
 ROWS_A_BUCKET = 50_000
 
@@ -106,7 +106,7 @@ def mix_documents(docs: DataFrame, weights: DataFrame | None = None, **options)
 def mixed_rows(docs: DataFrame, weights: DataFrame | None = None, **options) -> DataFrame:
     """The documents of a mix with all their columns, each as often as the mix takes it; documents without words go."""
     columns = docs.columns
-    kept = materialize(docs.withColumn("_zw_rid", F.monotonically_increasing_id()), "mix-rows")
+    kept = with_row_ids(docs, "mix-rows")
     items = materialize(kept.select("doc_id", source_key(F.col("source")).alias("source_key"), word_count(F.col("text")).alias("size"), F.col("_zw_rid").alias("rid")), "mix-items")
     copies = fair_queue(items, weights, **options).filter((F.col("copies") > 0) & (F.col("size") > 0))
     copies = copies.select(F.col("rid").alias("_zw_rid"), F.col("copies").alias("_zw_copies"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewright.functions.storage import materialize
+from zonewright.llm.common import with_row_ids
 from zonewright.operators.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -179,7 +180,7 @@ def keep_one_each(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame
     The rows that go are stored apart; Spark broadcasts them if their size allows, and joins by row number otherwise.
     """
     columns = docs.columns
-    kept = materialize(docs.withColumn("_zw_rid", F.monotonically_increasing_id()), "simhash-rows")
+    kept = with_row_ids(docs, "simhash-rows")
     groups = near_duplicate_groups(kept, words_each)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     best = groups.groupBy("root").agg(first.alias("best")).select(F.col("best.rid").alias("rid"))
