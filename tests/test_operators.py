@@ -174,3 +174,13 @@ def test_majority_takes_the_smaller_name_of_equals(spark):
     shares = spark.createDataFrame([("u", "b", 0.5), ("u", "a", 0.5), ("v", "a", 0.2), ("v", "b", 0.8)], "unit_id string, cluster string, share double")
     rows = {r.unit_id: (r.majority_cluster, round(r.straddle_score, 9)) for r in allocate.majority(shares).collect()}
     assert rows == {"u": ("a", 0.5), "v": ("b", 0.2)}
+
+
+def test_shapes_of_unequal_rings_pass_through_spark(spark):
+    odd = HOLED + [[ring((9, 0), (12, 0), (10, 5))]]
+    df = spark.createDataFrame([("a", odd), ("b", box(0, 0, 20, 20))], f"id string, shape {geometry.SHAPE}")
+    got = {(r.child_id, r.parent_id): r.area for r in geometry.area_shares(df, df, 5.0).collect()}
+    assert abs(got["a", "b"] - 19.5) < 1e-9 and abs(got["a", "a"] - 19.5) < 1e-9
+    row = df.filter("id = 'a'").select(geometry.mend("shape").alias("shape"), geometry.representative_point("shape").alias("p"), geometry.crosses_itself("shape").alias("x")).first()
+    assert len(row["shape"]) == 2 and not row.x and geometry.inside(odd, row.p.x, row.p.y)
+    assert df.select(geometry.contains("shape", F.lit(2.0), F.lit(2.0)).alias("c"), "id").filter("c").collect()[0].id == "b"

@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 SHAPE = "array<array<array<struct<x:double,y:double>>>>"
 #: Coordinates closer than this are the same, in metres.
@@ -149,6 +150,97 @@ def overlap(first: Iterable | None, second: Iterable | None) -> float:
     return max(0.0, total)
 
 
+def mended(shape: Iterable | None) -> list:
+    """A shape without repeated points, spikes and rings of no area; outsides anticlockwise, holes clockwise.
+
+    Rings that cross themselves are not taken apart; crossing() finds them.
+    """
+    out = []
+    for polygon in polygons_of(shape):
+        rings = []
+        for ring in polygon:
+            points: list[Point] = []
+            for p in ring:
+                points.append(p)
+                while len(points) >= 2 and math.dist(points[-1], points[-2]) <= SNAP:
+                    points.pop()
+                while len(points) >= 3 and math.dist(points[-1], points[-3]) <= SNAP:  # out and back: a spike
+                    del points[-2:]
+            while len(points) > 1 and math.dist(points[0], points[-1]) <= SNAP:
+                points.pop()
+            if abs(signed_area(points)) > SNAP * SNAP:
+                rings.append([{"x": x, "y": y} for x, y in points])
+        if rings:
+            out.append(rings)
+    return out
+
+
+def crossing(shape: Iterable | None) -> bool:
+    """Whether any two edges of a shape cross, other than at common ends."""
+    edges = _edges(polygons_of(shape))
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    for i, (a, b) in enumerate(edges):
+        for c, d in edges[i + 1 :]:
+            if side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
+                return True
+    return False
+
+
+def inside(shape: Iterable | None, x: float, y: float) -> bool:
+    """Whether a point lies strictly within a shape: the border is outside."""
+    within = False
+    for (px, py), (qx, qy) in _edges(polygons_of(shape)):
+        length = math.hypot(qx - px, qy - py)
+        off = ((x - px) * (qy - py) - (y - py) * (qx - px)) / length
+        along = ((x - px) * (qx - px) + (y - py) * (qy - py)) / length
+        if abs(off) <= SNAP and -SNAP <= along <= length + SNAP:
+            return False
+        if (py > y) != (qy > y) and x < px + (y - py) * (qx - px) / (qy - py):
+            within = not within
+    return within
+
+
+def inner_point(shape: Iterable | None) -> Point | None:
+    """Some point within a shape: the middle of its longest run on a line at mid height of its largest polygon."""
+    polygons = polygons_of(shape)
+    if not polygons:
+        return None
+    largest = max(polygons, key=lambda p: abs(signed_area(p[0])))
+    heights = sorted({y for ring in largest for _, y in ring})
+    low, high = max(zip(heights, heights[1:]), key=lambda ab: ab[1] - ab[0])
+    y = (low + high) / 2
+    hits = sorted(px + (y - py) * (qx - px) / (qy - py) for (px, py), (qx, qy) in _edges([largest]) if (py > y) != (qy > y))
+    a, b = max(zip(hits[::2], hits[1::2]), key=lambda ab: ab[1] - ab[0])
+    return (a + b) / 2, y
+
+
+def outline(shapes: Iterable) -> list:
+    """The dissolved border of disjoint shapes, as rings of points: common border cancels, also where corners do not meet."""
+    polygons = [p for s in shapes for p in polygons_of(s)]
+    corners = {(round(x / SNAP), round(y / SNAP)): (x, y) for p in polygons for ring in p for x, y in ring}
+    count: dict[tuple, int] = {}
+    for (px, py), (qx, qy) in _edges(polygons):
+        length = math.hypot(qx - px, qy - py)
+        on = [(((x - px) * (qx - px) + (y - py) * (qy - py)) / length, k) for k, (x, y) in corners.items() if abs((x - px) * (qy - py) - (y - py) * (qx - px)) / length <= SNAP]
+        stops = [k for t, k in sorted(on) if -SNAP <= t <= length + SNAP]
+        for a, b in zip(stops, stops[1:]):
+            if count.get((b, a)):
+                count[b, a] -= 1
+            else:
+                count[a, b] = count.get((a, b), 0) + 1
+    after: dict[tuple, list] = {}
+    for (a, b), n in sorted(count.items()):
+        after.setdefault(a, []).extend([b] * n)
+    rings = []
+    while start := next((a for a in sorted(after) if after[a]), None):
+        ring, at = [], start
+        while after.get(at):
+            ring.append(at)
+            at = after[at].pop()
+        rings.append([corners[k] for k in ring])
+    return rings
+
+
 def _edges(polygons: list[list[list[Point]]]) -> list[tuple[Point, Point]]:
     return [(p, q) for polygon in polygons for ring in polygon for p, q in zip(ring, ring[1:] + ring[:1]) if p != q]
 
@@ -179,14 +271,46 @@ def shared_edge(first: Iterable | None, second: Iterable | None) -> tuple[float,
     return metres, touch
 
 
-@F.pandas_udf(T.DoubleType())
-def overlap_area(first: pd.Series, second: pd.Series) -> pd.Series:
-    return pd.Series([overlap(a, b) for a, b in zip(first, second)], dtype=float)
+POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+SHAPE_TYPE = T.ArrayType(T.ArrayType(T.ArrayType(POINT)))
+
+
+# Arrow functions see nested lists as they are, rings of unequal length included.
 
 
-@F.pandas_udf(T.StructType([T.StructField("metres", T.DoubleType()), T.StructField("touch", T.BooleanType())]))
-def border(first: pd.Series, second: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([shared_edge(a, b) for a, b in zip(first, second)], columns=["metres", "touch"])
+@F.arrow_udf(SHAPE_TYPE)
+def mend(shape: pa.Array) -> pa.Array:
+    return pa.array([None if s is None else mended(s) for s in shape.to_pylist()], to_arrow_type(SHAPE_TYPE))
+
+
+@F.arrow_udf(T.BooleanType())
+def crosses_itself(shape: pa.Array) -> pa.Array:
+    return pa.array([crossing(s) for s in shape.to_pylist()], pa.bool_())
+
+
+@F.arrow_udf(T.BooleanType())
+def contains(shape: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+    return pa.array([inside(*row) for row in zip(shape.to_pylist(), x.to_pylist(), y.to_pylist())], pa.bool_())
+
+
+@F.arrow_udf(POINT)
+def representative_point(shape: pa.Array) -> pa.Array:
+    found = [inner_point(s) for s in shape.to_pylist()]
+    return pa.array([None if p is None else {"x": p[0], "y": p[1]} for p in found], to_arrow_type(POINT))
+
+
+@F.arrow_udf(T.DoubleType())
+def overlap_area(first: pa.Array, second: pa.Array) -> pa.Array:
+    return pa.array([overlap(a, b) for a, b in zip(first.to_pylist(), second.to_pylist())], pa.float64())
+
+
+BORDER = T.StructType([T.StructField("metres", T.DoubleType()), T.StructField("touch", T.BooleanType())])
+
+
+@F.arrow_udf(BORDER)
+def border(first: pa.Array, second: pa.Array) -> pa.Array:
+    pairs = [shared_edge(a, b) for a, b in zip(first.to_pylist(), second.to_pylist())]
+    return pa.array([{"metres": m, "touch": t} for m, t in pairs], to_arrow_type(BORDER))
 
 
 def area_shares(children: DataFrame, parents: DataFrame, step: float) -> DataFrame:
@@ -245,9 +369,9 @@ def voronoi_cells(points: DataFrame) -> DataFrame:
             ring = clip_half(ring, a, b, (a * a + b * b) / 2)
         return [[[{"x": a + x, "y": b + y} for a, b in ring]]]
 
-    @F.pandas_udf(SHAPE)
-    def cells(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([cell(a, b) for a, b in zip(x, y)])
+    @F.arrow_udf(SHAPE_TYPE)
+    def cells(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([cell(a, b) for a, b in zip(x.to_pylist(), y.to_pylist())], to_arrow_type(SHAPE_TYPE))
 
     return points.select("point_id", cells(F.col("x").cast("double"), F.col("y").cast("double")).alias("shape"))
 
@@ -272,40 +396,59 @@ SHIFT = {"tx": -446.448, "ty": 125.157, "tz": -542.060, "s": 20.4894e-6, "rx": -
 GRID = {"f0": 0.9996012717, "lat0": 49.0, "lon0": -2.0, "e0": 400000.0, "n0": -100000.0}
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once and named: formulas that use it many times stay small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_national_grid(points: DataFrame, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:
     """points with x and y, metres of the British national grid: transverse Mercator after the shift, in columns only."""
-    a, b = WGS84
-    phi, lam = F.radians(latitude), F.radians(longitude)
-    e2 = (a * a - b * b) / (a * a)
-    nu = F.lit(a) / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
-    df = points.withColumns({"_px": nu * F.cos(phi) * F.cos(lam), "_py": nu * F.cos(phi) * F.sin(lam), "_pz": nu * (1 - e2) * F.sin(phi)})
     sec = math.pi / 180 / 3600
-    rx, ry, rz, s = SHIFT["rx"] * sec, SHIFT["ry"] * sec, SHIFT["rz"] * sec, 1 + SHIFT["s"]
-    x, y, z = F.col("_px"), F.col("_py"), F.col("_pz")
-    df = df.withColumns({"_qx": SHIFT["tx"] + x * s - y * rz + z * ry, "_qy": SHIFT["ty"] + x * rz + y * s - z * rx, "_qz": SHIFT["tz"] - x * ry + y * rx + z * s})
+    rx, ry, rz, scale = SHIFT["rx"] * sec, SHIFT["ry"] * sec, SHIFT["rz"] * sec, 1 + SHIFT["s"]
+
+    def earth_centred(phi: Column, lam: Column) -> Column:
+        a, b = WGS84
+        e2 = (a * a - b * b) / (a * a)
+        nu = F.lit(a) / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
+        return F.struct((nu * F.cos(phi) * F.cos(lam)).alias("x"), (nu * F.cos(phi) * F.sin(lam)).alias("y"), (nu * (1 - e2) * F.sin(phi)).alias("z"))
+
+    def shifted(v: Column) -> Column:
+        x = SHIFT["tx"] + v["x"] * scale - v["y"] * rz + v["z"] * ry
+        y = SHIFT["ty"] + v["x"] * rz + v["y"] * scale - v["z"] * rx
+        z = SHIFT["tz"] - v["x"] * ry + v["y"] * rx + v["z"] * scale
+        return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+
     a, b = AIRY
-    e2 = (a * a - b * b) / (a * a)
-    p, z = F.hypot("_qx", "_qy"), F.col("_qz")
-    df = df.withColumn("_p", p).withColumn("_lam", F.atan2("_qy", "_qx")).withColumn("_phi", F.atan2(z, p * (1 - e2)))
-    for _ in range(5):  # the latitude settles to far below a millimetre
-        nu = F.lit(a) / F.sqrt(1 - e2 * F.sin("_phi") * F.sin("_phi"))
-        df = df.withColumn("_phi", F.atan2(z + e2 * nu * F.sin("_phi"), F.col("_p")))
+    e2, n = (a * a - b * b) / (a * a), (a - b) / (a + b)
     f0, lat0, lon0 = GRID["f0"], math.radians(GRID["lat0"]), math.radians(GRID["lon0"])
-    n = (a - b) / (a + b)
-    phi, sin, cos = F.col("_phi"), F.sin("_phi"), F.cos("_phi")
-    tan2 = F.tan("_phi") * F.tan("_phi")
-    nu = a * f0 / F.sqrt(1 - e2 * sin * sin)
-    rho = a * f0 * (1 - e2) / F.pow(1 - e2 * sin * sin, F.lit(1.5))
-    eta2 = nu / rho - 1
-    d, t = phi - lat0, phi + lat0
-    m = b * f0 * (
-        (1 + n + 5 / 4 * n**2 + 5 / 4 * n**3) * d
-        - (3 * n + 3 * n**2 + 21 / 8 * n**3) * F.sin(d) * F.cos(t)
-        + (15 / 8 * n**2 + 15 / 8 * n**3) * F.sin(2 * d) * F.cos(2 * t)
-        - 35 / 24 * n**3 * F.sin(3 * d) * F.cos(3 * t)
-    )
-    w = F.col("_lam") - lon0
-    cos3, cos5 = F.pow(cos, F.lit(3.0)), F.pow(cos, F.lit(5.0))
-    north = m + GRID["n0"] + nu / 2 * sin * cos * w**2 + nu / 24 * sin * cos3 * (5 - tan2 + 9 * eta2) * w**4 + nu / 720 * sin * cos5 * (61 - 58 * tan2 + tan2 * tan2) * w**6
-    east = GRID["e0"] + nu * cos * w + nu / 6 * cos3 * (nu / rho - tan2) * w**3 + nu / 120 * cos5 * (5 - 18 * tan2 + tan2 * tan2 + 14 * eta2 - 58 * tan2 * eta2) * w**5
-    return df.withColumns({"x": east, "y": north}).drop("_px", "_py", "_pz", "_qx", "_qy", "_qz", "_p", "_lam", "_phi")
+
+    def geodetic(v: Column) -> Column:
+        p = F.hypot(v["x"], v["y"])
+        nu = lambda phi: F.lit(a) / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
+        # five rounds: the latitude settles to far below a millimetre
+        phi = F.aggregate(F.sequence(F.lit(1), F.lit(5)), F.atan2(v["z"], p * (1 - e2)), lambda phi, _: F.atan2(v["z"] + e2 * nu(phi) * F.sin(phi), p))
+        return F.struct(phi.alias("phi"), (F.atan2(v["y"], v["x"]) - lon0).alias("w"))
+
+    def terms(g: Column) -> Column:
+        phi = g["phi"]
+        curve = 1 - e2 * F.sin(phi) * F.sin(phi)
+        d, t = phi - lat0, phi + lat0
+        m = b * f0 * (
+            (1 + n + 5 / 4 * n**2 + 5 / 4 * n**3) * d
+            - (3 * n + 3 * n**2 + 21 / 8 * n**3) * F.sin(d) * F.cos(t)
+            + (15 / 8 * n**2 + 15 / 8 * n**3) * F.sin(2 * d) * F.cos(2 * t)
+            - 35 / 24 * n**3 * F.sin(3 * d) * F.cos(3 * t)
+        )
+        each = {"s": F.sin(phi), "c": F.cos(phi), "t2": F.tan(phi) * F.tan(phi), "nu": a * f0 / F.sqrt(curve), "rho": a * f0 * (1 - e2) / F.pow(curve, F.lit(1.5)), "m": m, "w": g["w"]}
+        return F.struct(*[c.alias(k) for k, c in each.items()])
+
+    def projected(v: Column) -> Column:
+        s, c, t2, nu, w = v["s"], v["c"], v["t2"], v["nu"], v["w"]
+        k, c3, c5 = v["nu"] / v["rho"] - 1, F.pow(v["c"], F.lit(3.0)), F.pow(v["c"], F.lit(5.0))
+        north = v["m"] + GRID["n0"] + nu / 2 * s * c * w**2 + nu / 24 * s * c3 * (5 - t2 + 9 * k) * w**4 + nu / 720 * s * c5 * (61 - 58 * t2 + t2 * t2) * w**6
+        east = GRID["e0"] + nu * c * w + nu / 6 * c3 * (nu / v["rho"] - t2) * w**3 + nu / 120 * c5 * (5 - 18 * t2 + t2 * t2 + 14 * k - 58 * t2 * k) * w**5
+        return F.struct(east.alias("x"), north.alias("y"))
+
+    start = F.struct(F.radians(latitude).alias("phi"), F.radians(longitude).alias("lam"))
+    at = _let(_let(_let(_let(_let(start, lambda g: earth_centred(g["phi"], g["lam"])), shifted), geodetic), terms), projected)
+    return points.withColumn("_at", at).withColumns({"x": F.col("_at.x"), "y": F.col("_at.y")}).drop("_at")

@@ -138,6 +138,19 @@ def adjusted_rand(table: DataFrame) -> DataFrame:
     return one.select(F.when(F.coalesce(most - expected, F.lit(0.0)) == 0, F.lit(1.0)).otherwise((F.col("pairs") - expected) / (most - expected)).alias("adjusted_rand"))
 
 
+def compare(spark: SparkSession, main: DataFrame, other: DataFrame) -> DataFrame:
+    """One row (adjusted_rand, differing array<string>): two labellings (point_id, cluster), and where they differ.
+
+    The other's labels are first given the main one's names by the best matching; labels left over differ everywhere.
+    """
+    table = contingency(main, other)
+    names = matched([(r.a, r.b, r.n) for r in table.collect()])
+    renamed = other.join(spark.createDataFrame(list(names.items()) or [("", "")], "cluster string, name string"), "cluster", "left")
+    both = main.join(renamed.select("point_id", "name"), "point_id")
+    off = both.filter(~F.col("cluster").eqNullSafe(F.col("name"))).agg(F.sort_array(F.collect_list("point_id")).alias("differing"))
+    return adjusted_rand(table).crossJoin(off)  # one row each
+
+
 def matched(table: list[tuple[str, str, int]]) -> dict[str, str]:
     """b -> a by the assignment with the most common points; labels left over stay out. Labels are few.
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from zonewright.functions.storage import materialize
 from zonewright.operators import allocate, anomaly, geometry, network, score, tree
@@ -49,7 +50,7 @@ class Settings:
 
     def problems(self) -> list[str]:
         out = []
-        choices = {"neighbour_rule": ("rook", "queen"), "disconnected_parts": ("stop", "join_nearest"), "missing_data": ("stop", "drop_day", "fill_from_neighbours")}
+        choices = {"neighbour_rule": ("rook", "queen"), "disconnected_parts": ("stop", "join_nearest", "fixed_regions"), "missing_data": ("stop", "drop_day", "fill_from_neighbours")}
         out += [f"{name} must be one of {', '.join(of)}" for name, of in choices.items() if getattr(self, name) not in of]
         if self.smoothing_days < 1 or self.smoothing_days % 2 == 0:
             out.append("smoothing_days must be odd and at least 1")
@@ -78,6 +79,28 @@ def check_nesting(children: DataFrame, parents: DataFrame, step: float, least_sh
     return out
 
 
+def geometry_checks(layers: dict[str, DataFrame], step: float) -> DataFrame:
+    """(layer, units, multi_part, crossing, slivers, not_contiguous) of the layers ra, pga and nca, one row each."""
+    out = None
+    below = {"nca": "pga", "pga": "ra"}
+    for name, layer in layers.items():
+        shape = F.col("shape")
+        counts = layer.agg(F.count("*").alias("units"), F.count_if(geometry.part_count(shape) > 1).alias("multi_part"), F.count_if(geometry.crosses_itself(shape)).alias("crossing"))
+        row = counts.withColumn("layer", F.lit(name))
+        if kid := below.get(name):
+            kids = layers[kid]
+            n = geometry.slivers(kids.select("id", "parent_id", "shape"), layer.select("id", "shape"), step).agg(F.count("*").alias("slivers"))
+            units = kids.select(F.col("id").alias("unit_id"), F.col("parent_id").alias("group_id"))
+            parts = network.parts_within(units, geometry.adjacency(kids.select("id", "shape"), step)).join(units, "unit_id")
+            split = parts.groupBy("group_id").agg(F.countDistinct("root").alias("n")).agg(F.count_if(F.col("n") > 1).alias("not_contiguous"))
+            row = row.crossJoin(n).crossJoin(split)  # one row each
+        else:
+            row = row.withColumn("slivers", F.lit(0).cast("long")).withColumn("not_contiguous", F.lit(0).cast("long"))
+        row = row.select("layer", "units", "multi_part", "crossing", "slivers", "not_contiguous")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def _clip(cell: list, unit: list) -> list:
     """Polygons of a unit within a convex cell."""
     ring = geometry.polygons_of(cell)[0][0]
@@ -91,9 +114,9 @@ def _clip(cell: list, unit: list) -> list:
 
 def clipped_cells(cells: DataFrame, land: DataFrame, step: float) -> DataFrame:
     """(point_id, shape): each cell's part of the land; cells that have none are left out."""
-    @F.pandas_udf(geometry.SHAPE)
-    def clip(cell: pd.Series, unit: pd.Series) -> pd.Series:
-        return pd.Series([_clip(c, u) for c, u in zip(cell, unit)])
+    @F.arrow_udf(geometry.SHAPE_TYPE)
+    def clip(cell: pa.Array, unit: pa.Array) -> pa.Array:
+        return pa.array([_clip(c, u) for c, u in zip(cell.to_pylist(), unit.to_pylist())], to_arrow_type(geometry.SHAPE_TYPE))
 
     pairs = geometry.near_pairs(cells.select(F.col("point_id").alias("id"), "shape"), land.select("id", "shape"), step)
     pieces = pairs.select(F.col("left_id").alias("point_id"), "right_id", clip("left_shape", "right_shape").alias("part")).filter(F.size("part") > 0)
@@ -114,6 +137,8 @@ def build_graph(points: DataFrame, land: DataFrame, settings: Settings) -> tuple
     if network.connected_parts(kept, edges).select("root").distinct().count() > 1:
         if settings.disconnected_parts == "stop":
             raise DisconnectedError("the neighbour graph is in several parts; link them or choose join_nearest")
+        if settings.disconnected_parts == "fixed_regions":  # every part has a tree of its own
+            return cells, edges
         edges = materialize(network.join_nearest(edges, points.join(kept, F.col("point_id") == F.col("unit_id")).select("unit_id", "x", "y")), "edges")
     return cells, edges
 
@@ -150,6 +175,28 @@ def cluster(scores: DataFrame, edges: DataFrame, settings: Settings) -> dict[str
     return {"tree": table, "labels": tree.label_table(spark, points, merges, cuts), "inversions": tree.inversions(table)}
 
 
+def sensitivity(scores: DataFrame, edges: DataFrame, main: DataFrame, subsets: dict[str, tuple[str, ...]], k: int) -> DataFrame:
+    """(run, adjusted_rand, differing): clusters from subsets of the variables, and without the graph, against main (point_id, cluster)."""
+    spark, out = scores.sparkSession, None
+    build = scores.filter("window = 'build'").select("point_id", "date", "variable", F.col("z_score").alias("value"))
+    runs = {name: (build.filter(F.col("variable").isin(*keep)), edges) for name, keep in subsets.items()} | {"unconstrained": (build, None)}
+    for name, (values, links) in runs.items():
+        points, merges = tree.ward_tree(values, links)
+        labels = tree.label_table(spark, points, merges, [k]).select("point_id", "cluster")
+        row = tree.compare(spark, main, labels).withColumn("run", F.lit(name)).select("run", "adjusted_rand", "differing")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def beats(eta: DataFrame, ceiling: DataFrame) -> DataFrame:
+    """(variable, current, new, gain, share_of_ceiling) from scores rounded to six places."""
+    side = lambda n: F.round(F.max(F.when(F.col("map") == n, F.col("eta_squared"))), 6).alias(n)
+    wide = eta.groupBy("variable").agg(side("current"), side("new"))
+    top = ceiling.select("variable", F.round("eta_squared", 6).alias("top"))
+    gain = F.round(F.col("new") - F.col("current"), 6).alias("gain")
+    return wide.join(top, "variable", "left").select("variable", "current", "new", gain, F.round(F.col("new") / F.when(F.col("top") > 0, F.col("top")), 6).alias("share_of_ceiling"))
+
+
 def allocate_areas(fragments: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """(unit_id, majority_cluster, majority_share, straddle_score) at k; fragments (unit_id, point_id, area)."""
     return allocate.majority(allocate.cluster_shares(fragments, labels.filter(F.col("k") == k).select("point_id", "cluster")))
