@@ -17,9 +17,34 @@ def symmetric(edges: DataFrame, a: str = "unit_a", b: str = "unit_b") -> DataFra
     return there.unionByName(edges.select(F.col(b).alias("unit_id"), F.col(a).alias("near")))
 
 
-def connected_parts(units: DataFrame, edges: DataFrame) -> DataFrame:
+#: Graphs up to so many edges and units are walked on the driver, larger ones in rounds of joins.
+SMALL_GRAPH = 100_000
+
+
+def _walked(units: list[str], edges: list[tuple[str, str]]) -> dict[str, str]:
+    """unit -> the smallest unit of its part."""
+    root = {u: u for u in units}
+
+    def find(u: str) -> str:
+        while root[u] != u:
+            root[u] = u = root[root[u]]
+        return u
+
+    for a, b in edges:
+        if a in root and b in root:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return {u: find(u) for u in units}
+
+
+def connected_parts(units: DataFrame, edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     """(unit_id, root) for all units; root is the smallest unit of the part. Edges to units not asked for are ignored."""
     ids = units.select("unit_id")
+    few = edges.select("unit_a", "unit_b").limit(small + 1).collect() if small else None
+    names = ids.limit(small + 1).collect() if small and len(few) <= small else None
+    if names is not None and len(names) <= small:
+        roots = _walked([r.unit_id for r in names], [(r.unit_a, r.unit_b) for r in few])
+        return units.sparkSession.createDataFrame(sorted(roots.items()), "unit_id string, root string")
     inside = edges.join(ids.select(F.col("unit_id").alias("unit_a")), "unit_a", "left_semi").join(ids.select(F.col("unit_id").alias("unit_b")), "unit_b", "left_semi")
     roots = connected_components(inside.select(F.col("unit_a").alias("a"), F.col("unit_b").alias("b")), "parts")
     return ids.join(roots.withColumnRenamed("node", "unit_id"), "unit_id", "left").select("unit_id", F.coalesce("root", "unit_id").alias("root"))

@@ -61,10 +61,25 @@ def within_between(correlations: DataFrame, groups: DataFrame) -> DataFrame:
     return correlations.join(a, "unit_a").join(b, "unit_b").agg(F.avg(F.when(same, F.col("correlation"))).alias("within"), F.avg(F.when(~same, F.col("correlation"))).alias("between"))
 
 
+def distinct_maps(maps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(draws (draw, form), forms (form, unit_id, group_id)): maps that split the units alike have one form, whatever the names.
+
+    A form is a hash of every unit with the smallest unit of its group, summed over the units in any order.
+    """
+    first = maps.groupBy("draw", "group_id").agg(F.min("unit_id").alias("first"))
+    named = maps.join(first, ["draw", "group_id"]).select("draw", "unit_id", F.col("first").alias("group_id"))
+    part = lambda seed: F.sum(F.xxhash64(F.lit(seed), "unit_id", "group_id").cast("decimal(38,0)")).cast("string")
+    draws = named.groupBy("draw").agg(F.concat_ws("/", part(1), part(2)).alias("form"))
+    one = draws.groupBy("form").agg(F.min("draw").alias("draw"))
+    return draws, named.join(one, "draw").select("form", "unit_id", "group_id")
+
+
 def map_scores(series: DataFrame, maps: DataFrame) -> DataFrame:
-    """(draw, variable, eta_squared) of many maps (draw, unit_id, group_id) at once: one join and one plan for all."""
-    etas = eta_squared(series, maps, by=("draw", "date", "variable"))
-    return etas.groupBy("draw", "variable").agg(F.avg("eta_squared").alias("eta_squared"))
+    """(draw, variable, eta_squared) of many maps (draw, unit_id, group_id) at once: one plan for all, each form once."""
+    draws, forms = distinct_maps(maps)
+    etas = eta_squared(series, forms, by=("form", "date", "variable"))
+    scores = etas.groupBy("form", "variable").agg(F.avg("eta_squared").alias("eta_squared"))
+    return draws.join(scores, "form").select("draw", "variable", "eta_squared")
 
 
 def spread(scores: DataFrame, column: str = "eta_squared", by: tuple[str, ...] = ("variable",)) -> DataFrame:
