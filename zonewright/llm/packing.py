@@ -21,8 +21,8 @@ OPEN_WINDOWS = 64
 #: Leftovers of so many groups meet in one task of the next round.
 GROUPS_A_MERGE = 64
 END_ID = 1
-#: Bounds the words that a worker remembers.
-MOST_WORDS = 400_000
+#: Bounds the words that a worker remembers, in each of two halves.
+MOST_WORDS = 250_000
 PIECES_A_BATCH = 2_000
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary, part long, sequence_id long, offset long, closed boolean"
@@ -35,42 +35,55 @@ class WordIds(dict):
 
     White space parts pre-tokens, so a text's ids are those of its words, end to end. Words of plain Latin letters and
     ASCII need no normalising but lower case: their pre-tokens go to the model directly and are remembered too. Any
-    other word takes the tokenizer's full path.
+    other word takes the tokenizer's full path. Of what is remembered the older half goes when the newer one is full;
+    a word in use comes over from the older half without being worked out again.
     """
 
     #: Letters whose lower case is one letter, and which composed form leaves alone.
-    PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+    PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.bytes_of = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.older: dict[bytes, bytes] = {}
         self.pre_tokens: dict[str, bytes] = {}
-        # The pre-tokens of the public vocabulary file.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.older_pre_tokens: dict[str, bytes] = {}
+        # The pre-tokens of the public vocabulary file, for lower-case plain words.
+        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+").findall
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if self.PLAIN.fullmatch(text):
-            ids = b"".join([self.pre_tokens.get(x) or self.of_pre_token(x) for x in self.split(text.lower())])
-        else:
-            ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        ids = self.older.get(word)
+        if ids is None:
+            text = word.decode()
+            if not self.PLAIN(text):
+                ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            elif text.isalpha():
+                ids = self.of_pre_token(text.lower())
+            else:
+                ids = b"".join(map(self.of_pre_token, self.split(text.lower())))
         self[word] = ids
         return ids
 
     def of_pre_token(self, x: str) -> bytes:
-        plain = x if x.isascii() else "".join(s for s, _ in self.bytes_of.pre_tokenize_str(x))
-        ids = self.pre_tokens[x] = packed([t.id for t in self.model.tokenize(plain)])
+        ids = self.pre_tokens.get(x)
+        if ids is None:
+            ids = self.older_pre_tokens.get(x)
+            if ids is None:
+                plain = x if x.isascii() else "".join(s for s, _ in self.bytes_of.pre_tokenize_str(x))
+                ids = packed([t.id for t in self.model.tokenize(plain)])
+            self.pre_tokens[x] = ids
         return ids
 
     def of_text(self, text: bytes | None) -> bytes:
-        if len(self) > MOST_WORDS or len(self.pre_tokens) > MOST_WORDS:
+        if len(self) > MOST_WORDS:
+            self.older = dict(self)
             self.clear()
-            self.pre_tokens.clear()
+        if len(self.pre_tokens) > MOST_WORDS:
+            self.older_pre_tokens, self.pre_tokens = self.pre_tokens, {}
         return b"".join(map(self.__getitem__, (text or b"").split()))
 
 
