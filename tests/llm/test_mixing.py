@@ -46,6 +46,35 @@ def test_mix_of_documents(spark, sf_dir):
     assert sorted(tuple(r)[1:] for r in rows) == sorted(tuple(r)[1:] for r in mix_documents(docs.repartition(5)).collect())
 
 
+def brute_copies(rows, budget):
+    """doc_id -> copies of (doc_id, source_key, size, hash): every queue worked out in full, then one global sort."""
+    of_source, queue = Counter(), []
+    for _, s, n, _ in rows:
+        of_source[s] += n
+    weight = {s: k % 3 + 1 for k, s in enumerate(sorted(of_source))}
+    for s in of_source:
+        upto = 0
+        for i, _, n, h in sorted((r for r in rows if r[1] == s), key=lambda r: r[3] % 2**64):
+            upto += n
+            queue += [((upto + e * of_source[s]) / weight[s], s, h, i, e, n) for e in range(3)]
+    copies, total = Counter(), 0
+    for _, _, _, i, _, n in sorted(queue):
+        total += n
+        if total > budget:
+            break
+        copies[i] += 1
+    return copies
+
+
+def test_copies_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sized = docs.select("doc_id", F.concat(F.lit("="), "source").alias("source_key"), "text").collect()
+    table = spark.createDataFrame([(r.doc_id, r.source_key, len(words(r.text))) for r in sized], "doc_id long, source_key string, size long")
+    rows = [tuple(r) for r in table.withColumn("h", F.xxhash64(F.lit(7), "doc_id", "source_key", "size")).collect()]
+    want = brute_copies(rows, sum(r[2] for r in rows))
+    assert {r.doc_id: r.copies for r in mix_documents(docs).collect() if r.copies} == dict(want)
+
+
 def test_the_cut_is_where_the_global_order_reaches_the_budget(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 7)), "en", "ab"[i % 2]) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")

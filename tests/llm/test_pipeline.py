@@ -2,11 +2,13 @@
 
 from collections import Counter
 
+import duckdb
+
 import corpus_pipeline
 from tests.llm.helpers import awkward, empty
 from tests.llm.test_simhash import brute_groups, brute_mark
 from zonewright.llm.mixing import mix_documents
-from zonewright.llm.quality_rules import rule_table
+from zonewright.llm.oracles import line_dedup_sql, quality_rules_sql
 
 
 def test_stages(spark, sf_dir):
@@ -14,9 +16,15 @@ def test_stages(spark, sf_dir):
     rules, lines, near, mix, pack = (f for _, f in corpus_pipeline.STAGES)
     good = rules(spark, docs, sf_dir)
     assert good.columns == docs.columns
-    assert {r.doc_id for r in good.collect()} == {r.doc_id for r in rule_table(docs).filter("kept").collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    kept = {r[0] for r in con.execute(f"SELECT doc_id FROM ({quality_rules_sql()}) WHERE kept").fetchall()}
+    assert {r.doc_id for r in good.collect()} == kept
     cut = lines(spark, good, sf_dir)
-    assert cut.columns == docs.columns and cut.count() == good.count()
+    assert cut.columns == docs.columns
+    con.register("good", good.toArrow())
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM good")
+    assert {r.doc_id: r.text for r in cut.collect()} == dict(con.execute(f"SELECT doc_id, text FROM ({line_dedup_sql()})").fetchall())
     one = near(spark, cut, sf_dir)
     marks = {r.doc_id: brute_mark(r.text) for r in cut.collect()}
     assert sorted(r.doc_id for r in one.collect()) == sorted(set(brute_groups(marks).values()))
