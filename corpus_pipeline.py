@@ -46,7 +46,7 @@ STAGES = [
     ("pack_sequences", pack_sequences),
 ]
 
-#: SimHash, the queue and the tokenizer are beyond SQL; tests hold run() against a plain Python version.
+#: SimHash, the queue and the tokenizer are beyond SQL; tests hold each stage against SQL or plain Python.
 ORACLE_SQL = None
 
 
