@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewright.functions.calendar import calendar_slot
 from zonewright.functions.stats import tidy
 from zonewright.operators import allocate, anomaly, geometry, network, score, tree
 from zonewright.plans import star
-from zonewright.plans.star import BUILD_END, HELD_END, HELD_START, SEALED, SIDE, SQL
+from zonewright.plans.star import BUILD_END, SEALED, SIDE, SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
