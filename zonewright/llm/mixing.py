@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from zonewright.functions.storage import materialize
 from zonewright.llm.common import number_rows, running_offsets, sorted_parts, source_key, with_row_ids, word_count
 
-ROWS_A_BUCKET = 50_000
+ROWS_A_BUCKET = 8_000
 
 
 def repeating_weights(keys: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
