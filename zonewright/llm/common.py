@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,32 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+_remembered: dict[Any, Any] = {}
+
+
+def remembered(key: Any, make: Callable[[], Any]) -> Any:
+    """What this Python worker remembers under key from task to task, made where it is missing; all else is forgotten.
+
+    Workers outlive a stage. So they remember for one operator at a time, and what packing needs is not there still
+    when the next stage's texts come.
+    """
+    if key not in _remembered:
+        _remembered.clear()
+        _remembered[key] = make()
+    return _remembered[key]
+
+
+def forget() -> None:
+    """Called by tasks that remember nothing."""
+    _remembered.clear()
+
+
+def texts(column: pa.Array, at_once: int = 512) -> Iterator[bytes | None]:
+    """The texts of an Arrow column as bytes; only so many at once stand beside the column."""
+    for at in range(0, len(column), at_once):
+        yield from column.slice(at, at_once).cast(pa.binary()).to_pylist()
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as long; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

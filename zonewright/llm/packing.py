@@ -6,7 +6,6 @@ import array
 import bisect
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonewright.functions.storage import materialize
+from zonewright.llm.common import remembered, texts
 
 LENGTH = 2048
 OPEN_WINDOWS = 64
@@ -94,10 +94,9 @@ def packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    """One for each Python worker; it lives on from task to task."""
-    return WordIds(path)
+    """One for each Python worker; it lives on from task to task of packing."""
+    return remembered(("word ids", path), lambda: WordIds(path))
 
 
 class OpenWindows:
@@ -148,7 +147,7 @@ def _pack_partition(path: str, length: int, most: int):
             return pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+            for doc, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
                 ids = words.of_text(text) + end
                 of = len(ids) // 4
                 for start in range(0, of, length):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonewright.functions.storage import materialize
-from zonewright.llm.common import source_key
+from zonewright.llm.common import forget, source_key, texts
 
 SPACE, SYMBOLS, UPPER = b" \t\n\x0b\x0c\r", b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LEAST_WORDS = 50
@@ -60,8 +60,9 @@ def text_counts(text: bytes | None) -> tuple[int, ...]:
 
 def _count_batches(text_at: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
-            rows = [text_counts(t) for t in b.column(text_at).cast(pa.binary()).to_pylist()]
+            rows = [text_counts(t) for t in texts(b.column(text_at))]
             counts = zip(*rows) if rows else [[] for _ in COUNTS]
             columns = [*b.columns[:width], *(pa.array(c, pa.int64()) for c in counts)]
             yield pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewright.functions.storage import materialize
-from zonewright.llm.common import with_row_ids
+from zonewright.llm.common import forget, texts, with_row_ids
 from zonewright.operators.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -47,8 +47,9 @@ def fingerprint(text: bytes | None, words_each: int = SHINGLE_WORDS) -> int:
 
 def _fingerprints(words_each: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
-            marks = [fingerprint(t, words_each) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            marks = [fingerprint(t, words_each) for t in texts(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(marks, pa.int64())], names=["rid", "doc_id", "fp"])
 
     return run
