@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from zonewright.functions.storage import materialize
 from zonewright.llm.common import WORD_VOCABULARY, tokenizer_file
+from zonewright.llm.jaccard import keep_one_alike
 from zonewright.llm.line_dedup import dedup_lines
 from zonewright.llm.mixing import mixed_rows
 from zonewright.llm.packing import pack_documents
 from zonewright.llm.quality_rules import keep_good
-from zonewright.llm.simhash import keep_one_each
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates stays, that of the smallest doc_id."""
-    return keep_one_each(docs)
+    """One document of each group of near-duplicates stays, that of the smallest doc_id: 5-word Jaccard similarity of 0.8 or more."""
+    return keep_one_alike(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("pack_sequences", pack_sequences),
 ]
 
-#: SimHash, the queue and the tokenizer are beyond SQL; tests hold each stage against SQL or plain Python.
+#: Groups of near copies, the queue and the tokenizer are beyond SQL; tests hold each stage against SQL or plain Python.
 ORACLE_SQL = None
 
 
