@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate on their source go; every document stays."""
-    return dedup_lines(docs).select(*docs.columns)
+    """Lines that are boilerplate on their source, where copies of a text are one page, go; every document stays."""
+    return dedup_lines(docs, copies_once=True).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
