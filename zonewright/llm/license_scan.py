@@ -12,9 +12,11 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: (label, keyword that any match has, the license's names, its SPDX identifier); regexes over words with a blank between.
+#: (label, keyword that any match has, the license's names, its SPDX identifier if it stands here); regexes over words with a blank between.
 FAMILIES = [
-    ("mit", "mit", "(?:the )?(?:mit|expat|x11)", "mit"),
+    ("mit", "mit", "(?:the )?mit", "mit"),
+    ("mit", "expat", "(?:the )?expat", None),
+    ("mit", "x11", "(?:the )?x11", None),
     ("mit-0", "mit", "mit no attribution", "mit 0"),
     ("apache-1", "apache", "apache (?:software )?licen[cs]e (?:version )?1(?: [01])?", "apache 1 [01]"),
     ("apache-2", "apache", "apache (?:software )?licen[cs]e (?:version )?2(?: 0)?|apache 2(?: 0)?", "apache 2 0"),
@@ -66,7 +68,8 @@ FAMILIES = [
     ("elastic-2", "elastic", "elastic licen[cs]e(?: (?:version )?2(?: 0)?)?", "elastic 2 0"),
     ("sspl", "server", "server side public licen[cs]e(?: (?:version |v ?)?1)?", "sspl 1 0"),
     ("busl", "business", "business source licen[cs]e(?: 1(?: 1)?)?", "busl 1 1"),
-    ("cc0", "cc", "cc0(?: 1(?: 0)?)?|creative commons (?:zero|cc0)(?: 1(?: 0)?)?", "cc0 1 0"),
+    ("cc0", "cc0", "cc0(?: 1(?: 0)?)?", "cc0 1 0"),
+    ("cc0", "creative", "creative commons (?:zero|cc0)(?: 1(?: 0)?)?", None),
     ("cc-by", "c", "(?:cc by|creative commons attribution)(?: [1234](?: [05])?)?", "cc by [1234] [05]"),
     ("cc-by-sa", "c", "(?:cc by sa|creative commons attribution share ?alike)(?: [1234](?: [05])?)?", "cc by sa [1234] [05]"),
     ("cc-by-nd", "c", "(?:cc by nd|creative commons attribution no ?derivatives)(?: [1234](?: [05])?)?", "cc by nd [1234] [05]"),
@@ -87,7 +90,7 @@ TEMPLATES = [
 ]
 #: Names that stand for their license without any word round them.
 ALONE = (1, 0.6, "(?:{name})")
-GATES = ("licen", "spdx", " cc  ", " cc0 ", "creative  commons", "public  domain", "rights  reserved")
+GATES = ("licen", "spdx", " cc  ", " cc0 ", "creative  commons", "public  domain", "rights  reserved", "gpl", "apache", "wtfpl", "mulan")
 BASE_CONFIDENCE = 0.9
 
 
@@ -97,10 +100,12 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
     for priority, confidence, template in TEMPLATES + [ALONE]:
         for label, keyword, name, spdx in FAMILIES:
             alone = template == ALONE[2]
+            if "{spdx}" in template and spdx is None:
+                continue
             if alone and not any(g.replace("  ", " ").strip() in name for g in GATES):
                 continue
             keyword = "spdx" if "{spdx}" in template else keyword
-            regex = template.replace("{name}", name).replace("{spdx}", spdx)
+            regex = template.replace("{name}", name).replace("{spdx}", spdx or "")
             out.append((len(out), label, keyword, " " + spaced(regex) + " ", priority, confidence))
     return out
 
