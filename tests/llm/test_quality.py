@@ -36,15 +36,29 @@ def test_good_documents_are_kept_and_junk_goes(spark, sf_dir):
 def test_sketch_bins_hold_their_numbers(spark):
     rows = spark.createDataFrame([(v,) for v in [*range(300), 1000, 4095, 4096, 10**6, 2**40 + 7]], "v long")
     for r in rows.withColumn("b", sketch_bin(F.col("v"))).withColumn("s", bin_start(F.col("b"))).collect():
-        assert r.s <= r.v <= r.s + max(0, r.v // 32)
+        assert r.s <= r.v <= r.s + r.v // 256
 
 
-def test_a_small_group_takes_its_languages_thresholds(spark):
-    rows = [(i, PROSE + f" {i}", "en", "big") for i in range(300)] + [(1000 + i, ("%%%% " * 3 + PROSE) * (1 + i % 2), "en", "small") for i in range(4)]
+def test_a_small_group_is_weighed_toward_its_language(spark):
+    rows = [(i, PROSE + f" {i}", "en", "big") for i in range(3000)] + [(10_000 + i, ("%%%% " * 3 + PROSE) * (1 + i % 2), "en", "small") for i in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    small = judged(docs, ["doc_id"]).filter("doc_id >= 1000").select("_zw_high_symbols").distinct().collect()
-    big = judged(docs, ["doc_id"]).filter("doc_id < 1000").select("_zw_high_symbols").distinct().collect()
-    assert small == big
+    high = {r[0]: r[1] for r in judged(docs, ["source"]).select("source", "_zw_high_symbols").distinct().collect()}
+    own = 1000 * (12.375 / len("".join(words(PROSE)) + "%" * 12)) ** 0.5
+    assert high["big"] < high["small"] < high["big"] + 4 / 104 * 5 * own
+
+
+def test_sources_with_other_statistics_get_other_thresholds(spark):
+    """The same prose, in one source with currency signs throughout: no single cutoff gives these verdicts."""
+    rows = [(i, PROSE + f" {'and so on ' * (i % 7)}{i}", "en", "plain") for i in range(400)]
+    rows += [(1000 + i, ("$" * (9 + i % 5) + " ") + PROSE + f" {'and so on ' * (i % 7)}{i}", "en", "prices") for i in range(400)]
+    rows += [(5000, "$" * 11 + " " + PROSE, "en", "plain"), (5001, "$" * 60 + " " + PROSE, "en", "prices")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in rule_table(docs).collect()}
+    assert not got[5000].kept and not got[5001].kept
+    usual = [r for i, r in got.items() if i < 5000]
+    assert all(r.kept for r in usual) and max(r.n_symbols for r in usual) > got[5000].n_symbols
+    high = {r[0]: r[1] for r in judged(docs, ["source"]).select("source", "_zw_high_symbols").distinct().collect()}
+    assert high["prices"] > 1.5 * high["plain"]
 
 
 def test_awkward_rows(spark):

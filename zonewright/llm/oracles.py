@@ -25,10 +25,11 @@ FROM marked m LEFT JOIN common c ON c.host = m.host AND c.bare = m.bare GROUP BY
 
 def quality_rules_sql() -> str:
     q = quality_rules
-    measures = ", ".join(f"CAST(CASE WHEN {d} > 0 THEN floor({n} * {scale} / {d}) ELSE 0 END AS BIGINT) AS v_{m}" for m, (n, d, scale, *_) in q.MEASURES.items())
+    rate = lambda n, d, rare: f"1000 * sqrt(({n} + 0.375::DOUBLE) / {d})" if rare else f"1000 * ({n} / {d})"
+    measures = ", ".join(f"CAST(CASE WHEN {d} > 0 THEN floor({rate(n, d, rare)}) ELSE 0 END AS BIGINT) AS v_{m}" for m, (n, d, rare, _) in q.MEASURES.items())
     pairs = " UNION ALL ".join(f"SELECT lang_key, source_key, '{m}' AS measure, v_{m} AS v FROM judged WHERE NOT base_failed" for m in q.MEASURES)
-    slack = "CASE measure " + " ".join(f"WHEN '{m}' THEN {s}" for m, (*_, s, _b) in q.MEASURES.items()) + " END"
-    start = "CASE WHEN {0} < 64 THEN {0} ELSE ({0} - 32 * ({0} // 32 - 1)) << ({0} // 32 - 1) END".format
+    bits, bins = q.BIN_BITS, 1 << q.BIN_BITS
+    start = f"CASE WHEN {{0}} < {2 * bins} THEN {{0}} ELSE ({{0}} - {bins} * ({{0}} // {bins} - 1)) << ({{0}} // {bins} - 1) END".format
 
     def quartiles(name: str, source: str, keys: str) -> str:
         part = f"PARTITION BY {keys}" if keys else ""
@@ -37,6 +38,8 @@ def quality_rules_sql() -> str:
 {name}_b AS (SELECT {group}, max(total) AS n, min(bin) FILTER (WHERE 4 * upto >= total) AS b1, min(bin) FILTER (WHERE 4 * upto >= 3 * total) AS b3 FROM {name}_r GROUP BY {group}),
 {name} AS (SELECT {group}, n, {start("b1")} AS q1, {start("b3")} AS q3 FROM {name}_b)"""
 
+    toward = lambda n, own, prior: f"(({n}::DOUBLE * {own}::DOUBLE + {q.PRIOR_DOCUMENTS} * {prior}) / ({n}::DOUBLE + {q.PRIOR_DOCUMENTS}))"
+    weighed = lambda x: toward("f.n", f"f.{x}", toward("c.n", f"c.{x}", f"t.{x}::DOUBLE"))
     inside = []
     for m, (*_, both) in q.MEASURES.items():
         low_high = f"(SELECT {{}} FROM bounds t WHERE t.lang_key = j.lang_key AND t.source_key = j.source_key AND measure = '{m}')"
@@ -55,17 +58,15 @@ counts AS (SELECT d.*, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)
   coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, len(regexp_extract_all(text, '[A-Z]')) AS n_upper FROM docs d LEFT JOIN word_counts USING (rid) LEFT JOIN line_counts USING (rid)),
 judged AS (SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {measures} FROM counts),
 each AS ({pairs}),
-sketch AS (SELECT lang_key, source_key, measure, CAST(CASE WHEN v < 64 THEN v ELSE 32 * (length(bin(v)) - 1 - 5) + (v >> (length(bin(v)) - 1 - 5)) END AS BIGINT) AS bin, count(*) AS n FROM each GROUP BY 1, 2, 3, 4),
+sketch AS (SELECT lang_key, source_key, measure, CAST(CASE WHEN v < {2 * bins} THEN v ELSE {bins} * (length(bin(v)) - 1 - {bits}) + (v >> (length(bin(v)) - 1 - {bits})) END AS BIGINT) AS bin, count(*) AS n FROM each GROUP BY 1, 2, 3, 4),
 lang_sketch AS (SELECT lang_key, measure, bin, CAST(sum(n) AS BIGINT) AS n FROM sketch GROUP BY 1, 2, 3),
 all_sketch AS (SELECT measure, bin, CAST(sum(n) AS BIGINT) AS n FROM lang_sketch GROUP BY 1, 2),
 {quartiles("fine", "sketch", "lang_key, source_key, measure")},
 {quartiles("coarse", "lang_sketch", "lang_key, measure")},
 {quartiles("total", "all_sketch", "measure")},
-picked AS (SELECT f.lang_key, f.source_key, f.measure,
-  CASE WHEN f.n >= {q.LEAST_GROUP} THEN f.q1 WHEN c.n >= {q.LEAST_GROUP} THEN c.q1 ELSE t.q1 END AS q1,
-  CASE WHEN f.n >= {q.LEAST_GROUP} THEN f.q3 WHEN c.n >= {q.LEAST_GROUP} THEN c.q3 ELSE t.q3 END AS q3
+picked AS (SELECT f.lang_key, f.source_key, f.measure, {weighed("q1")} AS q1, {weighed("q3")} AS q3
   FROM fine f JOIN coarse c ON c.lang_key = f.lang_key AND c.measure = f.measure JOIN total t ON t.measure = f.measure),
-bounds AS (SELECT lang_key, source_key, measure, q1 - greatest({q.RANGES} * (q3 - q1), {slack}) AS low, q3 + greatest({q.RANGES} * (q3 - q1), {slack}) AS high FROM picked)
+bounds AS (SELECT lang_key, source_key, measure, q1 - {q.RANGES} * (q3 - q1) AS low, q3 + {q.RANGES} * (q3 - q1) AS high FROM picked)
 SELECT doc_id, {", ".join(q.COUNTS)}, base_failed, coalesce(NOT base_failed AND {" AND ".join(inside)}, false) AS kept FROM judged j"""
 
 

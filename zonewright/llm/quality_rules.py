@@ -16,18 +16,19 @@ from zonewright.llm.common import forget, source_key, texts
 
 SPACE, SYMBOLS, UPPER = b" \t\n\x0b\x0c\r", b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LEAST_WORDS = 50
-#: A group with fewer documents takes the thresholds of its language, or of all.
-LEAST_GROUP = 100
-#: Thresholds stand this many quartile ranges beyond the quartiles, and never nearer than the measure's slack.
-RANGES = 3
-#: Measure: (numerator, denominator, scale, slack, whether low values count too).
+#: A group's quartiles weigh as many documents as it has against so many of its language, and these likewise against all.
+PRIOR_DOCUMENTS = 100
+#: Thresholds stand this many quartile ranges beyond the quartiles.
+RANGES = 4
+#: Measure: (numerator, denominator, whether it counts rare events, whether low values count too).
 MEASURES = {
-    "symbols": ("n_symbols", "word_chars", 1000, 50, False),
-    "upper": ("n_upper", "word_chars", 1000, 200, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 400, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 450, False),
-    "word_length": ("word_chars", "n_words", 10, 30, True),
+    "symbols": ("n_symbols", "word_chars", True, False),
+    "upper": ("n_upper", "word_chars", True, False),
+    "dup_lines": ("n_dup_lines", "n_lines", True, False),
+    "word_length": ("word_chars", "n_words", False, True),
 }
+#: A sketch has this many bins for each power of two, and is exact below twice as many.
+BIN_BITS = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
 
@@ -80,23 +81,33 @@ def counted(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def sketch_bin(v: Column) -> Column:
-    """The bin of a whole number from 0: exact below 64, then 32 bins for each power of two (within 1/32)."""
+    """The bin of a whole number from 0: exact below 512, then 256 bins for each power of two (within 1/256)."""
     e = F.length(F.bin(v)) - 1
-    coarse = 32 * (e - 5) + F.call_function("shiftright", v, (e - 5).cast("int"))
-    return F.when(v < 64, v).otherwise(coarse).cast("long")
+    coarse = (1 << BIN_BITS) * (e - BIN_BITS) + F.call_function("shiftright", v, (e - BIN_BITS).cast("int"))
+    return F.when(v < 2 << BIN_BITS, v).otherwise(coarse).cast("long")
 
 
 def bin_start(b: Column) -> Column:
     """The smallest number of a bin."""
-    e = (F.floor(b / 32) + 4).cast("int")
-    return F.when(b < 64, b).otherwise(F.call_function("shiftleft", (b - 32 * (e - 5)).cast("long"), (e - 5).cast("int"))).cast("long")
+    e = (F.floor(b / (1 << BIN_BITS)) - 1).cast("int")
+    return F.when(b < 2 << BIN_BITS, b).otherwise(F.call_function("shiftleft", (b - (1 << BIN_BITS) * e).cast("long"), e)).cast("long")
+
+
+def measure(count: Column, of: Column, rare: bool) -> Column:
+    """A whole number: 1000 times the rate, or the root of the rate where events are rare; 0 of nothing is 0.
+
+    Roots of counts (with 3/8 added, as usual) spread alike whatever the count. So a document without a single event
+    has a measure that tells how little its length lets us say, and quartiles that are never the same for want of events.
+    """
+    rate = (count + F.lit(0.375)) / of if rare else count / of
+    return F.when(of > 0, F.floor(1000 * (F.sqrt(rate) if rare else rate))).otherwise(0).cast("long")
 
 
 def _measured(counts: DataFrame) -> DataFrame:
-    """Adds base_failed and each measure as a whole number (0 where the denominator is 0), all behind _zw_."""
+    """Adds base_failed and each measure, all behind _zw_."""
     c = lambda n: F.col(f"_zw_{n}")
     failed = (c("n_words") < LEAST_WORDS) | (100 * c("n_repeat_words") > 50 * c("n_words"))
-    values = {m: F.when(c(d) > 0, F.floor(c(n) * scale / c(d))).otherwise(0).cast("long") for m, (n, d, scale, *_) in MEASURES.items()}
+    values = {m: measure(c(n), c(d), rare) for m, (n, d, rare, _) in MEASURES.items()}
     return counts.withColumns({"_zw_base_failed": failed} | {f"_zw_v_{m}": v for m, v in values.items()})
 
 
@@ -123,11 +134,11 @@ def adaptive_thresholds(measured: DataFrame) -> DataFrame:
     coarse = coarse.select("lang_key", "measure", *[F.col(c).alias(f"lang_{c}") for c in ("n", "q1", "q3")])
     all_ = all_.select("measure", F.col("q1").alias("all_q1"), F.col("q3").alias("all_q3"))
     joined = fine.join(coarse, ["lang_key", "measure"]).join(all_, "measure")
-    pick = lambda q: F.when(F.col("n") >= LEAST_GROUP, F.col(q)).when(F.col("lang_n") >= LEAST_GROUP, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
-    q1, q3 = pick("q1"), pick("q3")
-    slack = F.create_map(*[x for m, (*_, s, _b) in MEASURES.items() for x in (F.lit(m), F.lit(s))])[F.col("measure")]
-    reach = F.greatest(RANGES * (q3 - q1), slack)
-    bounds = joined.select("lang_key", "source_key", "measure", (q1 - reach).alias("low"), (q3 + reach).alias("high"))
+    toward = lambda n, own, prior: (n * own + PRIOR_DOCUMENTS * prior) / (n + PRIOR_DOCUMENTS)
+    c = lambda name: F.col(name).cast("double")
+    q1, q3 = (toward(c("n"), c(q), toward(c("lang_n"), c(f"lang_{q}"), c(f"all_{q}"))) for q in ("q1", "q3"))
+    bounds = joined.select("lang_key", "source_key", "measure", q1.alias("q1"), q3.alias("q3"))
+    bounds = bounds.select("lang_key", "source_key", "measure", (F.col("q1") - RANGES * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + RANGES * (F.col("q3") - F.col("q1"))).alias("high"))
     at = lambda side, m: F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}")
     return materialize(bounds.groupBy("lang_key", "source_key").agg(*[at(side, m) for m in MEASURES for side in ("low", "high")]), "rules-thresholds")
 
@@ -149,7 +160,8 @@ def rule_table(docs: DataFrame) -> DataFrame:
     """(doc_id, COUNTS, base_failed, kept) of documents (doc_id, text, lang, source), one row for each.
 
     base_failed: fewer than 50 words, or over half of them in 3-word windows that repeat. The others are kept while
-    every measure stays within its group's thresholds, which come from all documents that the base rules pass. Null
+    every measure stays within its group's thresholds, which come from all documents that the base rules pass; no cutoff
+    is fixed. Repeats are left to the base rule: they come in clumps, which a rate's spread does not foretell. Null
     texts have no words and fail; null languages and sources are groups of their own; a measure with denominator 0 is
     0. Repeated rows stay; an empty table gives no rows; extra columns are ignored.
     """
