@@ -21,13 +21,17 @@ OPEN_WINDOWS = 64
 #: Leftovers of so many groups meet in one task of the next round.
 GROUPS_A_MERGE = 64
 END_ID = 1
-#: Bounds the words that a worker remembers, in each of two halves.
-MOST_WORDS = 250_000
+#: Bounds the words that a worker remembers, in each of two halves, and their length.
+MOST_WORDS, LONGEST_WORD = 250_000, 64
 PIECES_A_BATCH = 2_000
+#: Pieces side by side in a window are merged as one bundle until it has this share of the window.
+BUNDLES_A_WINDOW = 32
 
-PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary, part long, sequence_id long, offset long, closed boolean"
+PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary, part long, sequence_id long, offset long, bundle int"
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
-ARROW = pa.schema([(n, {"ids": pa.binary(), "closed": pa.bool_()}.get(n, pa.int64())) for n in NAMES])
+ARROW = pa.schema([(n, {"ids": pa.binary(), "bundle": pa.int32()}.get(n, pa.int64())) for n in NAMES])
+#: A bundle: the window and number it has, its tokens, and where it lies now.
+BUNDLE = "window long, bundle int, tokens long, part long, sequence_id long, base long, closed boolean"
 
 
 class WordIds(dict):
@@ -47,7 +51,7 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.bytes_of = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.older: dict[bytes, bytes] = {}
         self.pre_tokens: dict[str, bytes] = {}
@@ -58,14 +62,15 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            text = word.decode()
-            if not self.PLAIN(text):
+            text = word.decode("utf-8", "replace")
+            if not self.PLAIN(text) or any(x in text for x in self.special):
                 ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
             elif text.isalpha():
                 ids = self.of_pre_token(text.lower())
             else:
                 ids = b"".join(map(self.of_pre_token, self.split(text.lower())))
-        self[word] = ids
+        if len(word) <= LONGEST_WORD:
+            self[word] = ids
         return ids
 
     def of_pre_token(self, x: str) -> bytes:
@@ -75,7 +80,8 @@ class WordIds(dict):
             if ids is None:
                 plain = x if x.isascii() else "".join(s for s, _ in self.bytes_of.pre_tokenize_str(x))
                 ids = packed([t.id for t in self.model.tokenize(plain)])
-            self.pre_tokens[x] = ids
+            if len(x) <= LONGEST_WORD:
+                self.pre_tokens[x] = ids
         return ids
 
     def of_text(self, text: bytes | None) -> bytes:
@@ -131,6 +137,17 @@ def sequence_number(level: int, part: int, n: int) -> int:
     return (level << 58) + (part << 26) + n
 
 
+def bundled(sizes: Iterable[int], length: int) -> list[int]:
+    """For pieces of these sizes, side by side in a window, the number of the bundle that each is in."""
+    out, n, held = [], 0, 0
+    for size in sizes:
+        if held and held + size > length // BUNDLES_A_WINDOW:
+            n, held = n + 1, 0
+        out.append(n)
+        held += size
+    return out
+
+
 def _pack_partition(path: str, length: int, most: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, words, windows = TaskContext.get().partitionId(), word_ids(path), OpenWindows(length, most)
@@ -138,8 +155,9 @@ def _pack_partition(path: str, length: int, most: int):
 
         def rows_of(closed: Iterable[tuple[int, list]], is_closed: bool):
             for n, window in closed:
-                for (doc, start, size, of, ids), offset in window:
-                    rows.append((doc, start, size, of, ids, part, sequence_number(0, part, n), offset, is_closed))
+                bundles = [None] * len(window) if is_closed else bundled((size for (_, _, size, _, _), _ in window), length)
+                for ((doc, start, size, of, ids), offset), bundle in zip(window, bundles):
+                    rows.append((doc, start, size, of, ids, part, sequence_number(0, part, n), offset, bundle))
 
         def batch() -> pa.RecordBatch:
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW, strict=True)]
@@ -155,27 +173,39 @@ def _pack_partition(path: str, length: int, most: int):
                     rows_of(windows.place([doc, start, size, of, ids[4 * start : 4 * (start + size)]], size), True)
                     if len(rows) >= PIECES_A_BATCH:
                         yield batch()
-        rows_of(sorted(windows.held.items()), False)
+        for window in sorted(windows.held.items()):
+            rows_of([window], False)
+            if len(rows) >= PIECES_A_BATCH:
+                yield batch()
         if rows:
             yield batch()
 
     return pack
 
 
+def merged(bundles: list[tuple], length: int, still_open: int) -> list[tuple[int, int, bool]]:
+    """(window, offset, whether it is closed) for bundles of (tokens, ...): the largest first, each where it fits best.
+
+    Bundles of the same size go by the rest of their tuples. The still_open emptiest windows stay open.
+    """
+    order = sorted(range(len(bundles)), key=lambda i: (-bundles[i][0], *bundles[i][1:]))
+    windows, done = OpenWindows(length, len(bundles)), []
+    for i in order:
+        done += windows.place([i], bundles[i][0])
+    left = {n for _, n in windows.free[len(windows.free) - still_open :]} if still_open else set()
+    out: list = [None] * len(bundles)
+    for n, window in [*done, *windows.held.items()]:
+        for (i,), offset in window:
+            out[i] = (n, offset, n not in left)
+    return out
+
+
 def _merge_group(length: int, most: int, level: int, last: bool):
-    def merge(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        """Largest piece first, each where it fits best; the `most` emptiest windows stay open but in the last round."""
-        pieces = pieces.sort_values(["length", "sequence_id", "offset"], ascending=[False, True, True], kind="stable")
-        windows, of, offset = OpenWindows(length, len(pieces)), {}, []
-        done: list[tuple[int, list]] = []
-        for i, size in enumerate(pieces["length"]):
-            done += windows.place([i], size)
-        still = {n for _, n in windows.free[-most:]} if not last else set()
-        place, at, closed = [0] * len(pieces), [0] * len(pieces), [True] * len(pieces)
-        for n, window in [*done, *windows.held.items()]:
-            for (i,), where in window:
-                place[i], at[i], closed[i] = sequence_number(level, int(key[0]), n), where, n not in still
-        return pieces.assign(sequence_id=place, offset=at, closed=closed)[NAMES]
+    def merge(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        """One group's bundles, placed anew."""
+        placed = merged(list(zip(b["tokens"], b["window"], b["bundle"])), length, 0 if last else most)
+        numbers, base, closed = zip(*placed)
+        return b.assign(sequence_id=[sequence_number(level, int(key[0]), n) for n in numbers], base=base, closed=closed)
 
     return merge
 
@@ -186,21 +216,34 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, length: int = LENGTH
     Each partition packs online: it holds at most open_windows open windows, puts a piece into the one where it fits
     best, and closes the fullest when none fits. Documents are cut at multiples of `length` only. What stays open at a
     partition's end is merged, so many groups at a time, until one group is left; every round hands on at most
-    open_windows windows a group, so no task's share grows with the input.
+    open_windows windows a group, so no task's share grows with the input. Merging works on bundles of pieces (a
+    window has about twice BUNDLES_A_WINDOW at most) by their number of tokens; the ids stay where they are stored.
 
-    A null text is empty: such a document is its end id alone. Null and repeated doc_ids and repeated rows are packed
-    like others; an empty table gives no rows; extra columns are ignored. Returns doc_id, start, length, doc_tokens,
-    ids (binary, little-endian unsigned 32-bit), sequence_id and offset, one row for each piece.
+    A null text is empty: such a document is its end id alone. Ids are those that the tokenizer gives of itself, so a
+    special token's string becomes that token; bytes that are no UTF-8 count as U+FFFD. Null and repeated doc_ids and
+    repeated rows are packed like others; an empty table gives no rows; extra columns are ignored. Returns doc_id,
+    start, length, doc_tokens, ids (binary, little-endian unsigned 32-bit), sequence_id and offset, one row a piece.
     """
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = materialize(bare.mapInArrow(_pack_partition(tokenizer_path, length, open_windows), PIECE), "pack-0")
-    done, still, level = first.filter("closed"), first.filter("not closed"), 0
-    parts = still.agg(F.max("part")).first()[0]
+    left = first.filter("bundle IS NOT NULL")
+    by = ["part", F.col("sequence_id").alias("window"), "bundle"]
+    still = left.groupBy(*by).agg(F.sum("length").alias("tokens"))
+    starts = left.groupBy(F.col("sequence_id").alias("window"), "bundle").agg(F.min("offset").alias("first"))
+    level, parts, placed = 0, left.agg(F.max("part")).first()[0], None
     while parts is not None:
         level, parts = level + 1, parts // GROUPS_A_MERGE
-        grouped = still.withColumn("part", F.expr(f"part div {GROUPS_A_MERGE}")).groupBy("part")
-        merged = materialize(grouped.applyInPandas(_merge_group(length, open_windows, level, parts == 0), PIECE), f"pack-{level}")
-        done, still = done.unionByName(merged.filter("closed")), merged.filter("not closed")
+        grouped = still.select("window", "bundle", "tokens", F.expr(f"part div {GROUPS_A_MERGE}").alias("part")).groupBy("part")
+        merge = _merge_group(length, open_windows, level, parts == 0)
+        round_ = materialize(grouped.applyInPandas(merge, BUNDLE), f"pack-{level}")
+        closed, still = round_.filter("closed"), round_.filter("not closed")
+        placed = closed if placed is None else placed.unionByName(closed)
         if parts == 0:
             break
-    return done.drop("part", "closed")
+    out = ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]
+    done = first.filter("bundle IS NULL").select(*out)
+    if placed is None:
+        return done
+    moved = placed.join(starts, ["window", "bundle"]).select(F.col("window").alias("_window"), F.col("bundle").alias("_bundle"), F.col("sequence_id").alias("_to"), (F.col("base") - F.col("first")).alias("_by"))
+    here = left.join(moved, (F.col("sequence_id") == F.col("_window")) & (F.col("bundle") == F.col("_bundle")))
+    return done.unionByName(here.withColumn("sequence_id", F.col("_to")).withColumn("offset", F.col("offset") + F.col("_by")).select(*out))
