@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonewright.llm.common import remembered, texts
+
 #: What the vocabulary puts before a pre-token.
 START = "▁"
-#: Distinct words of the texts that share a trie, about; and terminal counts that a task remembers.
-BATCH_WORDS = 200_000
-REMEMBERED = 400_000
+#: Words of the texts that share a trie, about; terminal counts that a worker remembers, in each of two halves, and the longest such word.
+BATCH_WORDS = 400_000
+REMEMBERED, LONGEST_WORD = 250_000, 64
 
 
 class Unigrams:
@@ -27,14 +27,15 @@ class Unigrams:
         self.score: dict[str, float] = {}
         for rank, p in enumerate(pieces, 1):
             self.score.setdefault(p, -math.log(rank) - norm)
-        self.longest = max(map(len, self.score), default=1)
+        #: Every end of a piece; None unless it is a piece itself.
+        self.ends: dict[str, float | None] = {p[i:]: None for p in self.score for i in range(1, len(p))}
+        self.ends.update(self.score)
         #: A byte that no piece covers costs more than any two pieces.
         self.byte = -3 * (math.log(len(pieces) + 1) + norm)
 
 
-@lru_cache(maxsize=2)
 def unigrams(path: str) -> Unigrams:
-    """The ordinary pieces of a vocabulary file, once for each Python worker."""
+    """The ordinary pieces of a vocabulary file."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -49,48 +50,82 @@ def count_pre_tokens(words: Iterable[str], model: Unigrams) -> Iterator[tuple[st
     before, and the forward scores (best log probability, fewest tokens) of that prefix stand already. Only the path
     is held. Of segmentations with equal scores the one of fewer tokens counts.
     """
-    score, longest, byte = model.score.get, model.longest, model.byte
-    path, before = [(0.0, 0)], ""
+    ends, byte = model.ends, model.byte
+    scores, counts, before = [0.0], [0], ""  # counts are negative, so that of equal scores the larger is better
     for word in sorted(words):
         shared, most = 0, min(len(word), len(before))
         while shared < most and word[shared] == before[shared]:
             shared += 1
-        del path[shared + 1 :]
+        del scores[shared + 1 :], counts[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
-            n = len(word[end - 1].encode("utf-8", "replace"))
-            s, k = path[end - 1]
-            best = (s + n * byte, -(n - k))
-            for start in range(max(0, end - longest), end):
-                if (p := score(word[start:end])) is not None:
-                    s, k = path[start]
-                    if (s + p, k - 1) > best:
-                        best = (s + p, k - 1)
-            path.append(best)
+            last = word[end - 1]
+            n = 1 if last < "\x80" else len(last.encode("utf-8", "replace"))
+            best, least = scores[end - 1] + n * byte, counts[end - 1] - n
+            for start in range(end - 1, -1, -1):
+                piece = word[start:end]
+                if piece not in ends:  # nor does any longer one end a piece
+                    break
+                p = ends[piece]
+                if p is not None:
+                    s = scores[start] + p
+                    if s > best or (s == best and counts[start] - 1 > least):
+                        best, least = s, counts[start] - 1
+            scores.append(best)
+            counts.append(least)
         before = word
-        yield word, -path[len(word)][1]
+        yield word, -counts[len(word)]
+
+
+class TerminalCounts(dict):
+    """Tokens of a word (bytes), for the words that a worker has met lately; of two halves the older is given up."""
+
+    def __init__(self, model: Unigrams):
+        super().__init__()
+        self.model, self.older = model, {}
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Score what is new among distinct words, in one trie."""
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        new = []
+        for w in words:
+            if w not in self:
+                n = self.older.get(w)
+                if n is None:
+                    new.append(w)
+                else:
+                    self[w] = n
+        read = {START + w.decode("utf-8", "replace"): None for w in new}
+        read.update(count_pre_tokens(read, self.model))
+        self.update((w, read[START + w.decode("utf-8", "replace")]) for w in new)
+
+    def forget_long(self, words: Iterable[bytes]) -> None:
+        for w in words:
+            self.pop(w, None)
 
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = unigrams(path), {}
+        known = remembered(("token counts", path), lambda: TerminalCounts(unigrams(path)))
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            words_of, tokens_of = [], []
-            at = 0
-            while at < len(texts):
-                # as many whole texts as stay within BATCH_WORDS words, one at least
-                some, held = [], 0
-                while at < len(texts) and (not some or held < BATCH_WORDS):
-                    some.append(Counter((texts[at] or b"").split()))
-                    held += len(some[-1])
-                    at += 1
-                new = {w for c in some for w in c if w not in known}
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = {w for c in some for w in c}
-                known.update((w[len(START) :].encode(), n) for w, n in count_pre_tokens((START + w.decode() for w in new), model))
-                words_of += [sum(c.values()) for c in some]
-                tokens_of += [sum(n * known[w] for w, n in c.items()) for c in some]
+            words_of, tokens_of, some, held = [], [], [], 0
+
+            def counted() -> None:
+                distinct = set().union(*some)
+                known.learn(distinct)
+                words_of.extend(map(len, some))
+                tokens_of.extend(sum(map(known.__getitem__, words)) for words in some)
+                known.forget_long(w for w in distinct if len(w) > LONGEST_WORD)
+                some.clear()
+
+            for text in texts(b.column(1)):
+                some.append((text or b"").split())
+                held += len(some[-1])
+                if held > BATCH_WORDS:  # whole texts, one at least
+                    counted()
+                    held = 0
+            counted()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words_of, pa.int64()), pa.array(tokens_of, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     return run
@@ -100,11 +135,11 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """(doc_id, n_words, n_tokens) of documents (doc_id, text), one row for each.
 
     Pre-tokens are words (runs of anything but ASCII white space) behind the vocabulary's start sign; a document has
-    the tokens of all its pre-tokens, repeats included. Every task puts the distinct pre-tokens of its texts into a
-    trie, batch by batch, scores each shared prefix once, and remembers a bounded number of terminal counts: nothing
-    is shuffled, no word gathers anywhere, and a lost task is simply done again.
+    the tokens of all its pre-tokens, repeats included. Every task puts the pre-tokens that are new to its worker into
+    a trie, batch by batch, and scores each shared prefix once; a worker remembers a bounded number of terminal counts
+    from task to task. Nothing is shuffled, no word gathers anywhere, and a lost task is simply done again.
 
-    A null or empty text has 0 of each; repeated rows and null doc_ids stay; an empty table gives no rows; extra
+    A null or empty text has 0 of each; bytes that are no UTF-8 count as U+FFFD; repeated rows and null doc_ids stay; an empty table gives no rows; extra
     columns are ignored.
     """
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
