@@ -1,11 +1,12 @@
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import PROSE, TEXTS, awkward, empty, words
-from zonewright.llm.quality_model import document_classifier, features, quality_posteriors
+from zonewright.llm.quality_model import document_classifier, features, quality_posteriors, sampled_features
 from zonewright.llm.quality_rules import bin_start, judged, keep_good, rule_table, sketch_bin
 
 
@@ -92,12 +93,66 @@ def test_sparse_sites_shrink_toward_the_global_prior(spark):
     assert got[1].kept and not got[2000].kept
 
 
+def plain_posteriors(docs, known, weights, bias):
+    """The hierarchy in plain Python: {doc_id: (host posterior, path posterior, quality)} for (doc_id, host, path, text)."""
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    logit = {i: round(float(np.clip(weights[features(t)].sum() + bias, -30, 30)), 6) for i, _, _, t in docs}
+    soft = {i: float(known[i]) if i in known else round(1e6 * sigmoid(logit[i])) / 1e6 for i, *_ in docs}
+
+    def strength(groups, priors):
+        n = sum(len(g) for g in groups)
+        between = sum(len(g) * (sum(g) / len(g) - p) ** 2 for g, p in zip(groups, priors))
+        within = sum(len(g) * p * (1 - p) for g, p in zip(groups, priors))
+        spread = (between - within * len(groups) / n) / n
+        return min(1e6, max(1.0, within / n / spread - 1)) if spread > 0 else 1e6
+
+    prior = (sum(soft.values()) + 1) / (len(docs) + 2)
+    hosts, paths, host_of = defaultdict(list), defaultdict(list), {}
+    for i, host, path, _ in docs:
+        hosts[host].append(soft[i])
+        paths[path].append(soft[i])
+        host_of[path] = host
+    k = strength(list(hosts.values()), [prior] * len(hosts))
+    whole = {h: (sum(g) + k * prior) / (len(g) + k) for h, g in hosts.items()}
+    kp = strength(list(paths.values()), [whole[host_of[p]] for p in paths])
+    out = {}
+    for i, host, path, _ in docs:
+        h = (sum(hosts[host]) - soft[i] + k * prior) / (len(hosts[host]) - 1 + k)
+        p = (sum(paths[path]) - soft[i] + kp * h) / (len(paths[path]) - 1 + kp)
+        out[i] = (h, p, sigmoid(logit[i] - math.log(prior / (1 - prior)) + math.log(p / (1 - p))))
+    return out
+
+
+def test_a_long_tail_of_hosts_against_plain_python(spark):
+    """Two hosts with many documents, and a hundred with one each, by url."""
+    junk = "!!! BUY $$$ " * 30
+    rows = [(i, junk if i % 5 == 0 else PROSE + f" {i}", f"http://{'a' if i % 2 else 'b'}.example/{'x' if i % 3 else 'y'}/{i}") for i in range(300)]
+    rows += [(1000 + i, junk if i % 3 == 0 else PROSE + f" {i}", f"https://h{i}.example") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, url string").repartition(5)
+    labels = spark.createDataFrame([(i, int(t is not junk), 0) for i, t, _ in rows if i % 4 == 0 and i < 300], "doc_id long, quality int, toxic int")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    weights, bias = document_classifier(docs, labels.select("doc_id", F.col("quality").alias("good")))
+    sites = []
+    for i, t, url in rows:
+        host, _, rest = url.split("//")[1].partition("/")
+        sites.append((i, host, f"{host}/{rest.split('/')[0]}", t.encode()))
+    want = plain_posteriors(sites, known, weights, bias)
+    got = {r.doc_id: r for r in quality_posteriors(docs, labels).collect()}
+    assert got.keys() == want.keys()
+    for i, (h, p, q) in want.items():
+        assert np.allclose((got[i].host_posterior, got[i].path_posterior, got[i].quality), (h, p, q), atol=1e-6)
+    alone = {round(got[1000 + i].path_posterior, 6) for i in range(100)}
+    assert len(alone) == 1  # the only document of a site is judged by the prior of all, whatever it is itself
+
+
 def test_posteriors_of_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, None, 0), (2, 0, None), (None, 1, 1), (77, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality_posteriors(awkward(spark), labels).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, *_ in TEXTS)
     none = quality_posteriors(awkward(spark), labels.limit(0)).collect()
     assert len(none) == len(TEXTS) and all(r.kept and r.evidence == 0 for r in none)
+    bad = quality_posteriors(awkward(spark), labels.filter("quality = 0")).collect()
+    assert len(bad) == len(TEXTS) and not any(r.kept for r in bad)
     assert quality_posteriors(empty(spark), labels).count() == 0
 
 
@@ -106,4 +161,6 @@ def test_the_sample_is_bounded(spark, sf_dir):
     known = labels.select("doc_id", F.col("quality").cast("int").alias("good"))
     few, _ = document_classifier(docs, known, sample_rows=5)
     assert np.isfinite(few).all()
+    repeated = docs.unionByName(docs).unionByName(docs.withColumn("text", F.lit("another")))
+    assert sampled_features(repeated, known, 5).count() == 5
     assert features(None) and features(b"a b") != features(b"A!! b")
