@@ -103,3 +103,24 @@ def test_mixed_rows_repeat_whole_rows(spark):
     assert out.columns == docs.columns
     assert Counter(r.doc_id for r in out.collect()) == {r.doc_id: r.n for r in copies}
     assert mixed_rows(empty(spark)).count() == 0
+
+
+def test_rows_that_are_alike_spread_and_give_the_same_totals(spark):
+    """50,000 rows without ids, of one source and size, against the plain queue; and no slice holds many of them."""
+    rows = [(None if i < 50_000 else i, "two words" if i < 50_000 else " ".join(["w"] * (1 + i % 5)), "a" if i < 50_000 or i % 3 else "b") for i in range(51_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mix_documents(docs).collect()
+    sized = spark.createDataFrame([(i, f"={s}", len(t.split())) for i, t, s in rows], "doc_id long, source_key string, size long")
+    hashed = [(n, r.source_key, r["size"], r.h) for n, r in enumerate(sized.withColumn("h", F.xxhash64(F.lit(7), "doc_id", "source_key", "size")).collect())]
+    want = brute_copies(hashed, sum(r[2] for r in hashed))
+    taken = Counter()
+    for n, copies in want.items():
+        taken[rows[n][2]] += copies * hashed[n][2]
+    heavy = Counter()
+    for r in got:
+        heavy[r.weight] += r.taken
+    largest = 5
+    assert abs(heavy[1] - taken["a"]) <= 4 * largest and abs(heavy[2] - taken["b"]) <= 4 * largest
+    assert sum(1 for r in got if r.doc_id is None) == 50_000
+    lots = Counter(r[0] for r in sized.filter("doc_id IS NULL").selectExpr("pmod(xxhash64(monotonically_increasing_id()), 50)").collect())
+    assert len(lots) == 50 and max(lots.values()) < 2000

@@ -9,6 +9,8 @@ from zonewright.functions.storage import materialize
 from zonewright.llm.common import number_rows, running_offsets, sorted_parts, source_key, with_row_ids, word_count
 
 ROWS_A_BUCKET = 8_000
+#: Rows of the same source, id and size are alike to the queue; so many of them are spread over slices of their own.
+MANY_ALIKE = 1_000
 
 
 def repeating_weights(keys: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -48,7 +50,9 @@ def fair_queue(items: DataFrame, weights: DataFrame | None = None, *, budget_sha
     sources is range-sorted by that time and cut where its tokens reach the budget (budget_share of all tokens).
 
     A source's running total comes from sums over equal slices of the hash range, so no task holds a whole source,
-    however hot. Ties of the time break by source, hash, id and repeat: reruns agree. An empty source or an all-empty
+    however hot. Rows that hash alike (repeated rows, rows without ids) and are many stand behind the others of their
+    slice, dealt out by row to slices of their own; as they are alike in all that counts here, any order of them gives
+    the same mix. Ties of the time break by source, hash, id and repeat: reruns agree. An empty source or an all-empty
     table takes nothing. Returns rid, doc_id, source_key, size, copies int, taken long, source_size long,
     weight int, target double, first_finish double (null when not taken).
     """
@@ -57,7 +61,14 @@ def fair_queue(items: DataFrame, weights: DataFrame | None = None, *, budget_sha
     rows = base.count()
     bits = max(1, (max(rows, 1) // ROWS_A_BUCKET).bit_length())
     base = base.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
-    slices = materialize(base.groupBy("source_key", "bucket").agg(F.sum("size").alias("slice_size")), "mix-slices")
+    many = base.groupBy("source_key", "bucket", "h").count().filter(F.col("count") > MANY_ALIKE)
+    # Spark broadcasts these few if their stored size allows.
+    many = materialize(many.select("source_key", "bucket", "h", F.ceil(F.col("count") / MANY_ALIKE).alias("lots")), "mix-alike")
+    alike = F.when(F.col("lots").isNotNull(), F.col("h")).otherwise(0)
+    lot = F.when(F.col("lots").isNotNull(), 1 + F.pmod(F.xxhash64("rid"), F.col("lots"))).otherwise(0)  # 0: all that are not many
+    base = base.join(many, ["source_key", "bucket", "h"], "left").withColumn("alike", alike).withColumn("lot", lot).drop("lots")
+    cell = ["source_key", "bucket", "alike", "lot"]
+    slices = materialize(base.groupBy(*cell).agg(F.sum("size").alias("slice_size")), "mix-slices")
     sizes = slices.groupBy("source_key").agg(F.sum("slice_size").cast("long").alias("source_size"))
     weights = repeating_weights(sizes) if weights is None else weights
     sources = materialize(sizes.join(weights.select("source_key", F.col("weight").cast("int").alias("weight")), "source_key"), "mix-weights")
@@ -66,10 +77,11 @@ def fair_queue(items: DataFrame, weights: DataFrame | None = None, *, budget_sha
     targets, _ = fair_targets(sources, float(budget), max_repeats)
     targets = materialize(targets, "mix-targets")
 
-    ahead = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.select("source_key", "bucket", F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)).alias("start")).join(targets, "source_key")
-    within = Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    queued = base.join(starts, ["source_key", "bucket"]).withColumn("upto", F.col("start") + F.sum("size").over(within))
+    # one row a slice, that is one for some thousands of documents
+    ahead = Window.partitionBy("source_key").orderBy("bucket", F.col("lot") > 0, "alike", "lot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slices.select(*cell, F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)).alias("start")).join(targets, "source_key")
+    within = Window.partitionBy(*cell).orderBy("h", "doc_id", "rid").rowsBetween(Window.unboundedPreceding, 0)
+    queued = base.join(starts, cell).withColumn("upto", F.col("start") + F.sum("size").over(within))
     queue = queued.select("rid", "doc_id", "source_key", "size", "h", "source_size", "weight", "target", "upto", F.explode(F.sequence(F.lit(1), F.lit(max_repeats))).alias("repeat")).withColumn(
         "finish", (F.col("upto") + (F.col("repeat") - 1) * F.col("source_size")) / F.col("weight")
     )
