@@ -73,21 +73,23 @@ SELECT doc_id, {", ".join(q.COUNTS)}, base_failed, coalesce(NOT base_failed AND
 def license_scan_sql() -> str:
     s = license_scan
     quote = lambda t: "'" + t.replace("'", "''") + "'"
-    rules = ", ".join(f"({n}, {quote(label)}, {quote(word)}, {quote(regex)}, {priority}, {confidence})" for n, label, word, regex, priority, confidence in s.rules())
-    gate = " OR ".join(f"contains(words, {quote(g)})" for g in s.GATES)
+    rules = ", ".join(f"({n}, {quote(label)}, {quote(word)}, {quote(regex)}, {of_text})" for n, label, word, regex, of_text in s.rules())
+    gate = " OR ".join(f"contains(words, {quote(g)})" for g in (*s.GATES, *s.GATES_OF_TEXTS))
+    fits = lambda where, signs: " OR ".join(f"{where}_with(match, {quote(x)})" for x in signs)
+    rank = lambda k: f"CASE WHEN of_text THEN {s.OF_TEXT[k]} " + " ".join(f"WHEN {fits(w, signs)} THEN {(p, c)[k]}" for w, signs, p, c in s.RANKS) + f" ELSE {s.OF_NAME_ALONE[k]} END"
     spaces = "CAST((length({0}) - length(replace({0}, ' ', ''))) // 2 AS BIGINT)".format
     phrases = ", ".join(f"({quote(' ' + p.replace(' ', '  ') + ' ')}, {quote(label)})" for p, label in s.BASE_PHRASES.items())
     return f"""
 WITH lowered AS (SELECT row_number() OVER () AS rid, doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{s.NOT_WORD}', '  ', 'g')) AS bare FROM documents),
 docs AS (SELECT rid, doc_id, CASE WHEN bare <> '' THEN ' ' || bare || ' ' ELSE '' END AS words FROM lowered),
-rules(number, label, keyword, regex, priority, confidence) AS (VALUES {rules}),
+rules(number, label, keyword, regex, of_text) AS (VALUES {rules}),
 phrases(phrase, label) AS (VALUES {phrases}),
 split AS (SELECT rid, string_split(words, phrase) AS pieces, phrase, label FROM docs, phrases WHERE contains(words, phrase)),
 base AS (SELECT rid, label, {spaces("array_to_string(pieces[1:i], '')")} + (i - 1) * {spaces("phrase")} AS s0 FROM (SELECT rid, label, phrase, pieces, unnest(range(1, len(pieces))) AS i FROM split)),
 base_sums AS (SELECT rid, count(*) AS n_base, min(s0) AS first_word, max(s0) AS last_word, list(DISTINCT label) AS base_labels FROM base GROUP BY 1),
-found AS (SELECT rid, number, label, priority, confidence, regexp_extract_all(words, regex) AS m, string_split_regex(words, regex) AS p FROM docs, rules WHERE ({gate}) AND contains(words, keyword) AND regexp_matches(words, regex)),
-spans AS (SELECT rid, number, label, priority, confidence, s0, s0 + {spaces("m[i]")} AS s1 FROM
-  (SELECT *, {spaces("array_to_string(p[1:i], '')")} + {spaces("array_to_string(m[1:i - 1], '')")} AS s0 FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found))),
+found AS (SELECT rid, number, label, of_text, regexp_extract_all(words, regex) AS m, string_split_regex(words, regex) AS p FROM docs, rules WHERE ({gate}) AND len(list_filter(string_split(keyword, '|'), lambda k: contains(words, k))) > 0 AND regexp_matches(words, regex)),
+matched AS (SELECT rid, number, label, of_text, m[i] AS match, {spaces("array_to_string(p[1:i], '')")} + {spaces("array_to_string(m[1:i - 1], '')")} AS s0 FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found)),
+spans AS (SELECT rid, number, label, {rank(0)} AS priority, {rank(1)} AS confidence, s0, s0 + {spaces("match")} AS s1 FROM matched),
 kept AS (SELECT * FROM spans d WHERE NOT EXISTS (SELECT 1 FROM spans o WHERE o.rid = d.rid AND o.s0 <= d.s0 AND o.s1 >= d.s1 AND o.priority >= d.priority
   AND (o.s0, -o.s1, -o.priority, o.number) < (d.s0, -d.s1, -d.priority, d.number))),
 own AS (SELECT rid, list(DISTINCT label) AS own_labels, max(confidence) AS best, count(*) AS n_spans FROM kept GROUP BY 1)
