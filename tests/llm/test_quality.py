@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import PROSE, TEXTS, awkward, empty, words
 from zonewright.llm.quality_model import document_classifier, features, quality_posteriors, sampled_features
-from zonewright.llm.quality_rules import bin_start, judged, keep_good, rule_table, sketch_bin
+from zonewright.llm.quality_rules import bin_start, judged, keep_good, rule_table, sketch_bin, thresholds
 
 
 def brute_counts(text):
@@ -43,23 +43,29 @@ def test_sketch_bins_hold_their_numbers(spark):
 def test_a_small_group_is_weighed_toward_its_language(spark):
     rows = [(i, PROSE + f" {i}", "en", "big") for i in range(3000)] + [(10_000 + i, ("%%%% " * 3 + PROSE) * (1 + i % 2), "en", "small") for i in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    high = {r[0]: r[1] for r in judged(docs, ["source"]).select("source", "_zw_high_symbols").distinct().collect()}
+    q3 = {r[0]: r[1] for r in judged(docs, ["source"]).select("source", "_zw_q3_symbols").distinct().collect()}
     own = 1000 * (12.375 / len("".join(words(PROSE)) + "%" * 12)) ** 0.5
-    assert high["big"] < high["small"] < high["big"] + 4 / 104 * 5 * own
+    assert q3["big"] < q3["small"] < q3["big"] + 4 / 104 * own
 
 
 def test_sources_with_other_statistics_get_other_thresholds(spark):
     """The same prose, in one source with currency signs throughout: no single cutoff gives these verdicts."""
-    rows = [(i, PROSE + f" {'and so on ' * (i % 7)}{i}", "en", "plain") for i in range(400)]
-    rows += [(1000 + i, ("$" * (9 + i % 5) + " ") + PROSE + f" {'and so on ' * (i % 7)}{i}", "en", "prices") for i in range(400)]
-    rows += [(5000, "$" * 11 + " " + PROSE, "en", "plain"), (5001, "$" * 60 + " " + PROSE, "en", "prices")]
+    rows = [(i, PROSE + f" {'and so on ' * (i % 7)}{i}", "en", "plain") for i in range(800)]
+    rows += [(1000 + i, ("$" * (18 + i % 9) + " ") + PROSE + f" {'and so on ' * (i % 7)}{i}", "en", "prices") for i in range(800)]
+    rows += [(5000, "$" * 22 + " " + PROSE, "en", "plain"), (5001, "$" * 150 + " " + PROSE, "en", "prices")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in rule_table(docs).collect()}
     assert not got[5000].kept and not got[5001].kept
     usual = [r for i, r in got.items() if i < 5000]
     assert all(r.kept for r in usual) and max(r.n_symbols for r in usual) > got[5000].n_symbols
-    high = {r[0]: r[1] for r in judged(docs, ["source"]).select("source", "_zw_high_symbols").distinct().collect()}
-    assert high["prices"] > 1.5 * high["plain"]
+    high = {r[0]: r[1] for r in judged(docs, ["source"]).groupBy("source").agg(F.max(thresholds("symbols")[1])).collect()}
+    assert high["prices"] > 1.2 * high["plain"]
+
+
+def test_a_group_that_is_mostly_copies_keeps_the_others(spark):
+    rows = [(i, PROSE, "en", "s") for i in range(300)] + [(1000 + i, f"Own {i} words " + PROSE.lower().replace("a", "a" * (1 + i % 2)), "en", "s") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert keep_good(docs).count() == 360
 
 
 def test_awkward_rows(spark):

@@ -13,8 +13,8 @@ def line_dedup_sql() -> str:
 WITH pages AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '>') AS host, text FROM documents),
 lines AS (SELECT rid, doc_id, host, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM pages),
 marked AS (SELECT *, {bare} AS bare FROM lines),
-totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY 1),
-common AS (SELECT host, bare FROM (SELECT DISTINCT rid, host, bare FROM marked WHERE bare <> '') JOIN totals USING (host)
+totals AS (SELECT host, count(*) AS pages FROM (SELECT DISTINCT host, text FROM pages) GROUP BY 1),
+common AS (SELECT host, bare FROM (SELECT DISTINCT text, host, bare FROM marked WHERE bare <> '') JOIN totals USING (host)
   GROUP BY host, bare, pages HAVING count(*) >= {line_dedup.LEAST_PAGES} AND count(*) > {line_dedup.RATIO} * pages)
 SELECT m.doc_id,
   CASE WHEN m.text IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.bare IS NULL), '') END AS text,
@@ -41,11 +41,13 @@ def quality_rules_sql() -> str:
     toward = lambda n, own, prior: f"(({n}::DOUBLE * {own}::DOUBLE + {q.PRIOR_DOCUMENTS} * {prior}) / ({n}::DOUBLE + {q.PRIOR_DOCUMENTS}))"
     weighed = lambda x: toward("f.n", f"f.{x}", toward("c.n", f"c.{x}", f"t.{x}::DOUBLE"))
     inside = []
-    for m, (*_, both) in q.MEASURES.items():
-        low_high = f"(SELECT {{}} FROM bounds t WHERE t.lang_key = j.lang_key AND t.source_key = j.source_key AND measure = '{m}')"
-        inside.append(f"v_{m} <= {low_high.format('high')}")
+    for m, (count, of, rare, both) in q.MEASURES.items():
+        q1, q3 = (f"(SELECT {x} FROM picked t WHERE t.lang_key = j.lang_key AND t.source_key = j.source_key AND measure = '{m}')" for x in ("q1", "q3"))
+        chance = f"{q.CHANCE}::DOUBLE / sqrt({of})" if rare else f"{q.CHANCE}::DOUBLE * ({count} / {of}) / sqrt({of})"
+        reach = f"{q.RANGES} * greatest({q3} - {q1}, CASE WHEN {of} > 0 THEN {chance} ELSE 0 END)"
+        inside.append(f"v_{m} <= {q3} + {reach}")
         if both:
-            inside.append(f"v_{m} >= {low_high.format('low')}")
+            inside.append(f"v_{m} >= {q1} - {reach}")
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '>') AS lang_key, coalesce('=' || source, '>') AS source_key, coalesce(text, '') AS text FROM documents),
 words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT rid, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM docs)),
@@ -65,8 +67,7 @@ all_sketch AS (SELECT measure, bin, CAST(sum(n) AS BIGINT) AS n FROM lang_sketch
 {quartiles("coarse", "lang_sketch", "lang_key, measure")},
 {quartiles("total", "all_sketch", "measure")},
 picked AS (SELECT f.lang_key, f.source_key, f.measure, {weighed("q1")} AS q1, {weighed("q3")} AS q3
-  FROM fine f JOIN coarse c ON c.lang_key = f.lang_key AND c.measure = f.measure JOIN total t ON t.measure = f.measure),
-bounds AS (SELECT lang_key, source_key, measure, q1 - {q.RANGES} * (q3 - q1) AS low, q3 + {q.RANGES} * (q3 - q1) AS high FROM picked)
+  FROM fine f JOIN coarse c ON c.lang_key = f.lang_key AND c.measure = f.measure JOIN total t ON t.measure = f.measure)
 SELECT doc_id, {", ".join(q.COUNTS)}, base_failed, coalesce(NOT base_failed AND {" AND ".join(inside)}, false) AS kept FROM judged j"""
 
 

@@ -20,6 +20,9 @@ LEAST_WORDS = 50
 PRIOR_DOCUMENTS = 100
 #: Thresholds stand this many quartile ranges beyond the quartiles.
 RANGES = 4
+#: A thousand times the quartile range that chance alone gives the root of a rate, or a mean of its own size, times the
+#: root of how many it is over: 1.35 deviations of a half.
+CHANCE = 675.0
 #: Measure: (numerator, denominator, whether it counts rare events, whether low values count too).
 MEASURES = {
     "symbols": ("n_symbols", "word_chars", True, False),
@@ -119,8 +122,8 @@ def _quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys, "measure").agg(F.max("total").alias("n"), at(1).alias("q1"), at(3).alias("q3"))
 
 
-def adaptive_thresholds(measured: DataFrame) -> DataFrame:
-    """(lang_key, source_key, low_<measure>, high_<measure>), stored, from the sketches of every group of `measured`.
+def adaptive_quartiles(measured: DataFrame) -> DataFrame:
+    """(lang_key, source_key, q1_<measure>, q3_<measure>), stored, from the sketches of every group of `measured`.
 
     A sketch is the counts of sketch_bin over a group: of bounded size, and two merge by adding counts, in any order
     and to the same result. Sketches of languages and of all documents are merged from those of the groups.
@@ -138,21 +141,34 @@ def adaptive_thresholds(measured: DataFrame) -> DataFrame:
     c = lambda name: F.col(name).cast("double")
     q1, q3 = (toward(c("n"), c(q), toward(c("lang_n"), c(f"lang_{q}"), c(f"all_{q}"))) for q in ("q1", "q3"))
     bounds = joined.select("lang_key", "source_key", "measure", q1.alias("q1"), q3.alias("q3"))
-    bounds = bounds.select("lang_key", "source_key", "measure", (F.col("q1") - RANGES * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + RANGES * (F.col("q3") - F.col("q1"))).alias("high"))
     at = lambda side, m: F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}")
-    return materialize(bounds.groupBy("lang_key", "source_key").agg(*[at(side, m) for m in MEASURES for side in ("low", "high")]), "rules-thresholds")
+    return materialize(bounds.groupBy("lang_key", "source_key").agg(*[at(side, m) for m in MEASURES for side in ("q1", "q3")]), "rules-quartiles")
+
+
+def thresholds(m: str) -> tuple[Column, Column]:
+    """The lowest and highest value of a measure that a document may have.
+
+    They stand RANGES ranges beyond its group's quartiles. The range is the group's, or what chance alone would give so
+    short a document where that is more: also where most of a group are copies of one text, others are not outliers.
+    """
+    count, of, rare, _ = MEASURES[m]
+    n, q1, q3 = F.col(f"_zw_{of}"), F.col(f"_zw_q1_{m}"), F.col(f"_zw_q3_{m}")
+    chance = F.lit(CHANCE) / F.sqrt(n) if rare else F.lit(CHANCE) * (F.col(f"_zw_{count}") / n) / F.sqrt(n)
+    reach = RANGES * F.greatest(q3 - q1, F.when(n > 0, chance).otherwise(0.0))
+    return q1 - reach, q3 + reach
 
 
 def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """`carry`, the counts, _zw_base_failed and _zw_kept. Spark broadcasts the stored thresholds if their size allows."""
+    """`carry`, the counts, the quartiles, _zw_base_failed and _zw_kept. Spark broadcasts the stored quartiles if their size allows."""
     measured = _measured(counted(docs, carry))
-    bounds = adaptive_thresholds(measured.filter(~F.col("_zw_base_failed")))
+    bounds = adaptive_quartiles(measured.filter(~F.col("_zw_base_failed")))
     bounds = bounds.select(*[F.col(c).alias(f"_zw_{c}") for c in bounds.columns])
     verdict = ~F.col("_zw_base_failed")
     for m, (*_, both) in MEASURES.items():
-        verdict = verdict & (F.col(f"_zw_v_{m}") <= F.col(f"_zw_high_{m}"))
+        low, high = thresholds(m)
+        verdict = verdict & (F.col(f"_zw_v_{m}") <= high)
         if both:
-            verdict = verdict & (F.col(f"_zw_v_{m}") >= F.col(f"_zw_low_{m}"))
+            verdict = verdict & (F.col(f"_zw_v_{m}") >= low)
     return measured.join(bounds, ["_zw_lang_key", "_zw_source_key"], "left").withColumn("_zw_kept", F.coalesce(verdict, F.lit(False)))
 
 
