@@ -20,11 +20,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate on their source, where copies of a text are one page, go; every document stays."""
-    return dedup_lines(docs, copies_once=True).select(*docs.columns)
+    return dedup_lines(docs).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest doc_id: 5-word Jaccard similarity of 0.8 or more."""
+    """One document of each group of near-duplicates stays, that of the smallest doc_id: 5-word Jaccard similarity of 0.8 or more.
+
+    SimHash links, verified, and completed where 3 bits are too few.
+    """
     return keep_one_alike(docs)
 
 

@@ -18,5 +18,5 @@ def test_copies_count_once_for_both_sides(spark):
     """8 texts, 2 of them with the line: a quarter, whatever the copies; repeated doc_ids and rows do no harm."""
     rows = [(1, "x\na", "h")] * 9 + [(2, "x\nb", "h")] + [(10 + i, f"other {i}", "h") for i in range(6)] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    left = lambda ratio: {r.text for r in dedup_lines(docs, ratio, 2, copies_once=True).filter("doc_id < 3").collect()}
+    left = lambda ratio: {r.text for r in dedup_lines(docs, ratio, 2).filter("doc_id < 3").collect()}
     assert left(0.24) == {"a", "b"} and left(0.25) == {"x\na", "x\nb"}

@@ -1,4 +1,9 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, found by a prefix-filtered join."""
+"""What SimHash alone cannot promise: all pairs of a given Jaccard similarity.
+
+Fingerprints within 3 bits of each other point out most near copies, not all: two texts of similarity 0.8 differ in 10 bits
+of 64 on average, and no radius takes in every such pair and few others. So the links of the fingerprints' index are
+verified by the shingles themselves, and a prefix-filtered join finds the pairs that are left.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +18,7 @@ from pyspark.sql import functions as F
 
 from zonewright.functions.storage import materialize
 from zonewright.llm.common import forget, texts, with_row_ids
+from zonewright.llm.simhash import SHINGLES_AT_ONCE, marked, near_links
 from zonewright.operators.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -23,7 +29,7 @@ MAP_LONGS = 8
 #: Texts that tell which shingles are common, and how many of those are told; the result depends on neither.
 SAMPLE_TEXTS, MOST_COMMON = 20_000, 1 << 18
 TEXTS_AT_ONCE = 512
-PROFILE = "id long, size long, tokens array<long>, " + ", ".join(f"m{i} long" for i in range(MAP_LONGS))
+PROFILE = "id long, size long, fp long, tokens array<long>, " + ", ".join(f"m{i} long" for i in range(MAP_LONGS))
 
 
 def folded(text: bytes | None) -> list[bytes]:
@@ -72,7 +78,7 @@ def _profiles(words_each: int, common):
         for b in batches:
             for at in range(0, len(b), TEXTS_AT_ONCE):
                 part = b.slice(at, TEXTS_AT_ONCE)
-                sizes, firsts, maps = [], [], np.zeros((len(part), MAP_LONGS * 64), dtype=np.uint8)
+                sizes, marks, firsts, maps = [], [], [], np.zeros((len(part), MAP_LONGS * 64), dtype=np.uint8)
                 for k, t in enumerate(texts(part.column(1))):
                     own = _tokens(folded(t), words_each)
                     rank = np.zeros(len(own), dtype=np.int64)
@@ -82,12 +88,13 @@ def _profiles(words_each: int, common):
                     n = len(own)
                     least = -(-PARTS * n // OF)
                     sizes.append(n)
+                    marks.append(marked((own.view("<u8")[at : at + SHINGLES_AT_ONCE] for at in range(0, n, SHINGLES_AT_ONCE)), n))
                     firsts.append(own[np.lexsort((own, rank))][: n - least + 1] if n else own)
                     maps[k] = np.bincount((own.view(np.uint64) >> np.uint64(40)).astype(np.int64) % maps.shape[1], minlength=maps.shape[1]) & 1
                 packed = np.packbits(maps, axis=1, bitorder="little").view("<i8")
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(f) for f in firsts])].astype(np.int32), pa.array(np.concatenate(firsts)))
-                arrays = [part.column(0), pa.array(sizes, pa.int64()), lists, *(pa.array(packed[:, i].copy()) for i in range(MAP_LONGS))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "size", "tokens", *(f"m{i}" for i in range(MAP_LONGS))])
+                arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), lists, *(pa.array(packed[:, i].copy()) for i in range(MAP_LONGS))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "size", "fp", "tokens", *(f"m{i}" for i in range(MAP_LONGS))])
 
     return run
 
@@ -168,7 +175,8 @@ def alike_groups(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
     Alike are texts whose sets of word shingles have a Jaccard similarity of 0.8 or more; texts equal but for case and
     white space always are, those without words too. The join is exact. Shingles stand in one order for all texts, the
     ones known to be common last; two alike texts of n and m shingles then share one among the first n - 0.8 n + 1 and
-    m - 0.8 m + 1. Each text first meets one other of each list, so that a large group becomes one component from
+    m - 0.8 m + 1. First come the links of the texts' SimHash fingerprints, over the index of positional bytes, verified;
+    then each text meets one other of each list of a shared shingle, so that a large group becomes one component from
     about as many pairs as it has texts; then all pairs of a list meet whose components still differ.
     """
     bare = docs.select(F.col("_zw_rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -181,13 +189,22 @@ def alike_groups(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
     common = docs.sparkSession.sparkContext.broadcast(_common_tokens(reps, firsts.count(), words_each))
     profiles = materialize(reps.mapInArrow(_profiles(words_each, common), PROFILE), "alike-profiles")
 
+    marks = materialize(profiles.filter("size > 0").groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "alike-marks")
+    of_mark = lambda c: marks.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    linked = near_links(marks.select("fp")).join(of_mark("a"), "a").join(of_mark("b"), "b").select(F.col("first_a").alias("x"), F.col("first_b").alias("y"))
+    same = profiles.join(marks.filter("n > 1"), "fp").filter("id <> first AND size > 0").select(F.col("id").alias("x"), F.col("first").alias("y"))
+    linked = linked.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    by_mark = _edges(linked, profiles, reps, words_each, "alike-marked")
+
     own = profiles.select("id", "size", F.posexplode("tokens").alias("pos", "token"))
     here, place = Window.partitionBy("token"), F.struct(F.col("pos").cast("long").alias("pos"), "id", "size")
     lists = own.select("token", place.alias("own"), F.count("*").over(here).alias("n"), F.min(place).over(here).alias("pivot"))
     lists = materialize(lists.filter("n > 1").select("token", "own", "pivot"), "alike-lists")
     ends = [F.least("own.id", "pivot.id").alias("a"), F.greatest("own.id", "pivot.id").alias("b")]
     star = lists.filter((F.col("own.id") != F.col("pivot.id")) & _may_be_alike(F.col("own"), F.col("pivot"))).select(*ends)
-    edges = _edges(star, profiles, reps, words_each, "alike-star")
+    known = by_mark.withColumnRenamed("a", "x").withColumnRenamed("b", "y")
+    star = star.distinct().join(known, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
+    edges = by_mark.unionByName(_edges(star, profiles, reps, words_each, "alike-star"))
 
     roots = connected_components(edges, "alike-first").withColumnRenamed("node", "id")
     rooted = lists.select("token", "own.*").join(roots, "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", "size", "pos")

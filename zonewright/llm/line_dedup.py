@@ -35,17 +35,14 @@ def without_copies(docs: DataFrame) -> DataFrame:
     return rows.join(copies, "_zw_rid", "left_anti").select("source", "text")
 
 
-def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
+def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, marks): the lines that over `ratio` of a host's pages have, stored.
 
-    With copies_once, pages of the same text are one page of their host.
-
-    A page counts a line once, however often it repeats there. Lines are counted as hashes, summed before they move,
+    Pages of the same text are one page of their host, so a text that is copied often is no boilerplate for that. A page counts a line once, however often it repeats there. Lines are counted as hashes, summed before they move,
     so a line that every page has is one row a task. A host's list is bounded by the mean number of lines on its
     pages divided by ratio.
     """
-    docs = without_copies(docs) if copies_once else docs
-    pages = docs.select(source_key(F.col("source")).alias("host"), F.col("text"))
+    pages = without_copies(docs).select(source_key(F.col("source")).alias("host"), F.col("text"))
     totals = materialize(pages.groupBy("host").agg(F.count("*").alias("pages")), "lines-hosts")
     marks = F.array_distinct(F.array_compact(F.transform(lines_of(F.col("text")), line_mark)))
     having = pages.select("host", F.explode(marks).alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("n"))
@@ -53,17 +50,17 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_
     return materialize(common.groupBy("host").agg(F.collect_list("mark").alias("marks")), "lines-boilerplate")
 
 
-def dedup_lines(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """docs with their texts less the boilerplate lines of their host (column source), and n_lines, n_dropped.
 
     Lines compare without white space at their ends; blank lines stay. A null text stays null and has no lines; null
-    hosts are one host; a text that loses all its lines is empty. Repeated rows count as pages and stay (with
-    copies_once as one page, so a text that is copied often is no boilerplate for that); an empty table gives no rows; columns called n_lines or n_dropped are replaced, others are kept. The texts are not
-    shuffled while the hosts' lists, whose stored size Spark knows, are small enough to broadcast; else Spark joins
+    hosts are one host; a text that loses all its lines is empty. Rows of the same text stay and count as one page of
+    their host. A host needs least_pages pages with a line before there is evidence against it. An empty table gives no
+    rows; columns called n_lines or n_dropped are replaced, others are kept. The texts are not shuffled while the hosts' lists, whose stored size Spark knows, are small enough to broadcast; else Spark joins
     by host and splits hot ones.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    lists = boilerplate(docs, ratio, least_pages, copies_once).select(F.col("host").alias("_zw_host"), F.col("marks").alias("_zw_marks"))
+    lists = boilerplate(docs, ratio, least_pages).select(F.col("host").alias("_zw_host"), F.col("marks").alias("_zw_marks"))
     joined = docs.withColumn("_zw_host", source_key(F.col("source"))).join(lists, "_zw_host", "left")
     lines = lines_of(F.col("text"))
     stays = lambda x: ~F.coalesce(F.array_contains(F.col("_zw_marks"), line_mark(x)), F.lit(False))

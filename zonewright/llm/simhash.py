@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -31,18 +31,22 @@ def mask_of(positions: tuple[int, ...]) -> int:
     return int(np.array(sum(0xFF << 8 * p for p in positions), dtype=np.uint64).astype(np.int64))
 
 
+def marked(hashes: Iterable[np.ndarray], n: int) -> int:
+    """The signed 64-bit SimHash of n hashes, given in arrays of little-endian unsigned 64-bit numbers; 0 of none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for some in hashes:
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: bytes | None, words_each: int = SHINGLE_WORDS) -> int:
     """Signed 64-bit SimHash of the lower-cased text's word shingles; 0 without words."""
     words = (text or b"").lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
         return 0
     shingles = [b" ".join(words)] if len(words) < words_each else list(map(b" ".join, zip(*(words[i:] for i in range(words_each)))))
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(shingles), SHINGLES_AT_ONCE):
-        some = shingles[at : at + SHINGLES_AT_ONCE]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, some, repeat(42)), dtype="<u8", count=len(some))
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")[0])
+    lots = (shingles[at : at + SHINGLES_AT_ONCE] for at in range(0, len(shingles), SHINGLES_AT_ONCE))
+    return marked((np.fromiter(map(xxhash.xxh64_intdigest, some, repeat(42)), dtype="<u8", count=len(some)) for some in lots), len(shingles))
 
 
 def _fingerprints(words_each: int):
