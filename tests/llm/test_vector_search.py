@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from zonewright.llm.vector_search import hilbert_keys, nearest_neighbours
@@ -51,11 +52,27 @@ def test_windows_alone_on_clustered_vectors(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_recall_of_the_curves_on_many_vectors(spark):
+    """50,000 evenly spread vectors of 16 dimensions: windows alone, as wide as they are measured to need."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((50_000, 16)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 16).cast(pa.list_(pa.float32()))}))
+    got = got_of(nearest_neighbours(df, "vec_id % 500 = 0", block_rows=256, complete=False))
+    hits = []
+    for i in range(0, len(x), 500):
+        d = ((x.astype(np.float64) - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        hits.append(len({j for _, j in got[i]} & set(np.argsort(d)[:10].tolist())) / 10)
+    assert len(hits) == 100 and np.mean(hits) >= 0.9
+
+
 def test_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(10, [1.0, 0.0]), (20, None), (30, []), (40, [0.0, 0.0]), (50, [nan, 1.0]), (60, [inf, 1.0]), (70, [None, 1.0]), (None, [1.0, 1.0]), (80, [1.0, 0.0]), (80, [5.0, 0.0]), (3, [2.0, 0.0]), (90, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame([(*r, "x", 1, 2.0) for r in rows], "vec_id long, embedding array<float>, query string, rep int, score double")
+    df = df.unionByName(df.sparkSession.createDataFrame([(100, [1.0, 2.0, 4.0], "x", 1, 2.0)], df.schema))
     got = got_of(nearest_neighbours(df, ASKED))
+    assert got.pop(90) == [(1.0, 100)] and got.pop(100) == [(1.0, 90)]  # with those of their own length
     assert got == {10: [(0.0, 80), (1.0, 3)], 80: [(0.0, 10), (1.0, 3)]}
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nearest_neighbours(none, ASKED).count() == 0

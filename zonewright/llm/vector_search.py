@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,11 @@ CURVES = 4
 #: Projected dimensions and bits of each; a key has DIMS * BITS bits.
 DIMS, BITS = 8, 7
 BLOCK_ROWS = 1024
-#: Queries, and block summaries, that meet in one task.
-QUERIES_A_CHUNK = 4096
-BLOCKS_A_CHUNK = 4096
+#: Queries that meet a block at once, about; at most so many blocks' worth of them; summaries that meet in one task.
+QUERIES_A_CHUNK, MOST_STEPS = 4096, 16
+BALLS_A_LOT = 4096
+#: The windows are as wide as it takes to find this share of the neighbours of a sample of queries.
+SAMPLE_QUERIES, RECALL = 64, 0.95
 
 FOUND = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
 
@@ -127,48 +130,102 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _summaries(block: pa.Table) -> pa.Table:
-    x = matrix(block["vector"])
-    centre = x.mean(axis=0)
-    radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max()) * (1 + 1e-9)
-    return pa.table([block["block"][:1].combine_chunks(), pa.array([centre]), pa.array([radius])], names=["block", "centre", "radius"])
+def _summaries(name: str):
+    def ball(part: pa.Table) -> pa.Table:
+        """Centre and radius of the vectors, and the longest reach among them."""
+        x = matrix(part["vector"])
+        centre = x.mean(axis=0)
+        radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max()) * (1 + 1e-9)
+        reach = float(part["reach"].to_numpy().max())
+        return pa.table([part[name][:1].combine_chunks(), pa.array([centre]), pa.array([radius]), pa.array([reach])], names=[name, "centre", "radius", "reach"])
 
+    return ball
 
-def _reached(summaries: pa.Table, queries: pa.Table) -> pa.Table:
-    """(query, block) wherever the block's ball may hold a row within the query's reach."""
-    names = ["query", "block"]
-    if not len(summaries) or not len(queries):
+
+def _reached(blocks: pa.Table, chunks: pa.Table) -> pa.Table:
+    """(block, chunk) wherever the block's ball may hold a row within the reach of one of the chunk's queries."""
+    names = ["block", "chunk"]
+    if not len(blocks) or not len(chunks):
         return pa.table([pa.array([], pa.int64())] * 2, names=names)
-    c, r, blocks = matrix(summaries["centre"]), summaries["radius"].to_numpy(), summaries["block"].to_numpy()
-    q, reach, ids = matrix(queries["vector"]), queries["reach"].to_numpy(), queries["query"].to_numpy()
+    c, r, ids = matrix(blocks["centre"]), blocks["radius"].to_numpy(), blocks["block"].to_numpy()
+    q, wide, own = matrix(chunks["centre"]), chunks["radius"].to_numpy() + chunks["reach"].to_numpy(), chunks["chunk"].to_numpy()
     out = []
     for at in range(0, len(q), 64):
         apart = np.sqrt(((q[at : at + 64, None] - c[None]) ** 2).sum(axis=2))
-        i, j = np.nonzero(apart - r[None] <= reach[at : at + 64, None] * (1 + 1e-9))
-        out.append((ids[at : at + 64][i], blocks[j]))
+        i, j = np.nonzero(apart - r[None] <= wide[at : at + 64, None] * (1 + 1e-9))
+        out.append((ids[j], own[at : at + 64][i]))
     return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], names=names)
 
 
+def _searched(pairs: DataFrame, queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """What the queries (chunk, query, vector, reach) find among the rows (block, rep, vector) of the blocks they are paired with.
+
+    Of pairs (block, chunk) each ships a block's rows and a chunk's queries once; blocks that no chunk reaches stay.
+    """
+    key = lambda side: [F.col(c).alias(f"{side}_{c}") for c in ("block", "chunk")]
+    left = pairs.join(queries, "chunk").select(*key("asked"), "query", "vector", "reach").groupBy("asked_block", "asked_chunk")
+    right = pairs.join(rows, "block").select(*key("held"), "rep", "vector").groupBy("held_block", "held_chunk")
+    return left.cogroup(right).applyInArrow(lambda q, x: _nearest(q, x, k), "query long, rep long, score double")
+
+
+def _sampled_neighbours(sample: pa.Table, k: int):
+    def run(batches):
+        for b in batches:
+            for out in _nearest(sample, pa.Table.from_batches([b]), k).to_batches():
+                yield out
+
+    return run
+
+
+def window_width(index: DataFrame, asked: DataFrame, distinct: DataFrame, k: int) -> tuple[int, float]:
+    """(blocks on either side, share found): how wide windows must be for RECALL of a sample's neighbours, by brute force.
+
+    The sample is of at most SAMPLE_QUERIES queries, and meets all rows in one pass without a shuffle. A neighbour is
+    found where it stands within that many blocks of its query on any of the curves.
+    """
+    sample = asked.select("query", "vector").distinct().orderBy(F.xxhash64("query"), "query").limit(SAMPLE_QUERIES).toArrow()
+    sample = sample.append_column("reach", pa.array(np.full(len(sample), np.inf)))
+    truth = _best(distinct.select("rep", "vector").mapInArrow(_sampled_neighbours(sample, k), "query long, rep long, score double"), k).filter("query <> rep")
+    at = index.select("curve", "rep", "block")
+    theirs = truth.select("query", "rep").join(at, "rep").withColumnRenamed("block", "there")
+    here = at.select("curve", F.col("rep").alias("query"), F.col("block").alias("here")).join(truth.select("query").distinct(), "query")
+    apart = theirs.join(here, ["query", "curve"]).groupBy("query", "rep").agg(F.min(F.abs(F.col("there") - F.col("here"))).alias("apart"))
+    far = np.sort([r["apart"] for r in apart.collect()])  # k rows for each sampled query
+    if not len(far):
+        return 1, 1.0
+    width = max(1, int(far[min(len(far) - 1, math.ceil(RECALL * len(far)) - 1)]))
+    return width, float((far <= width).mean())
+
+
 def nearest_neighbours(vectors: DataFrame, queries_where, k: int = 10, *, curves: int = CURVES, block_rows: int = BLOCK_ROWS, seed: int = 5, complete: bool = True, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows of every row that queries_where (of vec_id) picks.
 
     Distinct vectors are projected on a few random directions, several times over, and ordered along a Hilbert curve
-    of each shifted grid: one range-partitioned sort. The curve is cut into windows of block_rows; a query is ranked
-    against its own window and both neighbours on each curve, the windows' results merge. That gives each query a
-    distance which its k nearest cannot exceed. With `complete`, every block of the first curve whose ball (centre and
-    radius) comes within that distance is searched too, so the result is exact; without, it is approximate.
-
-    Copies of a vector enter the index once, and come back as the k + 1 smallest ids of their group: ties go to the
-    smaller id. Null vec_ids, vectors that are null, empty, zero or hold null or non-finite numbers, and vectors not
-    as long as most are take no part. A vec_id is never its own neighbour; a repeated one counts at its nearest. Fewer
-    candidates than k give fewer rows; an empty table none; extra columns are ignored.
+    of each shifted grid: one range-partitioned sort. The curve is cut into blocks of block_rows; a query is ranked
+    against the blocks round its own on each curve, as many on either side as window_width finds to be needed, and the
+    curves' results merge. With `complete` an exact check follows: the windows give each query a distance which its k
+    nearest cannot exceed, and every block of the first curve whose ball (centre and radius) comes within that distance
+    of a chunk of neighbouring queries is searched too. Without, the result is approximate, at RECALL or so.
+
+    Vectors are compared with those of their own length, a search for each length. Copies of a vector enter the index
+    once, and come back as the k + 1 smallest ids of their group: ties go to the smaller id. Null vec_ids and vectors
+    that are null, empty, zero or hold null or non-finite numbers take no part. A vec_id is never its own neighbour; a
+    repeated one counts at its nearest. Fewer candidates than k give fewer rows; an empty table none; extra columns
+    are ignored.
     """
     rows = usable(vectors, id_column, vector_column)
-    lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    if lengths is None:
+    lengths = [r["n"] for r in rows.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()]
+    options = {"curves": curves, "block_rows": block_rows, "seed": seed, "complete": complete}
+    found = [_nearest_of_length(rows.filter(F.size("vector") == n), n, queries_where, k, **options) for n in lengths]
+    if not found:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    dim = lengths["n"]
-    rows = rows.filter(F.size("vector") == dim)
+    each = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest_of_length(rows: DataFrame, dim: int, queries_where, k: int, *, curves: int, block_rows: int, seed: int, complete: bool) -> DataFrame:
+    """(query_id, vec_id, score): at least the k nearest of each query among rows (vec_id, vector) of one length."""
     # Spark limits a group to its first k + 1 in each task before it moves: copies never gather.
     sorted_ids = Window.partitionBy("vector").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     members = rows.withColumn("n", F.row_number().over(sorted_ids)).withColumn("rep", F.first("vec_id").over(sorted_ids))
@@ -180,34 +237,40 @@ def nearest_neighbours(vectors: DataFrame, queries_where, k: int = 10, *, curves
     spans = distinct.select("vector").mapInArrow(_ranges(turned), "i int, low double, high double").groupBy("i").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     spans = {r["i"]: (r["low"], r["high"]) for r in spans.collect()}  # curves * dims rows
     low, high = (np.array([spans[i][side] for i in range(len(spans))]).reshape(shifts.shape) for side in (0, 1))
-    keyed = distinct.mapInArrow(_keys(turned, shifts, low, np.maximum(high - low, 1e-300)), "curve int, key long, rep long, vector array<float>" if dict(distinct.dtypes)["vector"] == "array<float>" else "curve int, key long, rep long, vector array<double>")
+    kind = dict(distinct.dtypes)["vector"]
+    keyed = distinct.mapInArrow(_keys(turned, shifts, low, np.maximum(high - low, 1e-300)), f"curve int, key long, rep long, vector {kind}")
     stored = sorted_parts(keyed, ["curve", "key", "rep"], "vector-curves")
     offsets = running_offsets(stored, F.lit(1)).select("part", "before")
     index = stored.join(offsets, "part").withColumn("block", F.expr(f"(before + place) div {block_rows}").cast("long")).select("curve", "block", "rep", "vector")
     index = materialize(index, "vector-index")
 
+    own = index.join(asking.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select("curve", "block", F.col("rep").alias("query"), "vector")
+    own = materialize(own, "vector-asked")
+    width, _ = window_width(index, own, distinct, k + 1)
+    step = min(width, MOST_STEPS)
     far = F.lit(float("inf"))
-    own = index.join(asking.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").withColumn("query", F.col("rep"))
-    near = own.select("query", F.col("vector").alias("vector"), far.alias("reach"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
-    schema = "query long, rep long, score double"
-    windows = near.groupBy("block").cogroup(index.groupBy("block")).applyInArrow(lambda q, x: _nearest(q, x, k + 1), schema)
-    best = materialize(_best(windows, k + 1), "vector-windows")
+    near = own.select("query", "vector", far.alias("reach"), F.expr(f"block div {step}").alias("chunk"))
+    around = F.sequence(F.col("chunk") * step - width, F.col("chunk") * step + (step - 1 + width))
+    pairs = near.select("chunk").distinct().select("chunk", F.explode(around).alias("block"))
+    best = materialize(_best(_searched(pairs, near, index.select("block", "rep", "vector"), k + 1), k + 1), "vector-windows")
     if complete:
         reach = best.groupBy("query").agg(F.when(F.count("*") > k, F.max("score")).otherwise(far).alias("reach"))
-        asked = own.filter("curve = 0").select("query", "vector").join(reach, "query")
-        chunks = max(1, math.ceil(asked.count() / QUERIES_A_CHUNK))
-        asked = materialize(asked.withColumn("chunk", F.pmod(F.xxhash64("query"), F.lit(chunks))), "vector-asked")
+        mine = own.filter("curve = 0")
+        usual = max(1, mine.count() * block_rows // max(1, distinct.count()))
+        asked = mine.join(reach, "query").withColumn("chunk", F.expr(f"block div {max(1, QUERIES_A_CHUNK // usual)}"))
+        asked = materialize(asked.select("chunk", "query", "vector", "reach"), "vector-chunks")
         first = index.filter("curve = 0")
-        balls = materialize(first.groupBy("block").applyInArrow(_summaries, "block long, centre array<double>, radius double").withColumn("lot", F.expr(f"block div {BLOCKS_A_CHUNK}")), "vector-balls")
-        lots = (balls.agg(F.max("lot")).first()[0] or 0) + 1
+        ball = "centre array<double>, radius double, reach double"
+        blocks = materialize(first.withColumn("reach", F.lit(0.0)).groupBy("block").applyInArrow(_summaries("block"), f"block long, {ball}"), "vector-balls")
+        chunks = materialize(asked.groupBy("chunk").applyInArrow(_summaries("chunk"), f"chunk long, {ball}"), "vector-chunk-balls")
+        block_lots, chunk_lots = ((t.count() // BALLS_A_LOT) + 1 for t in (blocks, chunks))
+        lot = lambda c, n, name: F.pmod(F.xxhash64(c), F.lit(n)).alias(name)
         every = lambda n, name: F.explode(F.expr(f"sequence(0L, {n - 1}L)")).alias(name)
-        left = balls.select("block", "centre", "radius", F.col("lot").cast("long").alias("lot"), every(chunks, "chunk")).groupBy("lot", "chunk")
-        right = asked.select("query", "vector", "reach", "chunk", every(lots, "lot")).groupBy("lot", "chunk")
-        reached = left.cogroup(right).applyInArrow(_reached, "query long, block long")
-        pairs = reached.join(asked, "query").groupBy("block", "chunk")
-        more = pairs.cogroup(first.select("block", "rep", "vector", every(chunks, "chunk")).groupBy("block", "chunk")).applyInArrow(lambda q, x: _nearest(q, x, k + 1), schema)
+        blocks, chunks = (t.select(*[F.col(c).alias(c) for c in t.columns]) for t in (blocks, chunks))
+        left = blocks.select("*", lot("block", block_lots, "lot"), every(chunk_lots, "of")).groupBy("lot", "of")
+        right = chunks.select("*", lot("chunk", chunk_lots, "of"), every(block_lots, "lot")).groupBy("lot", "of")
+        reached = materialize(left.cogroup(right).applyInArrow(_reached, "block long, chunk long"), "vector-reached")
+        more = _searched(reached, asked, first.select("block", "rep", "vector"), k + 1)
         best = materialize(_best(best.select("query", "rep", "score").unionByName(more), k + 1), "vector-best")
     each = asking.join(best, "query").join(members.select("rep", "vec_id"), "rep").filter("vec_id <> query_id")
-    each = each.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.select("query_id", "vec_id", "score")
