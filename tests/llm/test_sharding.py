@@ -1,5 +1,9 @@
+import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import TEXTS, awkward, empty
 from zonewright.llm.queries import op3_shard_documents
@@ -48,3 +52,27 @@ def test_query(spark, sf_dir):
     laws(rows, 16)
     assert len(rows) == len(texts)
     assert all(r["size"] == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
+
+
+def brute_shards(spark, rows, n, bucket_bytes, seed=11):
+    """(doc_id, shard, slot) in plain Python: scatter by hash, Fisher and Yates bucket by bucket, cut into n runs."""
+    hashed = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text")).collect()
+    n_buckets = max(1, math.ceil(sum(len(r.text.encode()) + 64 for r in hashed) / bucket_bytes))
+    buckets = defaultdict(list)
+    for r in hashed:
+        buckets[(r.h % (1 << 22)) % n_buckets].append((r.h, r.doc_id))
+    order = []
+    for b in sorted(buckets):
+        own = sorted(buckets[b])
+        rng = np.random.Generator(np.random.PCG64([seed, b]))
+        order += [own[i][1] for i in rng.permutation(len(own))]
+    shards = [i * n // len(order) for i in range(len(order))]
+    return sorted((doc, s, i - shards.index(s)) for i, (doc, s) in enumerate(zip(order, shards)))
+
+
+def test_the_order_by_brute_force(spark):
+    rows = [(i, f"text {i} " * (i % 50)) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = external_shuffle(docs, 16, bucket_bytes=30_000)
+    assert sorted((r.doc_id, r.shard, r.slot) for r in out.collect()) == brute_shards(spark, rows, 16, 30_000)
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange rangepartitioning") == 1

@@ -16,6 +16,8 @@ from zonewright.functions.storage import materialize
 CELLS = 1 << 22
 BUCKET_BYTES = 32 << 20
 MOST_TO_BROADCAST = 100_000
+#: Buckets are dealt to so many tasks at most, in runs of neighbours.
+MOST_TASKS = 50_000
 
 
 def _fisher_yates(seed: int, columns: list[str]):
@@ -35,6 +37,7 @@ def external_shuffle(docs: DataFrame, n_shards: int = 16, *, bucket_bytes: int =
 
     Pass 1 scatters the rows into buckets of about bucket_bytes by a seeded hash of id and text. Pass 2 shuffles each
     bucket in memory by Fisher and Yates. The buckets end to end are the order; it is cut into n_shards equal runs.
+    There are as many tasks as buckets (MOST_TASKS at most), whatever the session's number of shuffle partitions.
     Identical rows hash alike, so a cell of the hash that outgrows a bucket is split by row number: no bucket holds a
     hot id or text. The row number is stable for input read from files; store other input first.
 
@@ -64,6 +67,8 @@ def external_shuffle(docs: DataFrame, n_shards: int = 16, *, bucket_bytes: int =
 
     scattered = tagged.join(before, "_zw_bucket").select("_zw_bucket", "_zw_before", "_zw_hash", "_zw_row", *columns)
     out = docs.withColumn("_zw_position", F.lit(0).cast("long")).schema
+    # A run of buckets is a run of the order, so a task's rows are of one shard or a few, and it writes as many files.
+    scattered = scattered.repartitionByRange(min(n_buckets, MOST_TASKS), "_zw_bucket")
     shuffled = scattered.groupBy("_zw_bucket").applyInArrow(_fisher_yates(seed, columns), out)
     shard = F.expr(f"_zw_position * {n_shards} div {max(rows, 1)}")
     first = F.expr(f"(shard * {rows} + {n_shards - 1}) div {n_shards}")
