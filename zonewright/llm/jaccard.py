@@ -24,11 +24,12 @@ from zonewright.operators.components import connected_components
 SHINGLE_WORDS = 5
 #: Least similarity, 4 of 5: of s shingles in two sets together (s = |a| + |b|), at least 4 s / 9 are common.
 PARTS, OF = 4, 5
-#: Longs in a text's parity bitmap.
-MAP_LONGS = 8
+#: Longs in a text's parity bitmap: bits that differ are never more than the shingles that do, and hardly fewer in most texts.
+MAP_LONGS = 32
 #: Texts that tell which shingles are common, and how many of those are told; the result depends on neither.
 SAMPLE_TEXTS, MOST_COMMON = 20_000, 1 << 18
 TEXTS_AT_ONCE = 512
+PAIRS_AT_ONCE = 200_000
 PROFILE = "id long, size long, fp long, tokens array<long>, " + ", ".join(f"m{i} long" for i in range(MAP_LONGS))
 
 
@@ -105,34 +106,53 @@ def _may_be_alike(left: Column, right: Column) -> Column:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of each list (token, root, id, size, pos), sorted, whose roots differ; roots stand in runs."""
+    """Pairs (a, b) of each list (token, root, id, size, pos, bitmap), sorted, whose roots differ; roots stand in runs.
 
-    def of_list(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        root, ids, size, left = rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 2] - rows[:, 3]
+    Only pairs go out that may be alike by their sizes, by where the token stands and by their bitmaps.
+    """
+
+    def met(rows: np.ndarray) -> Iterator[np.ndarray]:
+        root, ids, size, left, maps = rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 2] - rows[:, 3], rows[:, 4:].view(np.uint64)
         ends = np.searchsorted(root, root, side="right")
         for i in np.flatnonzero(ends < len(rows)):
-            rest = slice(ends[i], None)
-            fits = 9 * np.minimum(left[i], left[rest]) >= 4 * (size[i] + size[rest])
-            other = ids[rest][fits]
-            if len(other):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], other)), pa.array(np.maximum(ids[i], other))], names=["a", "b"])
+            j = np.arange(ends[i], len(rows))
+            j = j[9 * np.minimum(left[i], left[j]) >= 4 * (size[i] + size[j])]
+            j = j[9 * np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64) <= size[i] + size[j]]
+            if len(j):
+                yield np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1)
+
+    def lists() -> Iterator[np.ndarray]:
+        held, token = [], None
+        for b in batches:
+            if not len(b):
+                continue
+            own = b.column(0).to_numpy()
+            rows = np.stack([b.column(k).to_numpy() for k in range(1, b.num_columns)], axis=1)
+            starts = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)]
+            for s, e in zip(starts[:-1], starts[1:]):
+                if own[s] != token:
+                    if held:
+                        yield np.concatenate(held)
+                    held, token = [], own[s]
+                held.append(rows[s:e])
+        if held:
+            yield np.concatenate(held)
+
+    def once(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        low, high = np.unique(np.concatenate(pairs), axis=0).T
+        return pa.RecordBatch.from_arrays([pa.array(low.copy()), pa.array(high.copy())], names=["a", "b"])
 
     forget()
-    held, token = [], None
-    for b in batches:
-        if not len(b):
-            continue
-        own = b.column(0).to_numpy()
-        rows = np.stack([b.column(k).to_numpy() for k in range(1, 5)], axis=1)
-        starts = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)]
-        for s, e in zip(starts[:-1], starts[1:]):
-            if own[s] != token:
-                if held:
-                    yield from of_list(np.concatenate(held))
-                held, token = [], own[s]
-            held.append(rows[s:e])
-    if held:
-        yield from of_list(np.concatenate(held))
+    pairs, n = [], 0
+    for rows in lists():
+        for some in met(rows):
+            pairs.append(some)
+            n += len(some)
+            if n > PAIRS_AT_ONCE:
+                yield once(pairs)
+                pairs, n = [], 0
+    if n:
+        yield once(pairs)
 
 
 def _verified(words_each: int):
@@ -209,7 +229,9 @@ def alike_groups(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
     roots = connected_components(edges, "alike-first").withColumnRenamed("node", "id")
     rooted = lists.select("token", "own.*").join(roots, "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", "size", "pos")
     mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    dealt = rooted.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token", "root", "id")
+    mapped = rooted.join(mixed, "token", "left_semi").join(profiles.select("id", *(f"m{i}" for i in range(MAP_LONGS))), "id")
+    mapped = mapped.select("token", "root", "id", "size", F.col("pos").cast("long").alias("pos"), *(f"m{i}" for i in range(MAP_LONGS)))
+    dealt = mapped.repartition("token").sortWithinPartitions("token", "root", "id")
     more = _edges(dealt.mapInArrow(_across, "a long, b long"), profiles, reps, words_each, "alike-rest")
 
     roots = connected_components(edges.unionByName(more), "alike-all").withColumnRenamed("node", "id")
