@@ -93,50 +93,106 @@ def test_projection_of_known_points(spark):
         assert abs(got[name][0] - e) < 0.05 and abs(got[name][1] - n) < 0.05
 
 
-def test_eta_by_hand(spark):
-    s = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 6.0), ("d", 10.0)], "unit_id string, value double").withColumns({"date": F.lit(1), "variable": F.lit("v")})
-    g = lambda *x: spark.createDataFrame(list(zip("abcd", x)), "unit_id string, group_id string")
-    assert abs(score.eta_squared(s, g(*"AABB")).first().eta_squared - 36 / 46) < 1e-12
-    assert abs(score.eta_squared(s, g(*"ABCD")).first().eta_squared - 1) < 1e-12
-    assert score.eta_squared(s.withColumn("value", F.lit(2.0)), g(*"AABB")).first().eta_squared is None
-
-
-def test_parts_and_repair(spark):
-    units = spark.createDataFrame([(u,) for u in "abcde"], "unit_id string")
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e"), ("e", "x")], "unit_a string, unit_b string")
+def test_eta_against_sums_of_squares(spark):
+    """Random values in random groups, against the two sums of squares worked out plainly."""
+    rng = np.random.default_rng(21)
+    names = [f"z{i}" for i in range(31)]
+    values, groups = rng.normal(size=31).round(3), rng.integers(4, size=31)
+    s = spark.createDataFrame(list(zip(names, map(float, values))), "unit_id string, value double").withColumns({"date": F.lit(1), "variable": F.lit("v")})
+    of = lambda g: spark.createDataFrame([(n, str(x)) for n, x in zip(names, g)], "unit_id string, group_id string")
+    between = sum((groups == g).sum() * (values[groups == g].mean() - values.mean()) ** 2 for g in set(groups))
+    want = between / ((values - values.mean()) ** 2).sum()
+    assert abs(score.eta_squared(s, of(groups)).first().eta_squared - want) < 1e-9
+    assert abs(score.eta_squared(s, of(range(31))).first().eta_squared - 1) < 1e-9
+    assert score.eta_squared(s.withColumn("value", F.lit(0.5)), of(groups)).first().eta_squared is None
+
+
+def lattice(rng, rows, cols, share):
+    """Names and borders of a lattice with some borders left out."""
+    names = [f"q{i:03d}" for i in range(rows * cols)]
+    pairs = [(names[i], names[j]) for i in range(rows * cols) for j in (i + 1, i + cols) if j < rows * cols and (j != i + 1 or j % cols)]
+    return names, [p for p in pairs if rng.random() < share]
+
+
+def parts_of(names, pairs):
+    """Name -> smallest name that it reaches, by spreading the smaller one until nothing changes."""
+    root = {n: n for n in names}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    return root
+
+
+def test_parts_against_spreading(spark):
+    names, pairs = lattice(np.random.default_rng(5), 7, 6, 0.45)
+    units = spark.createDataFrame([(u,) for u in names], "unit_id string")
+    edges = spark.createDataFrame([*pairs, (names[-1], "outside")], "unit_a string, unit_b string")
+    want = parts_of(names, pairs)
+    assert 3 < len(set(want.values())) < len(names)
     for small in (network.SMALL_GRAPH, 0):  # on the driver, and in rounds of joins
-        assert {r.unit_id: r.root for r in network.connected_parts(units, edges, small).collect()} == dict(zip("abcde", "aaadd"))
-    groups, moves = network.repair({"A": "X", "B": "Y", "C": "X"}, [("A", "B", 1000.0), ("B", "C", 4000.0)])
-    assert groups == {"A": "X", "B": "Y", "C": "Y"} and moves == [("C", "X", "Y", 4000.0)]
-    assert network.repair({"A": "X", "B": "X"}, [("A", "B", 1.0)])[1] == []
-
-
-@pytest.mark.parametrize("k", [2, 3, 5])
-def test_random_partitions_are_connected(k):
-    units = [f"u{i:02d}" for i in range(12)]
-    pairs = [(units[i], units[j]) for i in range(12) for j in (i + 1, i + 4) if j < 12]
-    near = {u: sorted({b for a, b in pairs if a == u} | {a for a, b in pairs if b == u}) for u in units}
-    rng = np.random.default_rng(7)
-    for _ in range(50):
-        regions = network.random_partition(units, near, k, rng)
-        assert set(regions) == set(units) and set(regions.values()) == set(range(k))
-        for r in range(k):
-            inside = {u for u in units if regions[u] == r}
-            seen, queue = set(), [min(inside)]
-            while queue:
-                u = queue.pop()
-                seen.add(u)
-                queue += [v for v in near[u] if v in inside and v not in seen]
-            assert seen == inside
+        assert {r.unit_id: r.root for r in network.connected_parts(units, edges, small).collect()} == want
+
+
+def test_repair_leaves_no_group_in_parts():
+    """Random groups on a whole lattice: every move is to a group next door, and groups that can be are whole afterwards."""
+    rng = np.random.default_rng(11)
+    names, pairs = lattice(rng, 5, 5, 1.1)
+    lengths = [(a, b, float(rng.integers(1, 900))) for a, b in pairs]
+    start = {n: "WE"[int(i % 5 > 2)] for i, n in enumerate(names)} | {names[4]: "W", names[20]: "E"}
+    groups, moves = network.repair(start, lengths)
+    inside = [(a, b) for a, b, _ in lengths if groups[a] == groups[b]]
+    root = parts_of(names, inside)
+    assert all(len({root[n] for n in names if groups[n] == g}) == 1 for g in set(groups.values()))
+    assert {m[0] for m in moves} == {n for n in names if groups[n] != start[n]} == {names[4], names[20]}
+    assert network.repair(groups, lengths) == (groups, [])
+
+
+@pytest.mark.parametrize("k", [1, 4, 9])
+def test_random_maps_are_whole(k):
+    names, pairs = lattice(np.random.default_rng(2), 6, 4, 1.1)
+    near = {u: sorted({b for a, b in pairs if a == u} | {a for a, b in pairs if b == u}) for u in names}
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        regions = network.random_partition(names, near, k, rng)
+        root = parts_of(names, [(a, b) for a, b in pairs if regions[a] == regions[b]])
+        assert regions.keys() == set(names) and len(set(root.values())) == len(set(regions.values())) == k
 
 
 def test_cuts_and_inversions(spark):
-    points = ["P01", "P02", "P03", "P04"]
-    assert tree.cut(points, [(0, 1, 1.0), (2, 3, 2.0), (4, 5, 3.0)], 2) == {"P01": "P01", "P02": "P01", "P03": "P03", "P04": "P03"}
+    """A cut undoes the last merges, whatever they are; inversions against a look at every pair of merges."""
+    rng = np.random.default_rng(8)
+    names = [f"s{i}" for i in range(9)]
+    alive, merges = list(range(9)), []
+    while len(alive) > 1:
+        a, b = sorted(rng.choice(alive, 2, replace=False).tolist())
+        alive = [x for x in alive if x not in (a, b)] + [9 + len(merges)]
+        merges.append((a, b, float(rng.integers(1, 20))))
+    for k in (1, 3, 9):
+        held = {i: [names[i]] for i in range(9)}
+        for m, (a, b, _) in enumerate(merges[: 9 - k]):
+            held[9 + m] = held.pop(a) + held.pop(b)
+        assert tree.cut(names, merges, k) == {n: min(g) for g in held.values() for n in g}
     with pytest.raises(ValueError):
-        tree.cut(points, [(0, 1, 1.0)], 2)
-    table = tree.tree_table(spark, points[:3], [(0, 1, 5.0), (2, 3, 2.0)])
-    assert [(r.merge, r.child_merge) for r in tree.inversions(table).collect()] == [(1, 0)]
+        tree.cut(names, merges[:5], 2)
+    want = sorted((m, c - 9) for m, (a, b, h) in enumerate(merges) for c in (a, b) if c >= 9 and h < merges[c - 9][2])
+    assert want and sorted((r.merge, r.child_merge) for r in tree.inversions(tree.tree_table(spark, names, merges)).collect()) == want
+
+
+def test_more_points_than_the_driver_holds_are_refused_first(spark, monkeypatch):
+    monkeypatch.setattr(tree, "MOST_POINTS", 3)
+    monkeypatch.setattr(tree, "squared_distances", lambda _: pytest.fail("distances were asked for"))
+    with pytest.raises(ValueError, match="more than 3"):
+        tree.ward_tree(spark.createDataFrame([(f"p{i}",) for i in range(5)], "point_id string"), None)
+
+
+def test_parents_by_overlay(spark):
+    kids = spark.createDataFrame([("a", None, 1), ("b", "Q", 2), ("c", None, 3)], "id string, parent_id string, shape int")
+    shares = spark.createDataFrame([("a", "P", 0.6), ("a", "Q", 0.4), ("b", "P", 1.0), ("c", "Q", 0.5), ("c", "P", 0.5)], "child_id string, parent_id string, share double")
+    assert {r.id: r.parent_id for r in allocate.with_parents(kids, shares).collect()} == {"a": "P", "b": "Q", "c": "P"}
 
 
 def test_ward_against_centroids():

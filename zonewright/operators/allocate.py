@@ -43,6 +43,31 @@ def best_neighbour(units: DataFrame, edges: DataFrame, groups: DataFrame) -> Dat
     return best.select("unit_id", F.col("best.group_id").alias("group_id"), F.col("best.metres").alias("shared_edge_metres"))
 
 
+def region_summary(assigned: DataFrame, parts: DataFrame) -> DataFrame:
+    """(group_id, members, n, connected, highest_straddle, mean_straddle) of assigned (unit_id, group_id, straddle_score).
+
+    parts (unit_id, root) are the connected parts within groups; a region is connected if it has a single one.
+    """
+    joined = assigned.select("unit_id", "group_id", "straddle_score").join(parts.select("unit_id", "root"), "unit_id")
+    return joined.groupBy("group_id").agg(
+        F.array_join(F.sort_array(F.collect_list("unit_id")), ",").alias("members"),
+        F.count("*").alias("n"),
+        (F.countDistinct("root") == 1).alias("connected"),
+        F.max("straddle_score").alias("highest_straddle"),
+        F.avg("straddle_score").alias("mean_straddle"),
+    )
+
+
+def with_parents(children: DataFrame, shares: DataFrame) -> DataFrame:
+    """children (id, parent_id, shape), those without a parent given the one that covers most of them.
+
+    shares (child_id, parent_id, share) as area_shares has them; of equal shares the smallest name.
+    """
+    best = shares.groupBy("child_id").agg(F.min(F.struct((-F.round("share", 9)).alias("minus"), "parent_id")).alias("best"))
+    best = best.select(F.col("child_id").alias("id"), F.col("best.parent_id").alias("covering"))
+    return children.join(best, "id", "left").withColumn("parent_id", F.coalesce("parent_id", "covering")).drop("covering")
+
+
 def stranded(parts: DataFrame, groups: DataFrame) -> DataFrame:
     """(group_id, unit_id) outside the largest connected part of their group (unit_id, root); of equal parts the first stays."""
     sized = parts.join(groups, "unit_id").groupBy("group_id", "root").agg(F.count("*").alias("n"), F.min("unit_id").alias("first"))

@@ -109,6 +109,8 @@ def label_table(spark: SparkSession, points: list[str], merges: list[tuple[int,
 def ward_tree(scores: DataFrame, edges: DataFrame | None) -> tuple[list[str], list[tuple[int, int, float]]]:
     """(points, merges) of scores (point_id, date, variable, value) over edges (unit_a, unit_b)."""
     points = sorted(r.point_id for r in scores.select("point_id").distinct().limit(MOST_POINTS + 1).collect())
+    if len(points) > MOST_POINTS:  # before any distance comes to the driver
+        raise ValueError(f"more than {MOST_POINTS} points")
     d = {(r.point_a, r.point_b): r.squared_distance for r in squared_distances(scores).collect()}
     links = None if edges is None else [(r.unit_a, r.unit_b) for r in edges.select("unit_a", "unit_b").collect()]
     return points, ward_merges(points, d, links)

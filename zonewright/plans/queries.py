@@ -73,9 +73,9 @@ def kept_semi(spark, d):
     return star.table(spark, d, "customer").join(kept, F.col("c_nationkey") == F.col("s_nationkey"), "left_semi").select("c_custkey", "c_nationkey")
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def orphan_anti(spark, d):
-    o = star.table(spark, d, "orders").select("o_custkey")
+    o = star.table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey")
     return star.table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_nationkey")
 
 
@@ -378,16 +378,33 @@ def connected_parts(spark, d):
 
 
 @query(
-    """WITH grouped AS (SELECT n.group_id, r.root, count(*) AS k, min(n.unit_id) AS first FROM nations n JOIN roots r USING (unit_id) GROUP BY 1, 2),
+    """WITH grouped AS (SELECT n.group_id, r.root, count(*) AS k, min(n.unit_id) AS first FROM striped n JOIN roots r USING (unit_id) GROUP BY 1, 2),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY k DESC, first) AS rk FROM grouped)
-    SELECT n.group_id, n.unit_id FROM nations n JOIN roots r USING (unit_id) JOIN ranked x ON x.group_id = n.group_id AND x.root = r.root WHERE rk > 1""",
-    "RECURSIVE " + SQL["nations"], "rook", "cut AS (SELECT r.* FROM rook r JOIN nations a ON a.unit_id = unit_a JOIN nations b ON b.unit_id = unit_b WHERE a.group_id = b.group_id)", REACH,
+    SELECT n.group_id, n.unit_id FROM striped n JOIN roots r USING (unit_id) JOIN ranked x ON x.group_id = n.group_id AND x.root = r.root WHERE rk > 1""",
+    "RECURSIVE " + SQL["nations"], "rook", "striped AS (SELECT unit_id, 'G' || CAST(CAST(substr(unit_id, 2) AS INT) % 3 AS VARCHAR) AS group_id FROM nations)",
+    "cut AS (SELECT r.* FROM rook r JOIN striped a ON a.unit_id = unit_a JOIN striped b ON b.unit_id = unit_b WHERE a.group_id = b.group_id)", REACH,
 )
 def stranded(spark, d):
-    units = star.nations(spark, d).select("unit_id", "group_id")
+    """Over groups that lie in stripes across the lattice, in several parts each."""
+    units = star.nations(spark, d).select("unit_id", F.concat(F.lit("G"), (F.substring("unit_id", 2, 9).cast("int") % 3).cast("string")).alias("group_id"))
     return allocate.stranded(network.parts_within(units, _rook(spark, d)), units)
 
 
+@query(
+    """SELECT a.group_id, string_agg(a.unit_id, ',' ORDER BY a.unit_id) AS members, count(*) AS n, count(DISTINCT r.root) = 1 AS connected,
+    round(max(a.straddle_score), 6) AS highest_straddle, round(avg(a.straddle_score), 6) AS mean_straddle FROM given a JOIN roots r USING (unit_id) GROUP BY 1""",
+    "RECURSIVE " + SQL["nations"], "rook", BOX_OVERLAP,
+    "given AS (SELECT child_id AS unit_id, parent_id AS group_id, 1 - round(share, 9) AS straddle_score FROM (SELECT *, row_number() OVER (PARTITION BY child_id ORDER BY round(share, 9) DESC, parent_id) AS r FROM shares) WHERE r = 1)",
+    "cut AS (SELECT r.* FROM rook r JOIN given a ON a.unit_id = unit_a JOIN given b ON b.unit_id = unit_b WHERE a.group_id = b.group_id)", REACH,
+)
+def region_summary(spark, d):
+    """Member lists, connectedness and straddle of the regions that nations go to by majority."""
+    shares = _shares(spark, d).select(F.col("child_id").alias("unit_id"), F.col("parent_id").alias("cluster"), F.round("share", 9).alias("share"))
+    given = allocate.majority(shares).select("unit_id", F.col("majority_cluster").alias("group_id"), "straddle_score")
+    out = allocate.region_summary(given, network.parts_within(given.select("unit_id", "group_id"), _rook(spark, d)))
+    return out.withColumns({c: F.round(c, 6) for c in ("highest_straddle", "mean_straddle")})
+
+
 @query(
     """WITH near AS (SELECT unit_a AS u, unit_b AS v, shared_edge_metres AS m FROM rook UNION ALL SELECT unit_b, unit_a, shared_edge_metres FROM rook),
     s AS (SELECT u, b.group_id, sum(m) AS metres FROM near JOIN nations a ON a.unit_id = u JOIN nations b ON b.unit_id = v WHERE a.group_id <> b.group_id GROUP BY 1, 2)

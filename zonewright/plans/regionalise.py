@@ -143,19 +143,27 @@ def build_graph(points: DataFrame, land: DataFrame, settings: Settings) -> tuple
     return cells, edges
 
 
+def _some(missing: DataFrame) -> str:
+    """The first ten of (point_id, variable, date), and how many more there are."""
+    first, n = missing.orderBy("variable", "date", "point_id").limit(10).collect(), missing.count()
+    return ", ".join(f"{r.point_id} {r.variable} {r.date}" for r in first) + (f" and {n - 10} more" if n > 10 else "")
+
+
 def build_scores(weather: DataFrame, cells: DataFrame, edges: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     """anomalies (point_id, date, variable, window, regional_anomaly, z_score) and the parameters they come from."""
     readings = weather.join(cells.select("point_id"), "point_id", "left_semi")
     missing = anomaly.holes(readings, cells)
     if not missing.isEmpty():
         if settings.missing_data == "stop":
-            first = missing.orderBy("variable", "date", "point_id").limit(10).collect()
-            raise MissingDataError("missing: " + ", ".join(f"{r.point_id} {r.variable} {r.date}" for r in first))
+            raise MissingDataError("missing: " + _some(missing))
         if settings.missing_data == "drop_day":
             readings = anomaly.without_days(readings, missing)
         else:
             links = edges.select(F.col("unit_a").alias("point_a"), F.col("unit_b").alias("point_b"))
-            readings = anomaly.filled_from_neighbours(readings, missing, links)
+            readings = materialize(anomaly.filled_from_neighbours(readings, missing, links), "filled")
+            left = missing.join(readings, ["point_id", "variable", "date"], "left_anti")
+            if not left.isEmpty():
+                raise MissingDataError("no neighbour has a value for: " + _some(left))
     readings = materialize(anomaly.transformed(readings, settings.log1p), "readings")
     weights = cells.select("point_id", geometry.area(F.col("shape")).alias("weight")) if settings.weighted_national_mean else None
     normals = materialize(anomaly.seasonal_normals(anomaly.in_window(readings, settings.build_start, settings.build_end), settings.smoothing_days), "normals")
@@ -218,11 +226,14 @@ def map_areas(pga: DataFrame, cells: DataFrame, labels: DataFrame, settings: Set
     if settings.contiguity_repair:
         groups, moves = network.repair(groups, borders)
     rows = [(r.unit_id, groups[r.unit_id], r.majority_cluster, r.majority_share, r.straddle_score) for r in assigned]
+    assignments = spark.createDataFrame(rows, "unit_id string, group_id string, majority_cluster string, majority_share double, straddle_score double")
+    touching = spark.createDataFrame(borders, "unit_a string, unit_b string, shared_edge_metres double")
     return {
         "fragments": fragments,
-        "assignments": spark.createDataFrame(rows, "unit_id string, group_id string, majority_cluster string, majority_share double, straddle_score double"),
+        "assignments": assignments,
+        "regions": materialize(allocate.region_summary(assignments, network.parts_within(assignments.select("unit_id", "group_id"), touching)), "regions"),
         "moves": spark.createDataFrame(moves, "unit_id string, from_group string, to_group string, shared_edge_metres double"),
-        "borders": spark.createDataFrame(borders, "unit_a string, unit_b string, shared_edge_metres double"),
+        "borders": touching,
     }
 
 
@@ -236,6 +247,11 @@ def evaluate(scores: DataFrame, cells: DataFrame, layers: dict[str, DataFrame],
     own = anomaly.in_window(demand, settings.held_out_start, settings.held_out_end).select(F.col("pga_id").alias("unit_id"), "date", F.lit("demand").alias("variable"), F.col("demand").alias("value"))
     if missing := layers["pga"].select(F.col("id").alias("unit_id")).join(own, "unit_id", "left_anti").collect():
         raise ValueError("no demand for " + ", ".join(r.unit_id for r in missing))
+    days = held.select("date").distinct()
+    have = own.filter(F.col("value").isNotNull()).join(days, "date", "left_semi").groupBy("unit_id").agg(F.countDistinct("date").alias("n"))
+    n_days = days.count()
+    if short := layers["pga"].select(F.col("id").alias("unit_id")).join(have, "unit_id", "left").filter(F.coalesce("n", F.lit(0)) < n_days).orderBy("unit_id").collect():
+        raise ValueError("demand is missing: " + ", ".join(f"{r.unit_id} on {n_days - (r.n or 0)} days" for r in short))
     both = pga_series.unionByName(own)
     current = layers["pga"].select(F.col("id").alias("unit_id"), F.col("parent_id").alias("group_id"))
     new = mapped["assignments"].select("unit_id", "group_id")
@@ -264,6 +280,16 @@ def evaluate(scores: DataFrame, cells: DataFrame, layers: dict[str, DataFrame],
     return out
 
 
+def covered(layers: dict[str, DataFrame], step: float) -> dict[str, DataFrame]:
+    """The layers, with parents worked out by overlay for areas that name none."""
+    out = dict(layers)
+    for child, parent in (("ra", "pga"), ("pga", "nca")):
+        if not out[child].filter("parent_id IS NULL").isEmpty():
+            shares = geometry.area_shares(out[child].filter("parent_id IS NULL").select("id", "shape"), out[parent].select("id", "shape"), step)
+            out[child] = materialize(allocate.with_parents(out[child], shares), f"{child}-parents")
+    return out
+
+
 def run(spark: SparkSession, points: DataFrame, layers: dict[str, DataFrame], weather: DataFrame, demand: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     """All stages. points (point_id, x, y), layers ra, pga, nca, long weather and demand; the tables of every stage.
 
@@ -271,6 +297,7 @@ def run(spark: SparkSession, points: DataFrame, layers: dict[str, DataFrame], we
     """
     if problems := settings.problems():
         raise ValueError("; ".join(problems))
+    layers = covered(layers, settings.grid_step)
     wrong = check_nesting(layers["ra"], layers["pga"], settings.grid_step) + check_nesting(layers["pga"], layers["nca"], settings.grid_step)
     if wrong:
         raise NestingError("; ".join(wrong))

@@ -70,11 +70,15 @@ class StageReader:
         return df.select("point_id", F.col("latitude").cast("double"), F.col("longitude").cast("double"))
 
     def layer(self, path: str, id_column: str, parent_column: str | None = None) -> DataFrame:
-        """(id, parent_id, shape) of a GeoJSON feature collection of polygons and multipolygons."""
+        """(id, parent_id, shape) of a GeoJSON feature collection of polygons and multipolygons; any other feature is refused."""
         ring = "array<array<double>>"
         names = [id_column] + ([parent_column] if parent_column else [])
         properties = ", ".join(f"`{n}`: string" for n in names)
         read = lambda depth: self.spark.read.option("multiLine", True).schema(f"features array<struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: {depth}>>>").json(path).selectExpr("inline(features)")
+        other = read("string").filter("geometry.type IS NULL OR geometry.type NOT IN ('Polygon', 'MultiPolygon')")
+        kinds = other.groupBy(F.coalesce("geometry.type", F.lit("no geometry")).alias("kind")).count().orderBy("kind").limit(10).collect()
+        if kinds:
+            raise InputError(f"{path} has features that are no areas: " + ", ".join(f"{r['count']} of {r.kind}" for r in kinds))
         many = read(f"array<array<{ring}>>").filter("geometry.type = 'MultiPolygon'").select("properties", F.col("geometry.coordinates").alias("c"))
         one = read(f"array<{ring}>").filter("geometry.type = 'Polygon'").select("properties", F.array("geometry.coordinates").alias("c"))
         point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
