@@ -80,6 +80,21 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "good", "mark", "features"])
 
 
+def _narrowed(used: np.ndarray):
+    """Only the features that are used, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            row, keep = np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy(zero_copy_only=False)), used[flat]
+            ends = np.cumsum(np.bincount(row[keep], minlength=len(b)))
+            left = pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), pa.array(flat[keep], pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), left], names=["doc_id", "good", "features"])
+
+    return run
+
+
 def _score(weights: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -121,8 +136,8 @@ def document_classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = S
     used = np.zeros(DIMENSIONS, dtype=bool)
     used[[r["feature"] for r in words.collect()]] = True
     used[WORDS:] = True
-    wanted = F.array(*[F.lit(int(i)) for i in np.flatnonzero(used[:WORDS])]).cast("array<int>")
-    narrow = rows.select("doc_id", "good", F.filter("features", lambda f: (f >= WORDS) | F.array_contains(wanted, f)).alias("features"))
+    bare = rows.select("doc_id", "good", "features")
+    narrow = bare.mapInArrow(_narrowed(used), bare.schema)
     table = narrow.toArrow()
     ids, good = table["doc_id"].to_numpy(), table["good"].to_numpy().astype(np.float64)
     lists = table["features"].combine_chunks()
