@@ -1,4 +1,4 @@
-"""The queries of this subpackage: op1 to op10, each over its whole table with production parameters."""
+"""The queries of this subpackage: op1 to op13, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from zonewright.llm.common import PIECE_VOCABULARY, WORD_VOCABULARY, tokenizer_file
+from zonewright.llm.byte_pairs import decode_documents, encode_documents
+from zonewright.llm.common import BYTE_VOCABULARY, PIECE_VOCABULARY, WORD_VOCABULARY, tokenizer_file
 from zonewright.llm.license_scan import license_table
 from zonewright.llm.line_dedup import dedup_lines
 from zonewright.llm.mixing import mix_documents
@@ -71,6 +72,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_mark(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file(BYTE_VOCABULARY)
+    both = decode_documents(encode_documents(_table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -87,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_license_scan,
         op10_simhash_near_dedup,
+        op12_bpe_codec,
         pipeline,
     )
     return {f.__name__: f for f in every}
