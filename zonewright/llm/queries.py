@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from zonewright.llm.byte_pairs import decode_documents, encode_documents
 from zonewright.llm.common import BYTE_VOCABULARY, PIECE_VOCABULARY, WORD_VOCABULARY, tokenizer_file
+from zonewright.llm.conversation_trie import conversation_trie
 from zonewright.llm.license_scan import license_table
 from zonewright.llm.line_dedup import dedup_lines
 from zonewright.llm.mixing import mix_documents
@@ -21,6 +22,7 @@ from zonewright.llm.sharding import external_shuffle, write_shards
 from zonewright.llm.simhash import hex_mark, near_duplicate_groups
 from zonewright.llm.token_counts import token_counts
 from zonewright.llm.vector_search import nearest_neighbours
+from zonewright.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,12 +74,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_mark(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file(BYTE_VOCABULARY)
     both = decode_documents(encode_documents(_table(spark, sf_dir, "documents"), path), path)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -94,7 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_license_scan,
         op10_simhash_near_dedup,
+        op11_whiten_embeddings,
         op12_bpe_codec,
+        op13_conversation_trie,
         pipeline,
     )
     return {f.__name__: f for f in every}
