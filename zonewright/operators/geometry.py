@@ -324,18 +324,18 @@ def area_shares(children: DataFrame, parents: DataFrame, step: float) -> DataFra
     return pairs.join(total, "child_id").select("child_id", "parent_id", "area", (F.col("area") / F.col("total")).alias("share"))
 
 
-def slivers(children: DataFrame, parents: DataFrame, step: float, smallest: float = 1.0) -> DataFrame:
-    """(parent_id, sliver_area) where parents and the union of their children (id, parent_id, shape) differ by more.
+def points_within(points: DataFrame, shapes: DataFrame, step: float) -> DataFrame:
+    """(point_id, id) wherever a point (point_id, x, y) lies strictly within a shape (id, shape); none for points on a border.
 
-    |A| + |B| - 2|A and B|, children being disjoint. Parents without children differ by all their area.
+    Shapes go to the squares of side step that their bounds meet, points to the one they are in: an equi-join, then the
+    exact test. Points without coordinates lie nowhere.
     """
-    belong = children.select(F.col("id").alias("child_id"), "parent_id", area(F.col("shape")).alias("own"))
-    sums = belong.groupBy("parent_id").agg(F.sum("own").alias("b"))
-    shares = area_shares(children.select("id", "shape"), parents, step).join(belong, ["child_id", "parent_id"]).groupBy("parent_id").agg(F.sum("area").alias("both"))
-    whole = parents.select(F.col("id").alias("parent_id"), area(F.col("shape")).alias("a"))
-    out = whole.join(sums, "parent_id", "left").join(shares, "parent_id", "left")
-    diff = F.col("a") + F.coalesce("b", F.lit(0.0)) - 2 * F.coalesce("both", F.lit(0.0))
-    return out.select("parent_id", diff.alias("sliver_area")).filter(F.col("sliver_area") > smallest)
+    cell = lambda c: F.floor(c / step).cast("long")
+    held = shapes.filter(F.size("shape") > 0).select("id", "shape", bounds(F.col("shape")).alias("b"))
+    held = held.withColumn("gx", F.explode(F.sequence(cell(F.col("b.x0")), cell(F.col("b.x1"))))).withColumn("gy", F.explode(F.sequence(cell(F.col("b.y0")), cell(F.col("b.y1")))))
+    at = points.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").select("point_id", "x", "y", cell(F.col("x")).alias("gx"), cell(F.col("y")).alias("gy"))
+    near = (F.col("x") > F.col("b.x0")) & (F.col("x") < F.col("b.x1")) & (F.col("y") > F.col("b.y0")) & (F.col("y") < F.col("b.y1"))
+    return at.join(held, ["gx", "gy"]).filter(near).filter(contains("shape", "x", "y")).select("point_id", "id")
 
 
 def adjacency(shapes: DataFrame, step: float, rule: str = "rook", least_metres: float = 1.0) -> DataFrame:
@@ -352,7 +352,7 @@ def voronoi_cells(points: DataFrame) -> DataFrame:
     """
     n = points.count()
     if n > MOST_POINTS:
-        raise ValueError(f"{n} points; cells are built with all of them in each task, {MOST_POINTS} at most")
+        raise ValueError(f"{n} points; cells are built with all of them in each task, {MOST_POINTS} at most; nearest.voronoi_cells takes more")
     every = sorted((float(r.x), float(r.y), r.point_id) for r in points.select("point_id", "x", "y").collect())
     if not every:
         return points.select("point_id").withColumn("shape", F.lit(None).cast(SHAPE))
@@ -376,19 +376,6 @@ def voronoi_cells(points: DataFrame) -> DataFrame:
     return points.select("point_id", cells(F.col("x").cast("double"), F.col("y").cast("double")).alias("shape"))
 
 
-def nearest_point(places: DataFrame, points: DataFrame) -> DataFrame:
-    """(place_id, point_id, metres): the point whose cell a place lies in, that is the nearest; ties to the smaller id.
-
-    places (place_id, x, y) against a set of points of checked size.
-    """
-    if points.count() > MOST_POINTS:
-        raise ValueError(f"more than {MOST_POINTS} points")
-    known = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py")).agg(F.collect_list(F.struct("point_id", "px", "py")).alias("all"))
-    far = lambda p: F.struct(F.hypot(F.col("x") - p["px"], F.col("y") - p["py"]).alias("metres"), p["point_id"].alias("point_id"))
-    best = F.array_min(F.transform("all", far))
-    return places.crossJoin(F.broadcast(known)).withColumn("best", best).select("place_id", F.col("best.point_id").alias("point_id"), F.col("best.metres").alias("metres"))
-
-
 #: The ellipsoids, the national grid's projection, and the published seven-parameter shift from WGS 84.
 WGS84 = (6378137.0, 6356752.314245)
 AIRY = (6377563.396, 6356256.909)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewright.operators.components import connected_components
+from zonewright.operators.nearest import closest_pair
 
 
 def symmetric(edges: DataFrame, a: str = "unit_a", b: str = "unit_b") -> DataFrame:
@@ -63,16 +64,6 @@ def degrees(units: DataFrame, edges: DataFrame) -> DataFrame:
     return units.select("unit_id").join(counts, "unit_id", "left").select("unit_id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-def closest_pair(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row (unit_a, unit_b, metres): the closest two of two sets (unit_id, x, y) of checked, small size."""
-    if right.count() > 20_000:
-        raise ValueError("the second set is held whole in each task: 20000 at most")
-    a = left.select(F.col("unit_id").alias("unit_a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
-    b = right.agg(F.collect_list(F.struct("unit_id", "x", "y")).alias("all"))
-    each = F.array_min(F.transform("all", lambda p: F.struct(F.hypot(F.col("xa") - p["x"], F.col("ya") - p["y"]).alias("metres"), F.col("unit_a").alias("unit_a"), p["unit_id"].alias("unit_b"))))
-    return a.crossJoin(F.broadcast(b)).agg(F.min(each).alias("best")).select("best.unit_a", "best.unit_b", "best.metres")
-
-
 def with_links(edges: DataFrame, units: DataFrame, links: DataFrame, source: str = "manual") -> DataFrame:
     """edges (unit_a, unit_b, shared_edge_metres, source) and links (unit_a, unit_b) that are new and between known units."""
     known = units.select("unit_id")

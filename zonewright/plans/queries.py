@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from zonewright.functions.calendar import calendar_slot
 from zonewright.functions.stats import tidy
-from zonewright.operators import allocate, anomaly, geometry, network, score, tree
+from zonewright.operators import allocate, anomaly, geometry, nearest, network, overlay, score, tree
 from zonewright.plans import star
 from zonewright.plans.star import BUILD_END, SEALED, SIDE, SQL
 
@@ -26,7 +26,8 @@ def query(sql: str | None = None, *parts: str) -> Callable[[Query], Query]:
         if sql is not None:
             head = ", ".join(SQL.get(p, p) for p in parts)
             body = sql.strip()
-            ORACLES[f.__name__] = f"WITH {head}{', ' + body[5:] if body[:5].upper() == 'WITH ' else ' ' + body}" if head else body
+            start = next((w for w in ("WITH RECURSIVE ", "WITH ") if body.startswith(w)), "")
+            ORACLES[f.__name__] = f"{start or 'WITH '}{head}{', ' if start else ' '}{body[len(start) :]}" if head else body
         return f
 
     return add
@@ -251,6 +252,26 @@ def degree(spark, d):
     return network.degrees(star.nations(spark, d), _rook(spark, d))
 
 
+def _sites(spark, d):
+    """(unit_id, x, y): every supplier at a place of its own, off the lattice, within its nation."""
+    n, k = F.col("s_nationkey"), F.col("s_suppkey")
+    x, y = n % 5 * SIDE + k * 7919 % 24989, F.floor(n / 5) * SIDE + k * 104729 % 24977
+    return star.table(spark, d, "supplier").select(F.concat(F.lit("S"), F.lpad(k.cast("string"), 8, "0")).alias("unit_id"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def _places(spark, d):
+    """(unit_id, x, y): every customer, likewise."""
+    n, k = F.col("c_nationkey"), F.col("c_custkey")
+    x, y = n % 5 * SIDE + k * 15485863 % 24979, F.floor(n / 5) * SIDE + k * 32452843 % 24967
+    return star.table(spark, d, "customer").select(F.concat(F.lit("C"), F.lpad(k.cast("string"), 9, "0")).alias("unit_id"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+SITES = f"""sites AS (SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS unit_id, CAST(s_nationkey % 5 * {SIDE} + s_suppkey * 7919 % 24989 AS DOUBLE) AS x,
+   CAST(s_nationkey // 5 * {SIDE} + s_suppkey * 104729 % 24977 AS DOUBLE) AS y FROM supplier),
+ places AS (SELECT 'C' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS unit_id, CAST(c_nationkey % 5 * {SIDE} + c_custkey * 15485863 % 24979 AS DOUBLE) AS x,
+   CAST(c_nationkey // 5 * {SIDE} + c_custkey * 32452843 % 24967 AS DOUBLE) AS y FROM customer)"""
+
+
 BOX_OVERLAP = f"""districts AS (SELECT 'D' || r_regionkey AS id, CAST((r_regionkey % 2) * 60000 - 10000 AS DOUBLE) AS x, CAST((r_regionkey // 2) * 60000 - 10000 AS DOUBLE) AS y FROM region),
  laps AS (SELECT unit_id, id, greatest(0, least(n.x + {SIDE}, d.x + 60000) - greatest(n.x, d.x)) * greatest(0, least(n.y + {SIDE}, d.y + 60000) - greatest(n.y, d.y)) AS area FROM nations n, districts d),
  shares AS (SELECT unit_id AS child_id, id AS parent_id, area, area / sum(area) OVER (PARTITION BY unit_id) AS share FROM laps WHERE area > 0)"""
@@ -283,41 +304,90 @@ def majority_straddle(spark, d):
 )
 def slivers(spark, d):
     best = majority_straddle(spark, d).select(F.col("unit_id").alias("id"), F.col("majority_cluster").alias("parent_id"))
-    out = geometry.slivers(star.boxes(spark, d).join(best, "id"), star.districts(spark, d), SIDE)
+    out = overlay.slivers(star.boxes(spark, d).join(best, "id"), star.districts(spark, d), SIDE)
     return out.withColumn("sliver_area", F.round("sliver_area", 1))
 
 
-def _sites(spark, d):
-    """Suppliers at places off the lattice: of each nation the supplier of smallest key."""
-    s = star.table(spark, d, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("k"))
-    x, y = F.col("s_nationkey") % 5 * SIDE + F.col("k") * 37 % 9000, F.floor(F.col("s_nationkey") / 5) * SIDE + F.col("k") * 53 % 9000
-    return s.select(F.concat(F.lit("S"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("unit_id"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+def _grounds(spark, d):
+    """(id, parent_id, shape): 10 km squares of all suppliers, on whole kilometres; those of a nation overlap each other."""
+    s = _sites(spark, d).join(star.table(spark, d, "supplier").select(F.concat(F.lit("S"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0")).alias("unit_id"), star.nation_id("s_nationkey").alias("parent_id")), "unit_id")
+    x, y = (F.floor(F.col(c) / 1000) * 1000 for c in ("x", "y"))
+    return s.select(F.col("unit_id").alias("id"), "parent_id", geometry.box_shape(x, y, x + 10_000, y + 10_000).alias("shape"))
 
 
-SITES = f"""sites0 AS (SELECT s_nationkey AS n, min(s_suppkey) AS k FROM supplier GROUP BY 1),
- sites AS (SELECT 'S' || lpad(CAST(k AS VARCHAR), 6, '0') AS unit_id, CAST(n % 5 * {SIDE} + k * 37 % 9000 AS DOUBLE) AS x, CAST(n // 5 * {SIDE} + k * 53 % 9000 AS DOUBLE) AS y FROM sites0)"""
+@query(
+    """WITH kilometres AS (SELECT CAST(floor(x / 1000) AS BIGINT) AS gx, CAST(floor(y / 1000) AS BIGINT) AS gy, s_nationkey AS n FROM sites JOIN supplier ON unit_id = 'S' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0')),
+    kids AS (SELECT DISTINCT n, gx + i AS cx, gy + j AS cy FROM kilometres, range(0, 10) a(i), range(0, 10) b(j)),
+    whole AS (SELECT n_nationkey AS n, n_nationkey % 5 * 25 + i AS cx, n_nationkey // 5 * 25 + j AS cy FROM nation, range(0, 25) a(i), range(0, 25) b(j)),
+    off AS (SELECT coalesce(w.n, k.n) AS n FROM whole w FULL JOIN kids k ON k.n = w.n AND k.cx = w.cx AND k.cy = w.cy WHERE w.n IS NULL OR k.n IS NULL)
+    SELECT 'N' || lpad(CAST(n AS VARCHAR), 2, '0') AS parent_id, count(*) * 1000000.0::DOUBLE AS sliver_area FROM off GROUP BY n""",
+    SITES,
+)
+def slivers_of_overlapping(spark, d):
+    """Where nations and the ground that their suppliers' overlapping squares cover together differ."""
+    return overlay.slivers(_grounds(spark, d), star.boxes(spark, d), SIDE).withColumn("sliver_area", F.round("sliver_area", 1))
 
 
-@query("SELECT a.unit_id AS unit_a, b.unit_id AS unit_b, round(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2), 4) AS metres FROM nations a, sites b ORDER BY metres, 1, 2 LIMIT 1", "nations", SITES)
-def closest_pair(spark, d):
-    return network.closest_pair(star.nations(spark, d).select("unit_id", "x", "y"), _sites(spark, d)).withColumn("metres", F.round("metres", 4))
+@query(
+    f"""SELECT unit_id AS point_id, id FROM places p, districts d WHERE p.x > d.x AND p.x < d.x + 60000 AND p.y > d.y AND p.y < d.y + 60000""",
+    "nations", BOX_OVERLAP, SITES,
+)
+def points_in_districts(spark, d):
+    """Every customer with the districts whose ground it lies on."""
+    return geometry.points_within(_places(spark, d).withColumnRenamed("unit_id", "point_id"), star.districts(spark, d), SIDE)
 
 
 @query(
-    """WITH r AS (SELECT n.unit_id AS place_id, s.unit_id AS point_id, sqrt((n.x - s.x) ^ 2 + (n.y - s.y) ^ 2) AS m FROM nations n, sites s)
-    SELECT place_id, point_id, round(m, 4) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY m, point_id) AS k FROM r) WHERE k = 1""",
-    "nations", SITES,
+    f"""WITH RECURSIVE inside AS (SELECT r.unit_a AS a, r.unit_b AS b FROM rook r JOIN nations x ON x.unit_id = unit_a JOIN nations y ON y.unit_id = unit_b WHERE x.group_id = y.group_id),
+    reach AS (SELECT unit_id AS a, unit_id AS b FROM nations UNION SELECT reach.a, CASE WHEN i.a = reach.b THEN i.b ELSE i.a END FROM reach JOIN inside i ON reach.b IN (i.a, i.b)),
+    roots AS (SELECT a AS unit_id, min(b) AS root FROM reach GROUP BY 1)
+    SELECT group_id, count(DISTINCT root) AS parts, round(count(*) * {SIDE}.0 * {SIDE}, 1)::DOUBLE AS area FROM nations JOIN roots USING (unit_id) GROUP BY 1""",
+    "nations", "rook",
 )
+def dissolved_regions(spark, d):
+    """Regions as shapes: parts and ground of the union of their nations."""
+    shapes = star.boxes(spark, d).join(star.nations(spark, d).select(F.col("unit_id").alias("id"), "group_id"), "id").select("group_id", "shape")
+    out = overlay.dissolved(shapes, SIDE)
+    return out.select("group_id", geometry.part_count(F.col("shape")).cast("long").alias("parts"), F.round(geometry.area(F.col("shape")), 1).alias("area"))
+
+
+@query("SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS id, true AS crossing, CAST(2 AS BIGINT) AS parts, round((100 + s_suppkey % 50) * (200 + s_suppkey % 70) / 2.0, 3)::DOUBLE AS area FROM supplier")
+def repaired_bow_ties(spark, d):
+    """A ring that crosses itself at every supplier, taken apart."""
+    k, x, y = F.col("unit_id").substr(2, 8).cast("long"), F.col("x"), F.col("y")
+    w, h = 100 + k % 50, 200 + k % 70
+    corner = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    bow = F.array(F.array(F.array(corner(x, y), corner(x + w, y + h), corner(x + w, y), corner(x, y + h))))
+    s = _sites(spark, d).select(F.col("unit_id").alias("id"), bow.alias("shape")).withColumns({"crossing": geometry.crosses_itself("shape"), "mended": overlay.repair("shape")})
+    return s.select("id", "crossing", geometry.part_count(F.col("mended")).cast("long").alias("parts"), F.round(geometry.area(F.col("mended")), 3).alias("area"))
+
+
+@query("SELECT a.unit_id AS unit_a, b.unit_id AS unit_b, round(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2), 4) AS metres FROM places a, sites b ORDER BY sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2), 1, 2 LIMIT 1", SITES)
+def closest_pair(spark, d):
+    return nearest.closest_pair(_places(spark, d), _sites(spark, d)).withColumn("metres", F.round("metres", 4))
+
+
+RANKED = """WITH r AS (SELECT n.unit_id AS place_id, s.unit_id AS point_id, sqrt((n.x - s.x) ^ 2 + (n.y - s.y) ^ 2) AS m FROM places n, sites s),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY m, point_id) AS k FROM r) """
+
+
+@query(RANKED + "SELECT place_id, point_id, round(m, 4) AS metres FROM ranked WHERE k = 1", SITES)
 def nearest_point_cell(spark, d):
-    points = _sites(spark, d).withColumnRenamed("unit_id", "point_id")
-    places = star.nations(spark, d).select(F.col("unit_id").alias("place_id"), "x", "y")
-    return geometry.nearest_point(places, points).withColumn("metres", F.round("metres", 4))
+    """The cell that each customer lies in, by the supplier nearest to it."""
+    out = nearest.nearest_point(_places(spark, d).withColumnRenamed("unit_id", "place_id"), _sites(spark, d).withColumnRenamed("unit_id", "point_id"))
+    return out.withColumn("metres", F.round("metres", 4))
+
+
+@query(RANKED + "SELECT place_id, CAST(k AS INT) AS rank, point_id, round(m, 4) AS metres FROM ranked WHERE k <= 5", SITES)
+def nearest_five(spark, d):
+    out = nearest.nearest_join(_places(spark, d).withColumnRenamed("unit_id", "place_id"), _sites(spark, d).withColumnRenamed("unit_id", "point_id"), 5)
+    return out.withColumn("metres", F.round("metres", 4))
 
 
 @query()
 def voronoi_areas(spark, d):
-    """Cell areas of the sites; their sum is the widened box."""
-    cells = geometry.voronoi_cells(_sites(spark, d).withColumnRenamed("unit_id", "point_id"))
+    """Cell areas of all sites; their sum is the widened box."""
+    cells = nearest.voronoi_cells(_sites(spark, d).withColumnRenamed("unit_id", "point_id"))
     return cells.select("point_id", F.round(geometry.area(F.col("shape")), 1).alias("area"))
 
 

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from zonewright.functions.storage import materialize
-from zonewright.operators import allocate, anomaly, geometry, network, score, tree
+from zonewright.operators import allocate, anomaly, geometry, nearest, network, overlay, score, tree
 
 
 class NestingError(ValueError):
@@ -89,7 +87,7 @@ def geometry_checks(layers: dict[str, DataFrame], step: float) -> DataFrame:
         row = counts.withColumn("layer", F.lit(name))
         if kid := below.get(name):
             kids = layers[kid]
-            n = geometry.slivers(kids.select("id", "parent_id", "shape"), layer.select("id", "shape"), step).agg(F.count("*").alias("slivers"))
+            n = overlay.slivers(kids.select("id", "parent_id", "shape"), layer.select("id", "shape"), step).agg(F.count("*").alias("slivers"))
             units = kids.select(F.col("id").alias("unit_id"), F.col("parent_id").alias("group_id"))
             parts = network.parts_within(units, geometry.adjacency(kids.select("id", "shape"), step)).join(units, "unit_id")
             split = parts.groupBy("group_id").agg(F.countDistinct("root").alias("n")).agg(F.count_if(F.col("n") > 1).alias("not_contiguous"))
@@ -101,32 +99,17 @@ def geometry_checks(layers: dict[str, DataFrame], step: float) -> DataFrame:
     return out
 
 
-def _clip(cell: list, unit: list) -> list:
-    """Polygons of a unit within a convex cell."""
-    ring = geometry.polygons_of(cell)[0][0]
-    out = []
-    for polygon in geometry.polygons_of(unit):
-        rings = [c for r in polygon if len(c := geometry.clip_convex(r, ring)) >= 3 and abs(geometry.signed_area(c)) > 0]
-        if rings:
-            out.append([[{"x": x, "y": y} for x, y in r] for r in rings])
-    return out
-
-
 def clipped_cells(cells: DataFrame, land: DataFrame, step: float) -> DataFrame:
-    """(point_id, shape): each cell's part of the land; cells that have none are left out."""
-    @F.arrow_udf(geometry.SHAPE_TYPE)
-    def clip(cell: pa.Array, unit: pa.Array) -> pa.Array:
-        return pa.array([_clip(c, u) for c, u in zip(cell.to_pylist(), unit.to_pylist())], to_arrow_type(geometry.SHAPE_TYPE))
-
+    """(point_id, shape): each cell's part of the land, its pieces in the units of land put together; cells that have none are left out."""
     pairs = geometry.near_pairs(cells.select(F.col("point_id").alias("id"), "shape"), land.select("id", "shape"), step)
-    pieces = pairs.select(F.col("left_id").alias("point_id"), "right_id", clip("left_shape", "right_shape").alias("part")).filter(F.size("part") > 0)
-    sorted_parts = F.array_sort(F.collect_list(F.struct("right_id", "part")))
-    return pieces.groupBy("point_id").agg(F.flatten(F.transform(sorted_parts, lambda s: s["part"])).alias("shape"))
+    pieces = pairs.select(F.col("left_id").alias("point_id"), "right_id", overlay.intersection("left_shape", "right_shape").alias("part")).filter(F.size("part") > 0)
+    ordered = F.array_sort(F.collect_list(F.struct("right_id", "part")))
+    return pieces.groupBy("point_id").agg(F.transform(ordered, lambda s: s["part"]).alias("parts")).select("point_id", overlay.union_of("parts").alias("shape"))
 
 
 def build_graph(points: DataFrame, land: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """(cells, edges): cells (point_id, shape) of the points that have land; edges (unit_a, unit_b, shared_edge_metres, source)."""
-    cells = materialize(clipped_cells(geometry.voronoi_cells(points), land, settings.grid_step), "cells")
+    cells = materialize(clipped_cells(nearest.voronoi_cells(points), land, settings.grid_step), "cells")
     shapes = cells.select(F.col("point_id").alias("id"), "shape")
     edges = geometry.adjacency(shapes, settings.grid_step, settings.neighbour_rule, settings.least_edge_metres).withColumn("source", F.lit("computed"))
     kept = cells.select(F.col("point_id").alias("unit_id"))
