@@ -6,6 +6,7 @@ build window first, so nothing of the held-out days can reach them.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,11 +134,24 @@ def parameter_table(normals: DataFrame, parameters: DataFrame) -> DataFrame:
 
 
 def holes(readings: DataFrame, points: DataFrame) -> DataFrame:
-    """(point_id, variable, date) that have no value, over all dates of the readings and all points."""
-    dates = readings.select("date").distinct().crossJoin(F.broadcast(readings.select("variable").distinct()))  # a handful of names
+    """(point_id, variable, date) that have no value, over all dates and variables of the readings and all points.
+
+    Each series is summed up first: how many values it has, and the sum of its dates' hashes. Only series that differ in that
+    from the calendar are laid out day by day and compared, so whole series never move.
+    """
+    sums = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.xxhash64("date").cast("decimal(38)")).alias("marks"))
     have = readings.filter(F.col("value").isNotNull() & ~F.isnan("value")).select("point_id", "variable", "date")
-    every = dates.groupBy("date").agg(F.collect_set("variable").alias("names")).crossJoin(points.select("point_id").distinct())
-    return every.select("point_id", F.explode("names").alias("variable"), "date").join(have, ["point_id", "variable", "date"], "left_anti")
+    dates = readings.select("date").distinct()
+    whole = sums(dates).first()
+    if not whole["n"]:
+        return have.limit(0)
+    names = [r.variable for r in readings.select("variable").distinct().orderBy("variable").collect()]  # a handful
+    every = points.select("point_id").distinct().withColumn("variable", F.explode(F.array(*map(F.lit, names))))
+    full = sums(have, "point_id", "variable").filter((F.col("n") == whole["n"]) & (F.col("marks") == F.lit(whole["marks"])))
+    short = every.join(full, ["point_id", "variable"], "left_anti")
+    first, last = dates.agg(F.min("date"), F.max("date")).first()
+    days = short.withColumn("date", F.explode(F.sequence(F.lit(first), F.lit(last)))).join(dates, "date", "left_semi")
+    return days.join(have, ["point_id", "variable", "date"], "left_anti").select("point_id", "variable", "date")
 
 
 def without_days(readings: DataFrame, bad: DataFrame) -> DataFrame:
@@ -145,14 +159,42 @@ def without_days(readings: DataFrame, bad: DataFrame) -> DataFrame:
     return readings.join(bad.select("date").distinct(), "date", "left_anti")
 
 
-def filled_from_neighbours(readings: DataFrame, missing: DataFrame, edges: DataFrame) -> DataFrame:
-    """Readings plus the missing ones that neighbours (point_a, point_b) can fill: the mean of their same-day values.
+def _in_turn(day: pa.Table) -> pa.Table:
+    """The holes of a variable on a day in order of point: each the mean of its neighbours' values, earlier fills among them."""
+    rows = sorted(zip(*(day[c].to_pylist() for c in ("point_id", "total", "n", "feeders"))))
+    filled: dict[str, float] = {}
+    used = []
+    for point, total, n, feeders in rows:
+        fed = [filled[f] for f in feeders if f in filled]
+        if n + len(fed):
+            filled[point] = ((total or 0.0) + sum(fed)) / (n + len(fed))
+            used.append(n + len(fed))
+    same = lambda c: pa.array([day[c][0].as_py()] * len(filled), day.schema.field(c).type)
+    return pa.table([pa.array(list(filled), pa.string()), same("variable"), same("date"), pa.array(list(filled.values()), pa.float64()), pa.array(used, pa.int64())], names=["point_id", "variable", "date", "value", "neighbours"])
+
 
-    A single pass: a filled value never feeds another.
+def neighbour_fills(readings: DataFrame, missing: DataFrame, edges: DataFrame) -> DataFrame:
+    """(point_id, variable, date, value, neighbours): what the missing readings get from neighbours (point_a, point_b).
+
+    On a day, the points of a variable are filled in order of their ids, each by the mean of what its neighbours have by
+    then: a value filled earlier counts like a reading, one still missing does not. A point none of whose neighbours has
+    anything at its turn gets no row. Known values are summed by join; only holes that wait for others, and the holes of
+    their day, are walked in order, a task for each variable and day.
     """
     both = edges.select("point_a", "point_b").unionByName(edges.select(F.col("point_b").alias("point_a"), F.col("point_a").alias("point_b"))).distinct()
     near = missing.join(both, F.col("point_id") == F.col("point_a")).select("point_id", "variable", "date", F.col("point_b").alias("near"))
-    values = readings.select(F.col("point_id").alias("near"), "variable", "date", "value").filter(F.col("value").isNotNull())
-    filled = near.join(values, ["near", "variable", "date"]).groupBy("point_id", "variable", "date").agg(F.avg("value").alias("value"))
-    kept = readings.filter(F.col("value").isNotNull()).select("point_id", "variable", "date", "value")
-    return kept.unionByName(filled)
+    values = readings.filter(F.col("value").isNotNull() & ~F.isnan("value")).select(F.col("point_id").alias("near"), "variable", "date", "value")
+    gaps = missing.select(F.col("point_id").alias("near"), "variable", "date", F.lit(True).alias("gap"))
+    met = near.join(values, ["near", "variable", "date"], "left").join(gaps, ["near", "variable", "date"], "left")
+    waits = F.col("gap") & (F.col("near") < F.col("point_id"))
+    each = met.groupBy("point_id", "variable", "date").agg(F.sum("value").alias("total"), F.count("value").alias("n"), F.array_sort(F.collect_list(F.when(waits, F.col("near")))).alias("feeders"))
+    waiting = each.filter(F.size("feeders") > 0).select("variable", "date").distinct()
+    plain = each.join(waiting, ["variable", "date"], "left_anti").filter("n > 0").select("point_id", "variable", "date", (F.col("total") / F.col("n")).alias("value"), F.col("n").alias("neighbours"))
+    day = each.join(waiting, ["variable", "date"], "left_semi").groupBy("variable", "date")
+    return plain.unionByName(day.applyInArrow(_in_turn, "point_id string, variable string, date date, value double, neighbours long"))
+
+
+def filled_from_neighbours(readings: DataFrame, missing: DataFrame, edges: DataFrame) -> DataFrame:
+    """Readings plus the missing ones that neighbours (point_a, point_b) can fill, in order (neighbour_fills)."""
+    kept = readings.filter(F.col("value").isNotNull() & ~F.isnan("value")).select("point_id", "variable", "date", "value")
+    return kept.unionByName(neighbour_fills(readings, missing, edges).drop("neighbours"))

@@ -199,17 +199,22 @@ def missing_holes(spark, d):
     return _holes(spark, d)
 
 
-@query("SELECT point_id, date, variable, round(value, 3) AS value FROM daily WHERE date NOT IN (SELECT date FROM holes WHERE point_id = 'N00')", "priced", "daily", "nations", POINTS, HOLES)
+@query("SELECT point_id, date, variable, round(value, 3) AS value FROM monthly WHERE date NOT IN (SELECT date FROM holes)", "priced", "monthly", "nations", POINTS, HOLES.replace("daily", "monthly"))
 def drop_day(spark, d):
-    bad = _holes(spark, d).filter("point_id = 'N00'")
-    return anomaly.without_days(star.daily(spark, d), bad).select("point_id", "date", "variable", F.round("value", 3).alias("value"))
+    """By month: each day of the smaller tables has a nation without orders."""
+    s = star.monthly(spark, d)
+    missing = anomaly.holes(s, star.nations(spark, d).select(F.col("unit_id").alias("point_id")))
+    return anomaly.without_days(s, missing).select("point_id", "date", "variable", F.round("value", 3).alias("value"))
 
 
 @query(
-    f"""WITH near AS (SELECT unit_a AS point_id, unit_b AS near FROM rook UNION ALL SELECT unit_b, unit_a FROM rook)
-    SELECT point_id, variable, date, round(value, 3) AS value FROM daily UNION ALL
-    SELECT h.point_id, h.variable, h.date, round(avg(x.value), 3) FROM holes h JOIN near n ON n.point_id = h.point_id JOIN daily x ON x.point_id = n.near AND x.variable = h.variable AND x.date = h.date GROUP BY 1, 2, 3""",
-    "priced", "daily", "nations", POINTS, HOLES, "rook",
+    """WITH RECURSIVE place AS (SELECT unit_id AS point_id, row_number() OVER (ORDER BY unit_id) AS k, row_number() OVER (ORDER BY unit_id) - 1 AS z FROM nations),
+    every AS (SELECT v.variable, dt.date, place.point_id, k FROM (SELECT DISTINCT variable FROM daily) v, (SELECT DISTINCT date FROM daily) dt, place),
+    walk AS (SELECT variable, date, list(value ORDER BY k) AS v, CAST(0 AS BIGINT) AS step FROM every LEFT JOIN daily USING (variable, date, point_id) GROUP BY ALL
+      UNION ALL SELECT variable, date, list_concat(v[1:step], [CASE WHEN v[step + 1] IS NOT NULL THEN v[step + 1] ELSE list_avg([CASE WHEN step >= 5 THEN v[step - 4] END, CASE WHEN step % 5 > 0 THEN v[step] END,
+        CASE WHEN step % 5 < 4 THEN v[step + 2] END, CASE WHEN step < 20 THEN v[step + 6] END]) END], v[step + 2:]), step + 1 FROM walk WHERE step < 25)
+    SELECT point_id, date, variable, round(v[k], 3) AS value FROM walk, place WHERE step = 25 AND v[k] IS NOT NULL""",
+    "priced", "daily", "nations",
 )
 def fill_from_neighbours(spark, d):
     edges = _rook(spark, d).select(F.col("unit_a").alias("point_a"), F.col("unit_b").alias("point_b"))
