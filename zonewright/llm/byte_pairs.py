@@ -16,7 +16,7 @@ from zonewright.llm.common import remembered, texts
 
 #: Texts of about so many bytes are indexed together; bounds of what a worker remembers, in each of two halves.
 BYTES_AT_ONCE = 4 << 20
-MOST_WORDS, LONGEST_WORD = 250_000, 64
+MOST_WORDS, LONGEST_WORD = 150_000, 64
 #: White space as Unicode has it; `\s` of Python's engines counts four control characters more.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Pre-tokens of the public byte-level vocabulary, and the characters that stand for bytes in its file.
@@ -31,21 +31,41 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in SHOWN_AS_THEMSELVES} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def vocabulary_file(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
+class TokenBytes:
+    """The bytes of each token of a byte-level vocabulary: all that decoding needs."""
+
+    def __init__(self, spec: dict):
+        of_char = byte_characters()
+        as_bytes = lambda token: bytes(of_char[c] for c in token) if all(c in of_char for c in token) else token.encode()
+        known = {i: as_bytes(t) for t, i in spec["model"]["vocab"].items()} | {t["id"]: as_bytes(t["content"]) for t in spec["added_tokens"]}
+        self.bytes_of = [known.get(i, b"") for i in range(max(known) + 1)]
+
+    def decode(self, ids: bytes) -> bytes:
+        """The bytes that the ids stand for; what is no UTF-8 becomes U+FFFD, an id that is none is passed over."""
+        numbers = np.frombuffer(ids, dtype="<u4")
+        if len(numbers) and numbers.max() >= len(self.bytes_of):
+            numbers = numbers[numbers < len(self.bytes_of)]
+        raw = b"".join(map(self.bytes_of.__getitem__, numbers.tolist()))
+        return raw.decode("utf-8", "replace").encode()
+
+
 class BytePairs:
-    """A byte-level vocabulary and its merges, for encoding many words at once, and decoding."""
+    """A byte-level vocabulary and its merges, for encoding many words at once."""
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+        spec = vocabulary_file(path)
         added, vocabulary = spec["added_tokens"], spec["model"]["vocab"]
         if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")) or spec["normalizer"]:
             raise ValueError(f"{path}: only plain byte-level vocabularies without normalizer are known")
         of_char = byte_characters()
-        as_bytes = lambda token: bytes(of_char[c] for c in token) if all(c in of_char for c in token) else token.encode()
-        self.bytes_of = {i: as_bytes(t) for t, i in vocabulary.items()} | {t["id"]: as_bytes(t["content"]) for t in added}
         self.special = {t["content"]: t["id"] for t in added}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         self.first = np.zeros(256, dtype=np.int64)
@@ -54,22 +74,27 @@ class BytePairs:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.left, self.right = [vocabulary[a] for a, _ in merges], [vocabulary[b] for _, b in merges]
         self.made = [vocabulary[a + b] for a, b in merges]
-        self.rank = {a << 32 | b: r for r, (a, b) in enumerate(zip(self.left, self.right))}
+        self.ranks_before: dict[int, dict[int, int]] = {}
+        self.ranks_after: dict[int, dict[int, int]] = {}
+        for r, (a, b) in enumerate(zip(self.left, self.right)):
+            self.ranks_before.setdefault(b, {})[a] = r  # of the symbols that b may stand behind
+            self.ranks_after.setdefault(a, {})[b] = r  # and of those that may stand behind a
         born = dict.fromkeys(self.first.tolist(), -1) | {m: r for r, m in reversed(list(enumerate(self.made)))}
         if any(born.get(x, len(merges)) >= r for r in range(len(merges)) for x in (self.left[r], self.right[r])):
             raise ValueError(f"{path}: a merge comes before one that makes its parts, so ranks cannot be applied in ascending order")
         self.cut_known, self.cut_ascii = regex.compile(CUT).findall, re.compile(CUT_ASCII).findall
         self.library = Tokenizer.from_file(path).pre_tokenizer
         self.agreed: set[str] = set(map(chr, range(128)))
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.special_ids = {i: i.to_bytes(4, "little") for i in self.special.values()}
+        self.known: dict[str | int, bytes] = dict(self.special_ids)
+        self.older: dict[str | int, bytes] = {}
 
     def index(self, symbols: np.ndarray, last: np.ndarray) -> dict[int, list[int]]:
         """Rank of each pair that can merge: the places where it begins, ascending. No pair reaches beyond a word's last symbol."""
         both = symbols[:-1] << 32 | symbols[1:]
         both[last[:-1]] = -1
         kinds, which = np.unique(both, return_inverse=True)
-        ranks = np.array([self.rank.get(k, -1) for k in kinds.tolist()], dtype=np.int64)[which]
+        ranks = np.array([self.ranks_after.get(k >> 32, {}).get(k & 0xFFFFFFFF, -1) for k in kinds.tolist()], dtype=np.int64)[which]
         places = np.flatnonzero(ranks >= 0)
         places = places[np.argsort(ranks[places], kind="stable")]
         found, starts = np.unique(ranks[places], return_index=True)
@@ -98,24 +123,35 @@ class BytePairs:
                 before[e + 1] = n
         if n:
             before[0] = n
-        rank, active = self.rank, sorted(places)
+        active, none = sorted(places), {}
         while active:
             r = heapq.heappop(active)
             a, b, made = self.left[r], self.right[r], self.made[r]
+            ahead, behind = self.ranks_before.get(made, none), self.ranks_after.get(made, none)
             for p in sorted(places.pop(r)):
-                if symbol[p] != a or symbol[q := after[p]] != b:
+                if symbol[p] != a:
+                    continue
+                q = after[p]
+                if symbol[q] != b:
                     continue
                 symbol[p], symbol[q] = made, -1
-                z, y = after[q], before[p]
-                after[p], before[z] = z, p
-                for key, at in ((symbol[y] << 32 | made, y), (made << 32 | symbol[z], p)):
-                    k = rank.get(key)
-                    if k is None:
-                        continue
+                z = after[q]
+                after[p] = z
+                before[z] = p
+                y = before[p]
+                k = ahead.get(symbol[y])
+                if k is not None:
+                    if k in places:
+                        places[k].append(y)
+                    else:
+                        places[k] = [y]
+                        heapq.heappush(active, k)
+                k = behind.get(symbol[z])
+                if k is not None:
                     if k in places:
-                        places[k].append(at)
+                        places[k].append(p)
                     else:
-                        places[k] = [at]
+                        places[k] = [p]
                         heapq.heappush(active, k)
         ids = np.array(symbol[:n], dtype=np.int64)
         alive = ids >= 0
@@ -147,28 +183,19 @@ class BytePairs:
     def encode_texts(self, some: list[str]) -> Iterator[bytes]:
         """Ids of each text. Words seen before are remembered; of those the older half goes when the newer one is full."""
         if len(self.known) > MOST_WORDS:
-            self.older, self.known = self.known, {}
+            self.older, self.known = self.known, dict(self.special_ids)
         cut = [self.pre_tokens(t) for t in some]
-        wanted = set().union(*cut)
-        ids: dict[str | int, bytes] = {}
-        fresh = []
-        for w in wanted:
-            found = self.known.get(w) or self.older.get(w)
-            if found is not None:
-                ids[w] = found
-            elif isinstance(w, int):
-                ids[w] = w.to_bytes(4, "little")
-            else:
-                fresh.append(w)
-        ids.update(zip(fresh, self.encode_words([w.encode() for w in fresh])))
-        self.known.update((w, ids[w]) for w in wanted if isinstance(w, str) and len(w) <= LONGEST_WORD)
+        known, older = self.known, self.older
+        fresh = set().union(*cut) - known.keys()
+        again = fresh & older.keys()
+        known.update(zip(again, map(older.__getitem__, again)))
+        new = list(fresh - again)
+        known.update(zip(new, self.encode_words([w.encode() for w in new])))
         for words in cut:
-            yield b"".join(map(ids.__getitem__, words))
-
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes that the ids stand for; what is no UTF-8 becomes U+FFFD, an id that is none is passed over."""
-        raw = b"".join([self.bytes_of.get(i, b"") for i in np.frombuffer(ids, dtype="<u4").tolist()])
-        return raw.decode("utf-8", "replace").encode()
+            yield b"".join(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > LONGEST_WORD:
+                del known[w]
 
 
 def byte_pairs(path: str) -> BytePairs:
@@ -201,7 +228,7 @@ def _encoded(path: str):
 
 def _decoded(path: str):
     def run(batches):
-        model = byte_pairs(path)
+        model = remembered(("token bytes", path), lambda: TokenBytes(vocabulary_file(path)))
         for b in batches:
             decoded = pa.array([None if x is None else model.decode(x) for x in texts(b.column(2))], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), decoded.cast(pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
