@@ -3,63 +3,41 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
 from zonewright.operators import geometry, tree
 from zonewright.plans import app, regionalise
-from zonewright.sources import planted, sinks
-
-
-
-def to_wgs84(spark, x, y):
-    """Grid metres to degrees, by Newton steps on the projection: for writing test inputs only."""
-    lat, lon = 49 + (y + 100_000) / 111_200, -2 + (x - 400_000) / 67_000
-    grid = lambda rows: {r.i: (r.x, r.y) for r in geometry.to_national_grid(spark.createDataFrame(rows, "i int, latitude double, longitude double")).collect()}
-    for _ in range(4):
-        h = 1e-4
-        at = grid([(0, lat, lon), (1, lat + h, lon), (2, lat, lon + h)])
-        a, b, c, d = (at[2][0] - at[0][0]) / h, (at[1][0] - at[0][0]) / h, (at[2][1] - at[0][1]) / h, (at[1][1] - at[0][1]) / h
-        ex, ey, det = x - at[0][0], y - at[0][1], a * d - b * c
-        lon, lat = lon + (d * ex - b * ey) / det, lat + (a * ey - c * ex) / det
-    return lat, lon
+from zonewright.sources import planted
 
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     base = tmp_path_factory.mktemp("planted")
-    known = {}
-
-    def degrees(x, y):
-        if (x, y) not in known:
-            known[x, y] = to_wgs84(spark, x, y)
-        return known[x, y]
-
-    points = [(r.point_id, *degrees(r.x, r.y)) for r in planted.points(spark).orderBy("point_id").collect()]
-    (base / "points.csv").write_text("point_id,latitude,longitude\n" + "".join(f"{p},{a:.8f},{b:.8f}\n" for p, a, b in points))
-    for level, layer in planted.layers(spark).items():
-        rows = []
-        for r in layer.collect():
-            shape = [[[{"x": degrees(p["x"], p["y"])[1], "y": degrees(p["x"], p["y"])[0]} for p in ring] for ring in polygon] for polygon in r["shape"]]
-            rows.append((r.id, r["parent_id"] if level != "nca" else None, shape))
-        df = spark.createDataFrame(rows, f"ID string, PARENT string, shape {geometry.SHAPE}")
-        sinks.write_geojson(df, str(base / f"{level}.geojson"), ["ID"], places=13)
-    (base / "weather").mkdir()
-    for v in planted.VARIABLES:
-        wide = planted.weather(spark).filter(F.col("variable") == v).groupBy("date").pivot("point_id").agg(F.first("value"))
-        sinks.write_csv(wide, str(base / "weather" / f"weather-{v}.csv"), ["date"])
-    sinks.write_csv(planted.demand(spark).groupBy("date").pivot("pga_id").agg(F.first("demand")), str(base / "demand.csv"), ["date"])
-    layer = lambda n, parent: f'[layers.{n}]\npath = "{n}.geojson"\nid_column = "ID"\n' + ('parent_id_column = "PARENT"\n' if parent else "")
-    (base / "settings.toml").write_text(
-        '[inputs]\npoints = "points.csv"\nweather = "weather"\ndemand = "demand.csv"\n'
-        + layer("ra", True) + layer("pga", True) + layer("nca", False)
-        + '[settings]\nbuild_start = "2023-09-01"\nmanual_links = [["P18", "P12"]]\nmissing_data = "drop_day"\ncuts_to_save = [2, 3]\nrandom_partitions = 20\n'
-    )
+    assert app.main(["fixture", "--folder", str(base)]) == 0
+    with open(base / "settings.toml", "a") as f:
+        f.write('random_partitions = 20\n[settings.sensitivity_sets]\ntemperature = ["tmin", "tmax"]\n')
     return base
 
 
-def test_full_run(spark, folder, tmp_path):
-    out = tmp_path / "run"
-    assert app.main(["run", "all", "--settings", str(folder / "settings.toml"), "--folder", str(out)]) == 0
+def test_planted_inputs_are_the_same_bytes_each_time(spark, folder, tmp_path):
+    names = planted.write(spark, str(tmp_path))
+    assert names == sorted(["points.csv", "demand.csv", "settings.toml", "cluster-labels-k2.expected.csv", *(f"{n}.geojson" for n in ("ra", "pga", "nca")), *(f"weather/weather-{v}.csv" for v in planted.VARIABLES)])
+    assert all((tmp_path / n).read_bytes() == (folder / n).read_bytes() for n in names if n != "settings.toml")
+    lines = (tmp_path / "points.csv").read_text().splitlines()
+    assert lines[0] == "point_id,latitude,longitude" and len(lines) == 19
+    labels = (tmp_path / "cluster-labels-k2.expected.csv").read_text().splitlines()
+    assert len(labels) == 18 and labels[1] == "P01,P01" and labels[-1] == "P18,P03"
+
+
+@pytest.fixture(scope="module")
+def finished(spark, folder, tmp_path_factory):
+    out = tmp_path_factory.mktemp("run")
+    text = (folder / "settings.toml").read_text().replace("[inputs]", "[inputs]\ntext = true")
+    (folder / "text.toml").write_text(text)
+    assert app.main(["run", "all", "--settings", str(folder / "text.toml"), "--folder", str(out)]) == 0
+    return out
+
+
+def test_full_run(spark, folder, finished):
+    out = finished
     record = json.loads((out / "run-record.json").read_text())
     assert list(record["stages"]) == sorted(app.STAGES) and [r["stage"] for r in record["reads"] if r["kind"] == "demand"] == ["evaluate"]
     eta = {(r.map, r.variable): r.eta_squared for r in spark.read.parquet(str(out / "evaluate/eta")).collect()}
@@ -69,6 +47,97 @@ def test_full_run(spark, folder, tmp_path):
     figures = {p.name for p in (out / "report").iterdir()}
     assert len([f for f in figures if f.endswith(".svg")]) == 8 and "summary.md" in figures
     assert len((out / "report/summary.md").read_text().splitlines()) < 80
+    expected = [tuple(x.split(",")) for x in (folder / "cluster-labels-k2.expected.csv").read_text().splitlines()[1:]]
+    labels = spark.read.parquet(str(out / "cluster/labels")).filter("k = 2").select("point_id", "cluster")
+    assert sorted(map(tuple, labels.collect())) == sorted(expected)
+
+
+def test_record_of_a_run(finished):
+    record = json.loads((finished / "run-record.json").read_text())
+    rows = {r["kind"]: r["rows"] for r in record["reads"]}
+    assert rows["points"] == 18 and rows["weather tmax"] == 731 * 18 and rows["demand"] == 365 * 4
+    weather = next(r for r in record["reads"] if r["kind"] == "weather rain")
+    assert (weather["start"], weather["end"], weather["first"], weather["last"]) == ("2023-09-01", "2025-08-31", "2023-09-01", "2025-08-31")
+    assert sorted(r["rows"] for r in record["reads"] if r["kind"] == "layer") == [2, 4, 8]
+    said = "\n".join(record["notices"])
+    assert "graph: dropped 1 point(s) whose cells have no land: P17" in said
+    assert "features: dropped 1 date(s) at every point and variable because a reading was missing: 2024-03-15" in said
+    assert record["versions"]["libraries"]["numpy"] and record["versions"]["conf"]["spark.sql.session.timeZone"] == "UTC"
+    assert record["sealed_override"] == {"setting": False, "used": False} and record["timing"]["seconds"] > 0 and record["seed"] == 20260921
+
+
+def test_maps_of_all_cuts(spark, finished):
+    read = lambda name: spark.read.parquet(str(finished / name)).collect()
+    cuts = {r.k: r for r in read("mapping/cuts")}
+    assert (cuts[2].regions, cuts[2].contiguous, round(cuts[2].highest_straddle, 6), cuts[2].moves, cuts[2].clusters_without_area) == (2, True, 0.0, 0, [])
+    assert cuts[3].highest_straddle > 0.4 and {r.k for r in read("mapping/cut_assignments")} == {2, 3}
+    regions = {r.group_id: r for r in read("mapping/regions")}
+    assert regions["NCA-P01"].members == "PGA-NW,PGA-SW" and regions["NCA-P03"].connected
+    outlines = {r.group_id: (r.parts, round(r.area)) for r in read("mapping/outlines")}
+    assert outlines["NCA-P01"][0] == 1 and outlines["NCA-P03"][0] == 2  # the island is a part
+    assert abs(outlines["NCA-P01"][1] - 50_000 * 100_000) < 1000
+    assert {r.point_id for r in read("graph/cells") if not r.inside_outline} == set()
+    diagnostics = {r.run: r for r in read("cluster/diagnostics")}
+    assert set(diagnostics) == {"temperature", "unconstrained"} and diagnostics["unconstrained"].adjusted_rand == 1.0
+    assert {(r.k, r.cluster): r.size for r in read("cluster/sizes")}[2, "P01"] == 8
+
+
+def test_metrics_and_texts(finished):
+    m = json.loads((finished / "evaluate/metrics.json").read_text())
+    assert abs(m["weather_means"]["eta_new"] - 0.972451) < 1e-4 and abs(m["weather_means"]["eta_current"] - 0.002589) < 1e-4
+    assert abs(m["weather_means"]["ceiling"] - 0.988111) < 1e-4 and abs(m["weather_means"]["variance_explained"] - 0.869625) < 1e-4
+    assert m["placings"]["new/weather_mean"]["percentile"] == 100.0 and m["placings"]["new/demand"]["percentile"] == 100.0
+    assert m["random_maps"]["weather_mean"]["minimum"] <= m["random_maps"]["weather_mean"]["median"] <= m["random_maps"]["weather_mean"]["maximum"]
+    assert sum(v["misfit"] for k, v in m["misfits"].items() if k.startswith("current")) == 8
+    labels = (finished / "text/cluster/labels.csv").read_text().splitlines()
+    assert labels[0] == "k,point_id,cluster" and labels[1] == "2,P01,P01" and len(labels) == 1 + 2 * 17
+    assert len(json.loads((finished / "text/graph/cells.geojson").read_text())["features"]) == 17
+    assert (finished / "text/cluster/tree.csv").exists() and not (finished / "text/features/anomalies.csv").exists()
+
+
+def test_layers_without_parents_and_crossing_rings(spark, folder, tmp_path):
+    """No layer names a parent, and one area's ring crosses itself: the run takes it apart, finds the parents and says so."""
+    settings = "\n".join(x for x in (folder / "settings.toml").read_text().splitlines() if not x.startswith("parent_id_column"))
+    for name in ("points.csv", "weather", "demand.csv", "ra.geojson", "pga.geojson", "nca.geojson"):
+        settings = settings.replace(f'"{name}"', f'"{folder / name}"')
+    layer = json.loads((folder / "ra.geojson").read_text())
+    twisted = next(f for f in layer["features"] if f["properties"]["RA_ID"] == "RA-SW-1")
+    ring = twisted["geometry"]["coordinates"][0][0]
+    (x, y), (u, v) = ring[0], ring[1]
+    # a small loop beyond the lower edge: out between two of its points, and back across itself
+    at = lambda t, up: [x + (u - x) * t, y + (v - y) * t + up]
+    twisted["geometry"]["coordinates"][0][0] = [ring[0], at(0.5, 0), at(0.5001, 1e-6), at(0.49995, 1e-6), at(0.50005, -1e-6), *ring[1:]]
+    (tmp_path / "twisted.geojson").write_text(json.dumps(layer))
+    (tmp_path / "s.toml").write_text(settings.replace(str(folder / "ra.geojson"), str(tmp_path / "twisted.geojson")))
+    out = tmp_path / "run"
+    assert app.main(["run", "geometry", "--settings", str(tmp_path / "s.toml"), "--folder", str(out)]) == 0
+    parents = {r.id: r.parent_id for r in spark.read.parquet(str(out / "geometry/ra")).collect()}
+    assert parents["RA-NE-1"] == "PGA-NE" and parents["RA-SW-2"] == "PGA-SW" and len(parents) == 8
+    said = "\n".join(json.loads((out / "run-record.json").read_text())["notices"])
+    assert "8 unit(s) of ra name no parent" in said and "4 unit(s) of pga name no parent" in said and "crossing rings of 1 unit(s) of ra: RA-SW-1" in said
+
+
+def test_links_that_are_not_made(spark):
+    layers, points = planted.layers(spark), planted.points(spark).select("point_id", "x", "y")
+    said = []
+    links = (("P18", "P12"), ("P12", "P18"), ("P01", "P02"), ("P01", "P99"), ("P17", "P01"))
+    _, edges = regionalise.build_graph(points, layers["ra"], regionalise.Settings(manual_links=links), said.append)
+    assert edges.filter("source = 'manual'").count() == 1
+    assert [x for x in said if "skipped" in x] == [
+        "skipped the link of P01 and P02: they are neighbours already",
+        "skipped the link of P01 and P17: not both are in the graph",
+        "skipped the link of P01 and P99: not both are in the graph",
+    ]
+
+
+def test_the_real_source_refuses(spark, folder, tmp_path):
+    real = (folder / "settings.toml").read_text().replace("[inputs]", '[inputs]\nsource = "real"')
+    for name in ("points.csv", "weather", "demand.csv", "ra.geojson", "pga.geojson", "nca.geojson"):
+        real = real.replace(f'"{name}"', f'"{folder / name}"')
+    (tmp_path / "real.toml").write_text(real)
+    assert app.main(["run", "all", "--settings", str(tmp_path / "real.toml"), "--folder", str(tmp_path / "out")]) == 1
+    record = json.loads((tmp_path / "out/run-record.json").read_text())
+    assert record["stopped"].startswith("RealSourceError") and "not connected" in record["stopped"] and record["reads"] == []
 
 
 def test_stages_need_those_before(folder, tmp_path):
@@ -77,10 +146,10 @@ def test_stages_need_those_before(folder, tmp_path):
 
 
 def test_bad_settings_stop_before_anything(tmp_path, capsys):
-    (tmp_path / "s.toml").write_text('[inputs]\npoints = "p.csv"\n[settings]\nsmoothing_days = 2\ncolour = "red"\n[extra]\n')
+    (tmp_path / "s.toml").write_text('[inputs]\npoints = "p.csv"\nsource = "guess"\n[settings]\nsmoothing_days = 2\nseed = "one"\ncontiguity_repair = 1\ncolour = "red"\n[extra]\n')
     assert app.main(["run", "all", "--settings", str(tmp_path / "s.toml"), "--folder", str(tmp_path / "out")]) == 2
     said = capsys.readouterr().err
-    assert all(x in said for x in ("extra", "colour", "smoothing_days", "weather", "demand", "layers.ra.path")) and not (tmp_path / "out").exists()
+    assert all(x in said for x in ("extra", "colour", "smoothing_days", "seed must be a int", "contiguity_repair must be a bool", "inputs.source", "weather", "demand", "layers.ra.path")) and not (tmp_path / "out").exists()
     assert app.main(["stages"]) == 0
 
 

@@ -22,6 +22,15 @@ def majority(shares: DataFrame) -> DataFrame:
     return best.select("unit_id", F.col("best.cluster").alias("majority_cluster"), (-F.col("best.minus")).alias("majority_share"), (1 + F.col("best.minus")).alias("straddle_score"))
 
 
+def majority_by_cut(areas: DataFrame, labels: DataFrame) -> DataFrame:
+    """(k, unit_id, majority_cluster, majority_share, straddle_score) of every cut at once: areas (unit_id, point_id, area), labels (k, point_id, cluster)."""
+    held = areas.join(labels, "point_id").groupBy("k", "unit_id", "cluster").agg(F.sum("area").alias("area"))
+    total = held.groupBy("k", "unit_id").agg(F.sum("area").alias("total"))
+    share = F.round(F.col("area") / F.when(F.col("total") != 0, F.col("total")), 9)
+    best = held.join(total, ["k", "unit_id"]).groupBy("k", "unit_id").agg(F.min(F.struct((-share).alias("minus"), "cluster")).alias("best"))
+    return best.select("k", "unit_id", F.col("best.cluster").alias("majority_cluster"), (-F.col("best.minus")).alias("majority_share"), (1 + F.col("best.minus")).alias("straddle_score"))
+
+
 def winning_none(labels: DataFrame, assigned: DataFrame) -> DataFrame:
     """(cluster) that no unit went to."""
     return labels.select("cluster").distinct().join(assigned.select(F.col("majority_cluster").alias("cluster")), "cluster", "left_anti")

@@ -194,7 +194,12 @@ def neighbour_fills(readings: DataFrame, missing: DataFrame, edges: DataFrame) -
     return plain.unionByName(day.applyInArrow(_in_turn, "point_id string, variable string, date date, value double, neighbours long"))
 
 
+def with_fills(readings: DataFrame, fills: DataFrame) -> DataFrame:
+    """The readings that have a value, and the fills."""
+    kept = readings.filter(F.col("value").isNotNull() & ~F.isnan("value")).select("point_id", "variable", "date", "value")
+    return kept.unionByName(fills.select("point_id", "variable", "date", "value"))
+
+
 def filled_from_neighbours(readings: DataFrame, missing: DataFrame, edges: DataFrame) -> DataFrame:
     """Readings plus the missing ones that neighbours (point_a, point_b) can fill, in order (neighbour_fills)."""
-    kept = readings.filter(F.col("value").isNotNull() & ~F.isnan("value")).select("point_id", "variable", "date", "value")
-    return kept.unionByName(neighbour_fills(readings, missing, edges).drop("neighbours"))
+    return with_fills(readings, neighbour_fills(readings, missing, edges))

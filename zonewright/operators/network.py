@@ -123,6 +123,16 @@ def random_maps(spark: SparkSession, units: list[str], edges: list[tuple[str, st
     return spark.createDataFrame(rows, "draw int, unit_id string, group_id string")
 
 
+def parts_of_groups(groups: dict[str, str], edges: list[tuple[str, str, float]]) -> dict[str, int]:
+    """group -> how many parts its units are in; the units are the areas of a map."""
+    inside = [(a, b) for a, b, _ in edges if a in groups and groups[a] == groups.get(b)]
+    roots = _walked(sorted(groups), inside)
+    out: dict[str, set[str]] = {}
+    for u, g in groups.items():
+        out.setdefault(g, set()).add(roots[u])
+    return {g: len(r) for g, r in out.items()}
+
+
 def repair(groups: dict[str, str], edges: list[tuple[str, str, float]], rounds: int = 20) -> tuple[dict[str, str], list[tuple[str, str, str, float]]]:
     """Move stranded units to the neighbouring group with the longest border, until none is stranded; (groups, moves).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,32 @@ class MissingDataError(ValueError):
     """Readings are missing, and nothing says what to do about it."""
 
 
+class DemandError(ValueError):
+    """Areas lack demand on held-out days."""
+
+
+Notice = Callable[[str], None]
+#: Areas of a map, their borders and cuts are few; more than so many rows of them do not come to the driver.
+MOST_ROWS = 200_000
+
+
+def silent(text: str) -> None:
+    """For runs without a record."""
+
+
+def few(df: DataFrame, what: str) -> list:
+    """The rows of a table that is small by nature, which is checked."""
+    rows = df.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"over {MOST_ROWS} {what}: too many for one map")
+    return rows
+
+
+def named(rows: list, most: int = 10) -> str:
+    """The first ids of rows, and how many more there are."""
+    return ", ".join(str(r[0]) for r in rows[:most]) + (f" and {len(rows) - most} more" if len(rows) > most else "")
+
+
 @dataclass(frozen=True)
 class Settings:
     """Choices of a run; problems() lists all that is wrong with them at once."""
@@ -45,6 +72,8 @@ class Settings:
     random_partitions: int = 500
     seed: int = 20260921
     grid_step: float = 25_000.0
+    unconstrained_diagnostic: bool = True
+    sensitivity_sets: tuple[tuple[str, tuple[str, ...]], ...] = (("temperature_only", ("tmin", "tmax")), ("all_variables", ("tmin", "tmax", "rain", "wind")))
 
     def problems(self) -> list[str]:
         out = []
@@ -107,46 +136,82 @@ def clipped_cells(cells: DataFrame, land: DataFrame, step: float) -> DataFrame:
     return pieces.groupBy("point_id").agg(F.transform(ordered, lambda s: s["part"]).alias("parts")).select("point_id", overlay.union_of("parts").alias("shape"))
 
 
-def build_graph(points: DataFrame, land: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """(cells, edges): cells (point_id, shape) of the points that have land; edges (unit_a, unit_b, shared_edge_metres, source)."""
-    cells = materialize(clipped_cells(nearest.voronoi_cells(points), land, settings.grid_step), "cells")
+def build_graph(points: DataFrame, land: DataFrame, settings: Settings, notice: Notice = silent) -> tuple[DataFrame, DataFrame]:
+    """(cells, edges): cells (point_id, shape, inside_outline) of the points that have land; edges (unit_a, unit_b, shared_edge_metres, source).
+
+    A point itself may lie off the land, or on its border, while its cell has some: inside_outline tells.
+    """
+    within = geometry.points_within(points, land, settings.grid_step).select("point_id").distinct().withColumn("inside", F.lit(True))
+    cells = clipped_cells(nearest.voronoi_cells(points), land, settings.grid_step).join(within, "point_id", "left")
+    cells = materialize(cells.select("point_id", "shape", F.coalesce("inside", F.lit(False)).alias("inside_outline")), "cells")
     shapes = cells.select(F.col("point_id").alias("id"), "shape")
     edges = geometry.adjacency(shapes, settings.grid_step, settings.neighbour_rule, settings.least_edge_metres).withColumn("source", F.lit("computed"))
     kept = cells.select(F.col("point_id").alias("unit_id"))
     if settings.manual_links:
+        edges = materialize(edges, "edges")
         links = points.sparkSession.createDataFrame(list(settings.manual_links), "unit_a string, unit_b string")
-        edges = network.with_links(edges, kept, links)
+        linked = network.with_links(edges, kept, links)
+        if notice is not silent:
+            _notice_links(links, edges, kept, notice)
+        edges = linked
     edges = materialize(edges, "edges")
+    if notice is not silent:
+        if gone := few(points.select("point_id").join(cells, "point_id", "left_anti").orderBy("point_id"), "points"):
+            notice(f"dropped {len(gone)} point(s) whose cells have no land: {named(gone)}")
+        if off := few(cells.filter("NOT inside_outline").select("point_id").orderBy("point_id"), "points"):
+            notice(f"{len(off)} point(s) lie outside the outline, though their cells have land: {named(off)}")
     if network.connected_parts(kept, edges).select("root").distinct().count() > 1:
         if settings.disconnected_parts == "stop":
             raise DisconnectedError("the neighbour graph is in several parts; link them or choose join_nearest")
         if settings.disconnected_parts == "fixed_regions":  # every part has a tree of its own
+            notice("the neighbour graph is in several parts, and each has a tree of its own")
             return cells, edges
         edges = materialize(network.join_nearest(edges, points.join(kept, F.col("point_id") == F.col("unit_id")).select("unit_id", "x", "y")), "edges")
+        for r in few(edges.filter("source = 'join_nearest'").orderBy("unit_a", "unit_b"), "links"):
+            notice(f"linked {r.unit_a} and {r.unit_b}, the closest of two parts")
     return cells, edges
 
 
+def _notice_links(links: DataFrame, edges: DataFrame, kept: DataFrame, notice: Notice) -> None:
+    """Which of the links asked for are not made, and why."""
+    a, b = (kept.select(F.col("unit_id").alias(c), F.lit(True).alias(f"has_{c}")) for c in ("unit_a", "unit_b"))
+    tidy = links.select(F.least("unit_a", "unit_b").alias("unit_a"), F.greatest("unit_a", "unit_b").alias("unit_b"))
+    known = edges.select("unit_a", "unit_b", F.lit(True).alias("there"))
+    for r in few(tidy.join(a, "unit_a", "left").join(b, "unit_b", "left").join(known, ["unit_a", "unit_b"], "left").orderBy("unit_a", "unit_b"), "links"):
+        if not (r.has_unit_a and r.has_unit_b):
+            notice(f"skipped the link of {r.unit_a} and {r.unit_b}: not both are in the graph")
+        elif r.there:
+            notice(f"skipped the link of {r.unit_a} and {r.unit_b}: they are neighbours already")
+
+
 def _some(missing: DataFrame) -> str:
     """The first ten of (point_id, variable, date), and how many more there are."""
     first, n = missing.orderBy("variable", "date", "point_id").limit(10).collect(), missing.count()
     return ", ".join(f"{r.point_id} {r.variable} {r.date}" for r in first) + (f" and {n - 10} more" if n > 10 else "")
 
 
-def build_scores(weather: DataFrame, cells: DataFrame, edges: DataFrame, settings: Settings) -> dict[str, DataFrame]:
+def build_scores(weather: DataFrame, cells: DataFrame, edges: DataFrame, settings: Settings, notice: Notice = silent) -> dict[str, DataFrame]:
     """anomalies (point_id, date, variable, window, regional_anomaly, z_score) and the parameters they come from."""
     readings = weather.join(cells.select("point_id"), "point_id", "left_semi")
     missing = anomaly.holes(readings, cells)
     if not missing.isEmpty():
         if settings.missing_data == "stop":
             raise MissingDataError("missing: " + _some(missing))
+        missing = materialize(missing, "missing")
         if settings.missing_data == "drop_day":
             readings = anomaly.without_days(readings, missing)
+            days = few(missing.select(F.col("date").cast("string")).distinct().orderBy("date"), "days")
+            notice(f"dropped {len(days)} date(s) at every point and variable because a reading was missing: {named(days)}")
         else:
             links = edges.select(F.col("unit_a").alias("point_a"), F.col("unit_b").alias("point_b"))
-            readings = materialize(anomaly.filled_from_neighbours(readings, missing, links), "filled")
-            left = missing.join(readings, ["point_id", "variable", "date"], "left_anti")
+            fills = materialize(anomaly.neighbour_fills(readings, missing, links), "fills")
+            left = missing.join(fills, ["point_id", "variable", "date"], "left_anti")
             if not left.isEmpty():
                 raise MissingDataError("no neighbour has a value for: " + _some(left))
+            if notice is not silent:
+                n, first = fills.count(), fills.orderBy("variable", "date", "point_id").limit(10).collect()
+                notice(f"filled {n} reading(s): " + ", ".join(f"{r.point_id} {r.variable} on {r.date} from the mean of {r.neighbours} neighbour(s)" for r in first))
+            readings = materialize(anomaly.with_fills(readings, fills), "filled")
     readings = materialize(anomaly.transformed(readings, settings.log1p), "readings")
     weights = cells.select("point_id", geometry.area(F.col("shape")).alias("weight")) if settings.weighted_national_mean else None
     normals = materialize(anomaly.seasonal_normals(anomaly.in_window(readings, settings.build_start, settings.build_end), settings.smoothing_days), "normals")
@@ -166,11 +231,12 @@ def cluster(scores: DataFrame, edges: DataFrame, settings: Settings) -> dict[str
     return {"tree": table, "labels": tree.label_table(spark, points, merges, cuts), "inversions": tree.inversions(table)}
 
 
-def sensitivity(scores: DataFrame, edges: DataFrame, main: DataFrame, subsets: dict[str, tuple[str, ...]], k: int) -> DataFrame:
+def sensitivity(scores: DataFrame, edges: DataFrame, main: DataFrame, subsets: dict[str, tuple[str, ...]], k: int, free: bool = True) -> DataFrame:
     """(run, adjusted_rand, differing): clusters from subsets of the variables, and without the graph, against main (point_id, cluster)."""
     spark, out = scores.sparkSession, None
     build = scores.filter("window = 'build'").select("point_id", "date", "variable", F.col("z_score").alias("value"))
-    runs = {name: (build.filter(F.col("variable").isin(*keep)), edges) for name, keep in subsets.items()} | {"unconstrained": (build, None)}
+    runs = {name: (build.filter(F.col("variable").isin(*keep)), edges) for name, keep in subsets.items()}
+    runs |= {"unconstrained": (build, None)} if free else {}
     for name, (values, links) in runs.items():
         points, merges = tree.ward_tree(values, links)
         labels = tree.label_table(spark, points, merges, [k]).select("point_id", "cluster")
@@ -188,35 +254,57 @@ def beats(eta: DataFrame, ceiling: DataFrame) -> DataFrame:
     return wide.join(top, "variable", "left").select("variable", "current", "new", gain, F.round(F.col("new") / F.when(F.col("top") > 0, F.col("top")), 6).alias("share_of_ceiling"))
 
 
-def allocate_areas(fragments: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """(unit_id, majority_cluster, majority_share, straddle_score) at k; fragments (unit_id, point_id, area)."""
-    return allocate.majority(allocate.cluster_shares(fragments, labels.filter(F.col("k") == k).select("point_id", "cluster")))
-
-
 def fragments_of(units: DataFrame, cells: DataFrame, step: float) -> DataFrame:
     """(unit_id, point_id, area): what each cell has of each unit; serves every cut and every weight."""
     shares = geometry.area_shares(units.select("id", "shape"), cells.select(F.col("point_id").alias("id"), "shape"), step)
     return shares.select(F.col("child_id").alias("unit_id"), F.col("parent_id").alias("point_id"), "area")
 
 
-def map_areas(pga: DataFrame, cells: DataFrame, labels: DataFrame, settings: Settings) -> dict[str, DataFrame]:
-    """assignments at the number of regions, after repair, and the moves of the repair."""
+def map_areas(pga: DataFrame, cells: DataFrame, labels: DataFrame, settings: Settings, notice: Notice = silent) -> dict[str, DataFrame]:
+    """Every saved cut as a map of whole areas, repaired: assignments, regions, outlines and moves at the number of regions, and all cuts side by side.
+
+    Shares of all cuts come from one pass; areas, borders and cuts are few, and the repair walks them in order on the driver.
+    """
     spark, step = pga.sparkSession, settings.grid_step
     fragments = materialize(fragments_of(pga, cells, step), "pga-fragments")
-    assigned = allocate_areas(fragments, labels, settings.number_of_regions).orderBy("unit_id").collect()
-    borders = [(r.unit_a, r.unit_b, r.shared_edge_metres) for r in geometry.adjacency(pga.select("id", "shape"), step).collect()]
-    groups, moves = {r.unit_id: f"NCA-{r.majority_cluster}" for r in assigned}, []
-    if settings.contiguity_repair:
-        groups, moves = network.repair(groups, borders)
-    rows = [(r.unit_id, groups[r.unit_id], r.majority_cluster, r.majority_share, r.straddle_score) for r in assigned]
-    assignments = spark.createDataFrame(rows, "unit_id string, group_id string, majority_cluster string, majority_share double, straddle_score double")
+    best = few(allocate.majority_by_cut(fragments, labels).orderBy("k", "unit_id"), "areas")
+    borders = [(r.unit_a, r.unit_b, r.shared_edge_metres) for r in few(geometry.adjacency(pga.select("id", "shape"), step), "borders")]
+    clusters: dict[int, set[str]] = {}
+    for r in few(labels.select("k", "cluster").distinct(), "clusters"):
+        clusters.setdefault(r.k, set()).add(r.cluster)
+    placed, moved, cuts = [], [], []
+    for k in sorted({r.k for r in best}):
+        at_k = [r for r in best if r.k == k]
+        groups, moves = {r.unit_id: f"NCA-{r.majority_cluster}" for r in at_k}, []
+        if settings.contiguity_repair:
+            groups, moves = network.repair(groups, borders)
+        unused = sorted(clusters[k] - {g.removeprefix("NCA-") for g in groups.values()})
+        for c in unused:
+            notice(f"at k = {k}, cluster {c} wins no area, so it is not on the map")
+        for unit, a, b, metres in moves:
+            notice(f"at k = {k}, moved {unit} from {a} to {b}, with which it shares {metres:.0f} m of border")
+        straddle = [r.straddle_score for r in at_k]
+        whole = all(n == 1 for n in network.parts_of_groups(groups, borders).values())
+        cuts.append((k, len(set(groups.values())), whole, max(straddle), sum(straddle) / len(straddle), len(moves), unused))
+        placed += [(k, r.unit_id, groups[r.unit_id], r.majority_cluster, r.majority_share, r.straddle_score) for r in at_k]
+        moved += [(k, *m) for m in moves]
+    every = spark.createDataFrame(placed, "k int, unit_id string, group_id string, majority_cluster string, majority_share double, straddle_score double")
+    every_move = spark.createDataFrame(moved, "k int, unit_id string, from_group string, to_group string, shared_edge_metres double")
     touching = spark.createDataFrame(borders, "unit_a string, unit_b string, shared_edge_metres double")
+    main = F.col("k") == settings.number_of_regions
+    assignments = every.filter(main).drop("k")
+    shapes = pga.select(F.col("id").alias("unit_id"), "shape").join(assignments.select("unit_id", "group_id"), "unit_id").select("group_id", "shape")
+    outlines = overlay.dissolved(shapes, step)
     return {
         "fragments": fragments,
         "assignments": assignments,
         "regions": materialize(allocate.region_summary(assignments, network.parts_within(assignments.select("unit_id", "group_id"), touching)), "regions"),
-        "moves": spark.createDataFrame(moves, "unit_id string, from_group string, to_group string, shared_edge_metres double"),
+        "outlines": outlines.withColumns({"area": geometry.area(F.col("shape")), "parts": geometry.part_count(F.col("shape"))}),
+        "moves": every_move.filter(main).drop("k"),
         "borders": touching,
+        "cut_assignments": every,
+        "cut_moves": every_move,
+        "cuts": spark.createDataFrame(cuts, "k int, regions int, contiguous boolean, highest_straddle double, mean_straddle double, moves int, clusters_without_area array<string>"),
     }
 
 
@@ -228,13 +316,12 @@ def evaluate(scores: DataFrame, cells: DataFrame, layers: dict[str, DataFrame],
     pga_series = materialize(score.unit_series(held, score.share_weights(mapped["fragments"])), "pga-series")
     ra_series = materialize(score.unit_series(held, score.share_weights(fragments_of(layers["ra"], cells, step))), "ra-series")
     own = anomaly.in_window(demand, settings.held_out_start, settings.held_out_end).select(F.col("pga_id").alias("unit_id"), "date", F.lit("demand").alias("variable"), F.col("demand").alias("value"))
-    if missing := layers["pga"].select(F.col("id").alias("unit_id")).join(own, "unit_id", "left_anti").collect():
-        raise ValueError("no demand for " + ", ".join(r.unit_id for r in missing))
     days = held.select("date").distinct()
     have = own.filter(F.col("value").isNotNull()).join(days, "date", "left_semi").groupBy("unit_id").agg(F.countDistinct("date").alias("n"))
-    n_days = days.count()
-    if short := layers["pga"].select(F.col("id").alias("unit_id")).join(have, "unit_id", "left").filter(F.coalesce("n", F.lit(0)) < n_days).orderBy("unit_id").collect():
-        raise ValueError("demand is missing: " + ", ".join(f"{r.unit_id} on {n_days - (r.n or 0)} days" for r in short))
+    units = layers["pga"].select(F.col("id").alias("unit_id")).join(have, "unit_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    short = units.join(F.broadcast(days.agg(F.count("*").alias("days"))), F.col("n") < F.col("days")).orderBy("unit_id")  # one row a unit
+    if lacking := few(short, "areas"):
+        raise DemandError("demand is missing: " + ", ".join(f"{r.unit_id} on {r.days - r.n} days" for r in lacking[:10]) + (f" and {len(lacking) - 10} more" if len(lacking) > 10 else ""))
     both = pga_series.unionByName(own)
     current = layers["pga"].select(F.col("id").alias("unit_id"), F.col("parent_id").alias("group_id"))
     new = mapped["assignments"].select("unit_id", "group_id")
@@ -256,18 +343,37 @@ def evaluate(scores: DataFrame, cells: DataFrame, layers: dict[str, DataFrame],
         "misfits": union(tagged(lambda m: score.misfits(ra_series, parents, as_parent(m), edges))),
     }
     if settings.random_partitions:
-        units = sorted(r.unit_id for r in current.collect())
-        links = [(r.unit_a, r.unit_b) for r in mapped["borders"].collect()]
+        units = sorted(r.unit_id for r in few(current, "areas"))
+        links = [(r.unit_a, r.unit_b) for r in few(mapped["borders"], "borders")]
         draws = network.random_maps(cells.sparkSession, units, links, new.select("group_id").distinct().count(), settings.random_partitions, settings.seed)
         out["benchmark"] = score.map_scores(both, draws)
     return out
 
 
-def covered(layers: dict[str, DataFrame], step: float) -> dict[str, DataFrame]:
+def measures(judged: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What follows from the judged tables: weather_means, and of random maps their spread and the placings of the two maps among them.
+
+    A mean over the weather's variables, demand left out, is a variable of its own, weather_mean.
+    """
+    mean = lambda df, *by: df.filter("variable <> 'demand'").groupBy(*by).agg(F.avg("eta_squared").alias("eta_squared"))
+    eta = mean(judged["eta"], "map").select(F.concat(F.lit("eta_"), "map").alias("measure"), "eta_squared")
+    rest = [mean(judged[name]).select(F.lit(name).alias("measure"), "eta_squared") for name in ("ceiling", "variance_explained")]
+    out = {"weather_means": eta.unionByName(rest[0]).unionByName(rest[1])}
+    if "benchmark" in judged:
+        whole = lambda df, by: df.select(by, "variable", "eta_squared").unionByName(mean(df, by).select(by, F.lit("weather_mean").alias("variable"), "eta_squared"))
+        draws = whole(judged["benchmark"], "draw")
+        own = whole(judged["eta"], "map").withColumnRenamed("eta_squared", "own")
+        out["spread"] = score.spread(draws)
+        out["placings"] = draws.join(own, "variable").groupBy("map", "variable").agg(F.max("own").alias("eta_squared"), score.placing(F.col("eta_squared"), F.col("own")).alias("percentile"))
+    return out
+
+
+def covered(layers: dict[str, DataFrame], step: float, notice: Notice = silent) -> dict[str, DataFrame]:
     """The layers, with parents worked out by overlay for areas that name none."""
     out = dict(layers)
     for child, parent in (("ra", "pga"), ("pga", "nca")):
-        if not out[child].filter("parent_id IS NULL").isEmpty():
+        if n := out[child].filter("parent_id IS NULL").count():
+            notice(f"{n} unit(s) of {child} name no parent; they go to the {parent} that covers most of them")
             shares = geometry.area_shares(out[child].filter("parent_id IS NULL").select("id", "shape"), out[parent].select("id", "shape"), step)
             out[child] = materialize(allocate.with_parents(out[child], shares), f"{child}-parents")
     return out
@@ -289,4 +395,4 @@ def run(spark: SparkSession, points: DataFrame, layers: dict[str, DataFrame], we
     clustered = cluster(scored["anomalies"], edges, settings)
     mapped = map_areas(layers["pga"], cells, clustered["labels"], settings)
     judged = evaluate(scored["anomalies"], cells, layers, mapped, clustered["labels"], demand, settings)
-    return {"cells": cells, "edges": edges, **scored, **clustered, **mapped, **judged}
+    return {"cells": cells, "edges": edges, **scored, **clustered, **mapped, **judged, **measures(judged)}

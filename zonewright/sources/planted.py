@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from datetime import date
+from pathlib import Path
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewright.operators.geometry import SHAPE
+from zonewright.operators.projection import to_degrees
+from zonewright.sources import sinks
 
 # What the planted inputs are made of.
 START, END = date(2023, 9, 1), date(2025, 8, 31)
@@ -108,3 +111,67 @@ def layers(spark: SparkSession) -> dict[str, DataFrame]:
         "pga": spark.createDataFrame(list(pga.values()), f"id string, parent_id string, shape {SHAPE}"),
         "nca": spark.createDataFrame(list(nca.values()), f"id string, shape {SHAPE}"),
     }
+
+
+def expected_labels(spark: SparkSession) -> DataFrame:
+    """(point_id, cluster) at two clusters: the answer that is planted. The offshore point has no land, so no label."""
+    known = points(spark).filter(F.col("point_id") != OFFSHORE[0])
+    return known.select("point_id", F.when(F.col("x") < EASTINGS[2], "P01").otherwise("P03").alias("cluster"))
+
+
+def degree_layer(layer: DataFrame) -> DataFrame:
+    """A layer in longitudes and latitudes; its shapes go apart into corners, through columns, and together again."""
+    at = F.posexplode
+    flat = layer.select("id", at("shape").alias("p", "polygon")).select("id", "p", at("polygon").alias("r", "ring")).select("id", "p", "r", at("ring").alias("i", "corner"))
+    back = to_degrees(flat.select("id", "p", "r", "i", "corner.x", "corner.y")).select("id", "p", "r", "i", F.struct(F.col("longitude").alias("x"), F.col("latitude").alias("y")).alias("v"))
+    for keys, number in ((["id", "p", "r"], "i"), (["id", "p"], "r"), (["id"], "p")):
+        back = back.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(number, "v"))), lambda s: s["v"]).alias("v"))
+    return layer.drop("shape").join(back.withColumnRenamed("v", "shape"), "id", "left")
+
+
+SETTINGS = """[inputs]
+points = "points.csv"
+weather = "weather"
+demand = "demand.csv"
+
+[layers.ra]
+path = "ra.geojson"
+id_column = "RA_ID"
+parent_id_column = "PGA_ID"
+
+[layers.pga]
+path = "pga.geojson"
+id_column = "PGA_ID"
+parent_id_column = "NCA_ID"
+
+[layers.nca]
+path = "nca.geojson"
+id_column = "NCA_ID"
+
+[settings]
+build_start = "2023-09-01"
+manual_links = [["P18", "P12"]]
+missing_data = "drop_day"
+cuts_to_save = [2, 3]
+"""
+
+
+def write(spark: SparkSession, folder: str, settings: str = SETTINGS) -> list[str]:
+    """The planted inputs as a run reads them: text files of a known answer, the same bytes each time. Gives their names."""
+    base = Path(folder)
+    (base / "weather").mkdir(parents=True, exist_ok=True)
+    degrees = to_degrees(points(spark)).select("point_id", F.format_string("%.8f", "latitude").alias("latitude"), F.format_string("%.8f", "longitude").alias("longitude"))
+    sinks.write_csv(degrees, str(base / "points.csv"), ["point_id"])
+    names = {"ra": ("RA_ID", "PGA_ID"), "pga": ("PGA_ID", "NCA_ID"), "nca": ("NCA_ID", None)}
+    for level, layer in layers(spark).items():
+        own, parent = names[level]
+        out = degree_layer(layer).withColumnRenamed("id", own)
+        out = out.withColumnRenamed("parent_id", parent) if parent else out.drop("parent_id")
+        sinks.write_geojson(out, str(base / f"{level}.geojson"), [own], places=13)
+    for v in VARIABLES:
+        wide = weather(spark).filter(F.col("variable") == v).groupBy("date").pivot("point_id").agg(F.first("value"))
+        sinks.write_csv(wide, str(base / "weather" / f"weather-{v}.csv"), ["date"])
+    sinks.write_csv(demand(spark).groupBy("date").pivot("pga_id").agg(F.first("demand")), str(base / "demand.csv"), ["date"])
+    sinks.write_csv(expected_labels(spark), str(base / "cluster-labels-k2.expected.csv"), ["point_id"])
+    (base / "settings.toml").write_text(settings, newline="\n")
+    return sorted(str(p.relative_to(base)) for p in base.rglob("*") if p.is_file())

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Single text files pass through the driver, so their rows are counted first.
@@ -24,17 +23,29 @@ def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """One text file, replaced if it is there, in whatever store Spark's paths name; line feeds as they are."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.setWriteChecksum(False)
+    out = store.create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
     """One file, rows in order, line feeds only; arrays are joined by blanks, nulls are empty."""
     text = lambda v: "" if v is None else " ".join(map(str, v)) if isinstance(v, list) else str(v)
     quote = lambda s: '"' + s.replace('"', '""') + '"' if any(c in s for c in ',"\n\r') else s
     lines = [",".join(df.columns)] + [",".join(quote(text(v)) for v in r) for r in _small(df, order)]
-    Path(path).write_text("\n".join(lines) + "\n", newline="\n")
+    put(df.sparkSession, path, "\n".join(lines) + "\n")
 
 
-def write_json(value: object, path: str) -> None:
+def write_json(spark: SparkSession, value: object, path: str) -> None:
     """Keys sorted, two blanks a level."""
-    Path(path).write_text(json.dumps(value, indent=2, sort_keys=True, default=str) + "\n", newline="\n")
+    put(spark, path, json.dumps(value, indent=2, sort_keys=True, default=str) + "\n")
 
 
 def write_geojson(df: DataFrame, path: str, order: list[str], places: int = 2) -> None:
@@ -45,7 +56,16 @@ def write_geojson(df: DataFrame, path: str, order: list[str], places: int = 2) -
         rings = [[[[round(p["x"], places), round(p["y"], places)] for p in ring] for ring in polygon] for polygon in r["shape"] or []]
         closed = [[ring if ring[0] == ring[-1] else ring + ring[:1] for ring in polygon] for polygon in rings]
         features.append({"type": "Feature", "properties": {c: r[c] for c in properties}, "geometry": {"type": "MultiPolygon", "coordinates": closed}})
-    write_json({"type": "FeatureCollection", "features": features}, path)
+    write_json(df.sparkSession, {"type": "FeatureCollection", "features": features}, path)
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """A small table as text: GeoJSON if it has shapes, else CSV; rows ordered by all columns that have an order."""
+    order = [c for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct"))]
+    if "shape" in df.columns:
+        write_geojson(df, f"{path}.geojson", order)
+    else:
+        write_csv(df, f"{path}.csv", order)
 
 
 def wide_matrix(df: DataFrame, most_columns: int = 10_000) -> DataFrame:
