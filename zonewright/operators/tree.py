@@ -7,6 +7,8 @@ import math
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,61 +16,82 @@ from pyspark.sql import functions as F
 MOST_POINTS = 5_000
 
 
+#: So many days of a variable are multiplied together.
+DAYS_A_BLOCK = 366
+
+
+def _apart(block: pa.Table) -> pa.Table:
+    """(point_a, point_b, squared_distance) over the days of a block, for all points that have any in common."""
+    points, at = np.unique(np.array(block["point_id"].to_pylist(), dtype=object), return_inverse=True)
+    days, on = np.unique(block["date"].cast("int32").to_numpy(), return_inverse=True)
+    x, have = np.zeros((len(days), len(points))), np.zeros((len(days), len(points)))
+    x[on, at], have[on, at] = block["value"].to_numpy(), 1.0
+    x = (x - (x.sum(axis=1) / have.sum(axis=1))[:, None]) * have  # a day's mean cancels in differences: the products stay small
+    square = (x * x).T @ have
+    apart = np.maximum(square + square.T - 2 * (x.T @ x), 0.0)
+    i, j = np.nonzero(np.triu(have.T @ have > 0, 1))
+    return pa.table([pa.array(points[i], pa.string()), pa.array(points[j], pa.string()), pa.array(apart[i, j])], names=["point_a", "point_b", "squared_distance"])
+
+
 def squared_distances(scores: DataFrame) -> DataFrame:
     """(point_a, point_b, squared_distance), point_a < point_b, over the common (date, variable) of scores (point_id, date, variable, value).
 
-    |a|^2 + |b|^2 - 2ab with all three sums from one join by day and variable, of which only sums for each pair move.
+    |a|^2 + |b|^2 - 2ab by matrix products of DAYS_A_BLOCK days of a variable at a time; a sum for each pair and block moves,
+    no pair of readings. Missing values are left out of their pairs; a point has one value for a day and variable.
     """
-    a = scores.select("date", "variable", F.col("point_id").alias("point_a"), F.col("value").alias("x"))
-    b = scores.select("date", "variable", F.col("point_id").alias("point_b"), F.col("value").alias("y"))
-    d = (F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))
-    return a.join(b, ["date", "variable"]).filter("point_a < point_b").groupBy("point_a", "point_b").agg(F.sum(d).alias("squared_distance"))
+    have = scores.filter(F.col("value").isNotNull() & ~F.isnan("value")).select("point_id", "variable", F.col("date").cast("date").alias("date"), F.col("value").cast("double").alias("value"))
+    block = F.expr(f"unix_date(date) div {DAYS_A_BLOCK}").alias("_block")
+    each = have.groupBy("variable", block).applyInArrow(_apart, "point_a string, point_b string, squared_distance double")
+    return each.groupBy("point_a", "point_b").agg(F.sum("squared_distance").alias("squared_distance"))
+
+
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def ward_merges(points: list[str], distances: dict[tuple[str, str], float], edges: list[tuple[str, str]] | None) -> list[tuple[int, int, float]]:
+def ward_merges(points: list[str], distances: dict[tuple[str, str], float] | Pairs, edges: list[tuple[str, str]] | None) -> list[tuple[int, int, float]]:
     """(left, right, height) of each merge, closest first; only neighbours merge (None: any two).
 
-    Lance and Williams' update of squared distances; a height is the square root. Leaves are 0 to n - 1 in the order
-    of points, merge m makes node n + m. Ties go to the smaller nodes. A graph in several parts gives a forest.
+    Lance and Williams' update of squared distances, given by pairs of points or as arrays (places, places, distances); a
+    height is the square root. Leaves are 0 to n - 1 in the order of points, merge m makes node n + m, and takes the row of
+    one of its sides in a matrix of n by n. Ties go to the smaller nodes. A graph in several parts gives a forest.
     """
     n = len(points)
     if n > MOST_POINTS:
         raise ValueError(f"{n} points; {MOST_POINTS} at most")
     at = {p: i for i, p in enumerate(points)}
-    d = {}
-    matrix = np.zeros((2 * n, 2 * n)) if n else np.zeros((0, 0))
-    for (p, q), v in distances.items():
-        if p in at and q in at:
-            matrix[at[p], at[q]] = matrix[at[q], at[p]] = float(f"{v:.12g}")
-    near: dict[int, set[int]] = {i: set() for i in range(n)}
-    for p, q in ((p, q) for p in points for q in points if p != q) if edges is None else edges:
-        if p in at and q in at:
+    if isinstance(distances, dict):
+        known = [(at[p], at[q], v) for (p, q), v in distances.items() if p in at and q in at]
+        distances = tuple(np.array(c) for c in zip(*known)) if known else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    a, b, v = distances
+    digits = 10.0 ** (11 - np.floor(np.log10(np.maximum(v, 1e-300))))
+    matrix = np.zeros((n, n))
+    matrix[a, b] = matrix[b, a] = np.where(v > 0, np.round(v * digits) / digits, 0.0)  # twelve digits: sums in another order are equal
+    near: dict[int, set[int]] = {i: set() for i in range(n)} if edges is not None else {i: set(range(n)) - {i} for i in range(n)}
+    for p, q in edges or ():
+        if p in at and q in at and p != q:
             near[at[p]].add(at[q])
             near[at[q]].add(at[p])
-    size, alive = dict.fromkeys(range(n), 1), set(range(n))
+    size, row = dict.fromkeys(range(n), 1), {i: i for i in range(n)}  # of the nodes that no merge has taken yet
     heap = [(matrix[i, j], i, j) for i in range(n) for j in near[i] if i < j]
     heapq.heapify(heap)
     merges: list[tuple[int, int, float]] = []
     while heap:
         v, i, j = heapq.heappop(heap)
-        if i not in alive or j not in alive:
+        if i not in row or j not in row:
             continue
-        new = n + len(merges)
+        new, ri, rj = n + len(merges), row.pop(i), row.pop(j)
         merges.append((i, j, math.sqrt(max(0.0, v))))
-        alive -= {i, j}
-        others = np.array(sorted(alive), dtype=int)
-        sizes = np.array([size[o] for o in others])
+        others = np.array(list(row.values()), dtype=int)
         if len(others):
-            a, b = size[i], size[j]
-            matrix[new, others] = ((a + sizes) * matrix[i, others] + (b + sizes) * matrix[j, others] - sizes * v) / (a + b + sizes)
-            matrix[others, new] = matrix[new, others]
-        size[new] = size[i] + size[j]
+            sizes, a, b = np.array([size[o] for o in row]), size[i], size[j]
+            matrix[ri, others] = ((a + sizes) * matrix[ri, others] + (b + sizes) * matrix[rj, others] - sizes * v) / (a + b + sizes)
+            matrix[others, ri] = matrix[ri, others]
+        size[new], row[new] = size.pop(i) + size.pop(j), ri
         near[new] = (near.pop(i) | near.pop(j)) - {i, j}
         for o in near[new]:
             near[o] -= {i, j}
             near[o].add(new)
-            heapq.heappush(heap, (matrix[new, o], o, new))
-        alive.add(new)
+            heapq.heappush(heap, (matrix[ri, row[o]], o, new))
     return merges
 
 
@@ -111,7 +134,9 @@ def ward_tree(scores: DataFrame, edges: DataFrame | None) -> tuple[list[str], li
     points = sorted(r.point_id for r in scores.select("point_id").distinct().limit(MOST_POINTS + 1).collect())
     if len(points) > MOST_POINTS:  # before any distance comes to the driver
         raise ValueError(f"more than {MOST_POINTS} points")
-    d = {(r.point_a, r.point_b): r.squared_distance for r in squared_distances(scores).collect()}
+    pairs = squared_distances(scores).toArrow()  # as columns: at most MOST_POINTS points make them
+    place = lambda c: pc.index_in(pairs[c], pa.array(points, pa.string())).to_numpy(zero_copy_only=False).astype(int)
+    d = (place("point_a"), place("point_b"), pairs["squared_distance"].to_numpy())
     links = None if edges is None else [(r.unit_a, r.unit_b) for r in edges.select("unit_a", "unit_b").collect()]
     return points, ward_merges(points, d, links)
 

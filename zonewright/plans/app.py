@@ -19,7 +19,7 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.functions.storage import materialize
+from zonewright.functions.storage import discard, materialize
 from zonewright.operators import geometry, overlay
 from zonewright.plans import regionalise, report
 from zonewright.plans.regionalise import Settings
@@ -314,12 +314,17 @@ def main(argv: list[str] | None = None) -> int:
     except (SettingsError, OSError, tomllib.TOMLDecodeError) as e:
         print(e, file=sys.stderr)
         return 2
-    run = Run(session.getOrCreate(), settings, inputs, args.folder)
+    spark = session.getOrCreate()
+    if spark.conf.get("spark.checkpoint.dir", None) is None:  # the run's own folder is shared, or its tables could not be
+        spark.conf.set("spark.checkpoint.dir", f"{args.folder}/scratch")
+    run = Run(spark, settings, inputs, args.folder)
     try:
         run_stages(run, list(STAGES) if args.stage == "all" else [args.stage])
     except (ValueError, PermissionError, FileNotFoundError) as e:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return 1
+    finally:
+        discard(spark)
     print(json.dumps(run.record["stages"], sort_keys=True))
     return 0
 

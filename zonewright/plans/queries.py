@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from zonewright.functions.calendar import calendar_slot
 from zonewright.functions.stats import tidy
-from zonewright.operators import allocate, anomaly, geometry, nearest, network, overlay, score, tree
+from zonewright.operators import allocate, anomaly, components, geometry, nearest, network, overlay, projection, score, tree
 from zonewright.plans import star
 from zonewright.plans.star import BUILD_END, SEALED, SIDE, SQL
 
@@ -401,6 +401,14 @@ def _geodetic(spark, d):
     return star.table(spark, d, "nation").select(star.nation_id("n_nationkey").alias("point_id"), (50.0 + k % 5 * 1.5).alias("latitude"), (-5.0 + F.floor(k / 5) * 1.3).cast("double").alias("longitude"))
 
 
+@query("SELECT unit_id, x + 300000 AS x, y + 200000 AS y FROM sites", SITES)
+def there_and_back(spark, d):
+    """Every supplier's place to degrees and to the grid again: the centimetre is the same."""
+    away = _sites(spark, d).select("unit_id", (F.col("x") + 300_000).alias("x"), (F.col("y") + 200_000).alias("y"))
+    back = geometry.to_national_grid(projection.to_degrees(away).select("unit_id", "latitude", "longitude"))
+    return back.select("unit_id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+
+
 def _grid_sql() -> str:
     """The projection step by step, as the published formulas have it."""
     from math import pi, radians
@@ -452,6 +460,24 @@ def connected_parts(spark, d):
     return network.connected_parts(star.nations(spark, d), _cut_edges(spark, d))
 
 
+@query(
+    """WITH RECURSIVE both_sides AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_discount = 0 AND l_quantity >= 49),
+    steps AS (SELECT DISTINCT x.s AS a, y.s AS b FROM both_sides x JOIN both_sides y USING (p)),
+    reach AS (SELECT s_suppkey AS a, s_suppkey AS b FROM supplier UNION SELECT r.a, e.b FROM reach r JOIN steps e ON e.a = r.b)
+    SELECT 'S' || a AS unit_id, 'S' || min(b) AS root FROM reach GROUP BY a ORDER BY 1""",
+    "nations",
+)
+def connected_parts_in_rounds(spark, d):
+    """Suppliers that are linked by parts which both deliver in bulk and without discount: the way of large graphs, in rounds of grouped minima."""
+    both = star.table(spark, d, "lineitem").filter("l_discount = 0 AND l_quantity >= 49").select("l_partkey", "l_suppkey").distinct()
+    first = both.groupBy("l_partkey").agg(F.min("l_suppkey").alias("first"))  # a star for each part, not all its pairs
+    edges = both.join(first, "l_partkey").filter("l_suppkey <> first").select(F.col("l_suppkey").alias("a"), F.col("first").alias("b"))
+    roots = components.connected_components(edges, "supplier-parts")
+    name = lambda c: F.concat(F.lit("S"), c.cast("string"))
+    units = star.table(spark, d, "supplier").join(roots.withColumnRenamed("node", "s_suppkey"), "s_suppkey", "left")
+    return units.select(name(F.col("s_suppkey")).alias("unit_id"), name(F.coalesce("root", "s_suppkey")).alias("root"))
+
+
 @query(
     """WITH grouped AS (SELECT n.group_id, r.root, count(*) AS k, min(n.unit_id) AS first FROM striped n JOIN roots r USING (unit_id) GROUP BY 1, 2),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY k DESC, first) AS rk FROM grouped)

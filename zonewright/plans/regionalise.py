@@ -90,13 +90,15 @@ class Settings:
 
 
 def check_nesting(children: DataFrame, parents: DataFrame, step: float, least_share: float = 0.999) -> list[str]:
-    """What is wrong with children (id, parent_id, shape) in parents (id, shape), in order of id."""
-    unknown = children.join(parents.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
-    out = [f"{r.id} names {r.parent_id}, which is not there" for r in unknown.orderBy("id").collect()]
+    """What is wrong with children (id, parent_id, shape) in parents (id, shape), in order of id: unknown parents first. One job."""
     shares = geometry.area_shares(children.select("id", "shape"), parents.select("id", "shape"), step)
     best = allocate.majority(shares.select(F.col("child_id").alias("unit_id"), F.col("parent_id").alias("cluster"), F.round("share", 9).alias("share")))
-    placed = children.select(F.col("id").alias("unit_id"), "parent_id").join(best, "unit_id", "left").orderBy("unit_id").collect()
-    for r in placed:
+    known = parents.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
+    placed = children.select(F.col("id").alias("unit_id"), "parent_id").join(best, "unit_id", "left").join(known, "parent_id", "left")
+    fine = F.col("known") & (F.col("majority_share") >= least_share) & (F.col("parent_id") == F.col("majority_cluster"))
+    wrong = few(placed.filter(~F.coalesce(fine, F.lit(False))).orderBy("unit_id"), "units that do not nest")
+    out = [f"{r.unit_id} names {r.parent_id}, which is not there" for r in wrong if not r.known]
+    for r in wrong:
         if r.majority_cluster is None:
             out.append(f"{r.unit_id} lies in no parent")
         elif r.majority_share < least_share:
@@ -148,7 +150,6 @@ def build_graph(points: DataFrame, land: DataFrame, settings: Settings, notice:
     edges = geometry.adjacency(shapes, settings.grid_step, settings.neighbour_rule, settings.least_edge_metres).withColumn("source", F.lit("computed"))
     kept = cells.select(F.col("point_id").alias("unit_id"))
     if settings.manual_links:
-        edges = materialize(edges, "edges")
         links = points.sparkSession.createDataFrame(list(settings.manual_links), "unit_a string, unit_b string")
         linked = network.with_links(edges, kept, links)
         if notice is not silent:
@@ -371,8 +372,10 @@ def measures(judged: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def covered(layers: dict[str, DataFrame], step: float, notice: Notice = silent) -> dict[str, DataFrame]:
     """The layers, with parents worked out by overlay for areas that name none."""
     out = dict(layers)
+    orphans = [out[c].filter("parent_id IS NULL").select(F.lit(c).alias("layer")) for c in ("pga", "ra")]
+    counts = {r["layer"]: r["count"] for r in orphans[0].unionByName(orphans[1]).groupBy("layer").count().collect()}
     for child, parent in (("ra", "pga"), ("pga", "nca")):
-        if n := out[child].filter("parent_id IS NULL").count():
+        if n := counts.get(child, 0):
             notice(f"{n} unit(s) of {child} name no parent; they go to the {parent} that covers most of them")
             shares = geometry.area_shares(out[child].filter("parent_id IS NULL").select("id", "shape"), out[parent].select("id", "shape"), step)
             out[child] = materialize(allocate.with_parents(out[child], shares), f"{child}-parents")
