@@ -46,7 +46,9 @@ def test_full_run(spark, folder, finished):
     assert (checks["ra"].multi_part, checks["pga"].multi_part, checks["pga"].slivers, checks["nca"].slivers) == (1, 1, 0, 0)
     figures = {p.name for p in (out / "report").iterdir()}
     assert len([f for f in figures if f.endswith(".svg")]) == 8 and "summary.md" in figures
-    assert len((out / "report/summary.md").read_text().splitlines()) < 80
+    page, areas = ((out / f"report/{n}.md").read_text() for n in ("summary", "areas"))
+    assert len(page.splitlines()) < 80 and "| 3 | 3 | yes |" in page and "| new | weather_mean | 100.0 |" in page and "| eta_new | 0.9725 |" in page
+    assert all(f"| PGA-{c} |" in areas for c in ("NW", "NE", "SW", "SE"))
     expected = [tuple(x.split(",")) for x in (folder / "cluster-labels-k2.expected.csv").read_text().splitlines()[1:]]
     labels = spark.read.parquet(str(out / "cluster/labels")).filter("k = 2").select("point_id", "cluster")
     assert sorted(map(tuple, labels.collect())) == sorted(expected)

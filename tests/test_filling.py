@@ -74,3 +74,19 @@ def test_no_holes_and_repeats(spark):
     assert [(r.point_id, r.date) for r in anomaly.holes(odd, points).collect()] == [("a", DAY)]
     assert anomaly.holes(df.limit(0), points).count() == 0
     assert regionalise.MissingDataError
+
+
+def test_a_run_fills_and_says_so(spark):
+    """The planted hole gets the mean of its neighbours' readings, and a notice; nothing else is touched."""
+    from pyspark.sql import functions as F
+
+    from zonewright.sources import planted
+
+    cells = planted.points(spark).select("point_id", F.lit(None).cast("string").alias("shape")).filter("point_id <> 'P17'")
+    edges = spark.createDataFrame([("P06", "P07"), ("P07", "P08"), ("P03", "P07"), ("P07", "P11"), ("P01", "P02")], "unit_a string, unit_b string")
+    said = []
+    settings = regionalise.Settings(build_start="2023-09-01", missing_data="fill_from_neighbours")
+    scores = regionalise.build_scores(planted.weather(spark), cells, edges, settings, said.append)["anomalies"]
+    assert said == ["filled 1 reading(s): P07 tmax on 2024-03-15 from the mean of 4 neighbour(s)"]
+    days = scores.filter("variable = 'tmax'").groupBy("point_id").count().collect()
+    assert len(days) == 17 and {r["count"] for r in days} == {731}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from zonewright.functions.calendar import calendar_slot
 from zonewright.functions.stats import TINY, no_nan
+from zonewright.functions.storage import materialize
 
 SLOTS = 365
 KEYS = ["point_id", "variable"]
@@ -141,15 +142,15 @@ def holes(readings: DataFrame, points: DataFrame) -> DataFrame:
     """
     sums = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.xxhash64("date").cast("decimal(38)")).alias("marks"))
     have = readings.filter(F.col("value").isNotNull() & ~F.isnan("value")).select("point_id", "variable", "date")
-    dates = readings.select("date").distinct()
-    whole = sums(dates).first()
+    calendar = materialize(readings.groupBy("date").agg(F.collect_set("variable").alias("names")), "calendar")  # a row a day
+    dates, names = calendar.select("date"), F.array_distinct(F.flatten(F.collect_list(F.array_sort("names"))))
+    whole = calendar.agg(F.count("*").alias("n"), F.sum(F.xxhash64("date").cast("decimal(38)")).alias("marks"), F.min("date").alias("first"), F.max("date").alias("last"), names.alias("names")).first()
     if not whole["n"]:
         return have.limit(0)
-    names = [r.variable for r in readings.select("variable").distinct().orderBy("variable").collect()]  # a handful
-    every = points.select("point_id").distinct().withColumn("variable", F.explode(F.array(*map(F.lit, names))))
+    every = points.select("point_id").distinct().withColumn("variable", F.explode(F.array(*map(F.lit, sorted(whole["names"])))))
     full = sums(have, "point_id", "variable").filter((F.col("n") == whole["n"]) & (F.col("marks") == F.lit(whole["marks"])))
     short = every.join(full, ["point_id", "variable"], "left_anti")
-    first, last = dates.agg(F.min("date"), F.max("date")).first()
+    first, last = whole["first"], whole["last"]
     days = short.withColumn("date", F.explode(F.sequence(F.lit(first), F.lit(last)))).join(dates, "date", "left_semi")
     return days.join(have, ["point_id", "variable", "date"], "left_anti").select("point_id", "variable", "date")
 

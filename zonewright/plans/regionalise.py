@@ -194,11 +194,10 @@ def _some(missing: DataFrame) -> str:
 def build_scores(weather: DataFrame, cells: DataFrame, edges: DataFrame, settings: Settings, notice: Notice = silent) -> dict[str, DataFrame]:
     """anomalies (point_id, date, variable, window, regional_anomaly, z_score) and the parameters they come from."""
     readings = weather.join(cells.select("point_id"), "point_id", "left_semi")
-    missing = anomaly.holes(readings, cells)
+    missing = materialize(anomaly.holes(readings, cells), "missing")
     if not missing.isEmpty():
         if settings.missing_data == "stop":
             raise MissingDataError("missing: " + _some(missing))
-        missing = materialize(missing, "missing")
         if settings.missing_data == "drop_day":
             readings = anomaly.without_days(readings, missing)
             days = few(missing.select(F.col("date").cast("string")).distinct().orderBy("date"), "days")
