@@ -72,6 +72,9 @@ def test_squares_cut_and_put_together_again(spark):
     assert size(pieces) == pytest.approx(200) and len(overlaid([pieces], UNION)) == 2
     rows = [("u", U), ("u", box(10, 10, 20, 12)), ("v", box(3, 3, 90, 4)), ("v", box(50, 0, 51, 30))]
     df = spark.createDataFrame(rows, f"group_id string, shape {geometry.SHAPE}")
+    far = spark.createDataFrame([("w", box(-40 + i, -3, -39 + i, 3)) for i in range(80)], df.schema)
+    strip = overlay.dissolved(far, 1.5).first()["shape"]
+    assert len(strip) == 1 and len(strip[0][0]) == 4 and size(strip) == pytest.approx(480)
     for step in (7.0, 1000.0):
         got = {r.group_id: r["shape"] for r in overlay.dissolved(df, step).collect()}
         assert len(got["u"]) == 1 and len(got["u"][0][0]) == 8 and size(got["u"]) == pytest.approx(size(U) + 20)

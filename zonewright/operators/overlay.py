@@ -281,15 +281,22 @@ def in_squares(df: DataFrame, step: float) -> DataFrame:
     return b.withColumn("shape", square_part("shape", *at)).drop("_b").filter(F.size("shape") > 0)
 
 
+#: Squares are put together 4 by 4, so many times over, before a group's pieces meet.
+ROUNDS = 2
+
+
 def dissolved(shapes: DataFrame, step: float) -> DataFrame:
     """(group_id, shape): the union of each group's shapes (group_id, shape), overlapping or not.
 
-    Squares of side step are dissolved first, each by itself, so a task holds what lies in one square of one group; the
-    squares' outcomes, whose inner borders are gone, are then put together by group.
+    Squares of side step are dissolved first, each by itself, so a task holds what lies in one square of one group. Neighbouring
+    squares are then put together 4 by 4, ROUNDS times, and what is left by group: inner borders go as early as they can,
+    and what meets last is little more than the group's own outline.
     """
-    local = in_squares(shapes.select("group_id", "shape"), step).groupBy("group_id", "gx", "gy").agg(F.collect_list("shape").alias("all"))
-    local = local.select("group_id", union_of("all").alias("shape"))
-    return local.groupBy("group_id").agg(F.collect_list("shape").alias("all")).select("group_id", union_of("all").alias("shape"))
+    pieces = in_squares(shapes.select("group_id", "shape"), step)
+    for _ in range(ROUNDS + 1):
+        whole = pieces.groupBy("group_id", "gx", "gy").agg(F.collect_list("shape").alias("all"))
+        pieces = whole.select("group_id", F.shiftright("gx", 2).alias("gx"), F.shiftright("gy", 2).alias("gy"), union_of("all").alias("shape"))
+    return pieces.groupBy("group_id").agg(F.collect_list("shape").alias("all")).select("group_id", union_of("all").alias("shape"))
 
 
 def slivers(children: DataFrame, parents: DataFrame, step: float, smallest: float = 1.0) -> DataFrame:
