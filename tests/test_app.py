@@ -84,6 +84,22 @@ def test_maps_of_all_cuts(spark, finished):
     assert {(r.k, r.cluster): r.size for r in read("cluster/sizes")}[2, "P01"] == 8
 
 
+def test_summaries_outline_and_matrix(spark, finished):
+    said = lambda stage: json.loads((finished / stage / "summary.json").read_text())
+    graph = said("graph")
+    assert (graph["points_read"], graph["points_kept"], graph["edges"], graph["parts"]) == (18, 17, {"computed": 24, "manual": 1}, 1)
+    assert (graph["least_degree"], graph["most_degree"], graph["points_without_edges"], graph["points_outside_outline"]) == (1, 4, 0, 0)
+    assert abs(graph["area_square_metres"] - (1e10 + 1e8)) < 1e4
+    features = said("features")
+    assert features["build_matrix_shape"] == [17, 1460] and features["days"] == {"build": 365, "held_out": 365} and features["variables"] == sorted(planted.VARIABLES)
+    assert said("cluster")["cuts"]["2"] == {"P01": 8, "P03": 9} and said("cluster")["inversions"] == 0
+    assert said("mapping")["2"]["members"] == {"NCA-P01": ["PGA-NW", "PGA-SW"], "NCA-P03": ["PGA-NE", "PGA-SE"]} and said("mapping")["3"]["contiguous"] is True
+    outline = spark.read.parquet(str(finished / "geometry/outline")).first()
+    assert outline.parts == 2 and abs(outline.area - (1e10 + 1e8)) < 1e4
+    matrix = spark.read.parquet(str(finished / "features/matrix")).collect()
+    assert len(matrix) == 17 and {len(r["values"]) for r in matrix} == {1460}
+
+
 def test_metrics_and_texts(finished):
     m = json.loads((finished / "evaluate/metrics.json").read_text())
     assert abs(m["weather_means"]["eta_new"] - 0.972451) < 1e-4 and abs(m["weather_means"]["eta_current"] - 0.002589) < 1e-4

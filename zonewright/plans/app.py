@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewright.functions.storage import discard, materialize
-from zonewright.operators import geometry, overlay
+from zonewright.operators import geometry, network, overlay
 from zonewright.plans import regionalise, report
 from zonewright.plans.regionalise import Settings
 from zonewright.sources import planted, sinks
@@ -28,12 +28,12 @@ from zonewright.sources.readers import StageReader
 
 VARIABLES = ("tmin", "tmax", "rain", "wind")
 #: What a run also gives as text, if it is asked to: all but the long tables.
-LONG = {"anomalies", "parameters", "fragments"}
+LONG = {"anomalies", "parameters", "fragments", "matrix"}
 #: Stage -> its tables, written as Parquet; later stages read them by these names.
 OUTPUTS = {
-    "geometry": ("ra", "pga", "nca", "checks"),
+    "geometry": ("ra", "pga", "nca", "checks", "outline"),
     "graph": ("cells", "edges"),
-    "features": ("anomalies", "parameters"),
+    "features": ("anomalies", "parameters", "matrix"),
     "cluster": ("tree", "labels", "inversions", "sizes", "diagnostics"),
     "mapping": ("fragments", "assignments", "moves", "borders", "regions", "outlines", "cuts", "cut_assignments", "cut_moves"),
     "evaluate": ("eta", "ceiling", "variance_explained", "correlations", "benchmark", "misfits", "beats", "weather_means", "spread", "placings"),
@@ -79,6 +79,10 @@ class Run:
         self.readers.append(StageReader(self.spark, stage, self.inputs.sealed_start, self.inputs.sealed_override, self.record["reads"], self.inputs.source == "real"))
         return self.readers[-1]
 
+    def summary(self, stage: str, facts: dict) -> None:
+        """What a stage comes to, as a document beside its tables."""
+        sinks.write_json(self.spark, facts, f"{self.folder}/{stage}/summary.json")
+
     def notice(self, stage: str) -> Callable[[str], None]:
         """Takes down what the run does without having been asked."""
         return lambda text: self.record["notices"].append(f"{stage}: {text}")
@@ -171,7 +175,9 @@ def geometry_stage(run: Run) -> dict[str, DataFrame]:
         layers[level] = whole.drop("crossed")
     step = run.settings.grid_step
     layers = regionalise.covered(layers, step, notice)
-    run.write("geometry", layers | {"checks": regionalise.geometry_checks(layers, step)})  # the checks stand even if the run stops
+    whole = overlay.dissolved(layers["ra"].select(F.lit("outline").alias("group_id"), "shape"), step)
+    whole = whole.select(F.col("group_id").alias("id"), "shape", geometry.area(F.col("shape")).alias("area"), geometry.part_count(F.col("shape")).alias("parts"))
+    run.write("geometry", layers | {"checks": regionalise.geometry_checks(layers, step), "outline": whole})  # the checks stand even if the run stops
     wrong = regionalise.check_nesting(layers["ra"], layers["pga"], step) + regionalise.check_nesting(layers["pga"], layers["nca"], step)
     if wrong:
         raise regionalise.NestingError("; ".join(wrong))
@@ -192,13 +198,55 @@ def projected_layer(layer: DataFrame) -> DataFrame:
 def graph_stage(run: Run) -> dict[str, DataFrame]:
     points = materialize(geometry.to_national_grid(run.reader("graph").points(run.inputs.points)).select("point_id", "x", "y"), "points")
     cells, edges = regionalise.build_graph(points, run.read("geometry", "ra"), run.settings, run.notice("graph"))
+    run.summary("graph", graph_facts(points, cells, edges, run.settings))
     return {"cells": cells, "edges": edges}
 
 
+def graph_facts(points: DataFrame, cells: DataFrame, edges: DataFrame, settings: Settings) -> dict:
+    kept = cells.select(F.col("point_id").alias("unit_id"))
+    n = cells.agg(F.count("*").alias("kept"), F.count_if(~F.col("inside_outline")).alias("outside"), F.count_if(geometry.part_count(F.col("shape")) > 1).alias("multi_part"), F.sum(geometry.area(F.col("shape"))).alias("area")).first()
+    d = network.degrees(kept, edges).agg(F.min("degree").alias("least"), F.max("degree").alias("most"), F.count_if(F.col("degree") == 0).alias("alone")).first()
+    return {
+        "points_read": points.count(),
+        "points_kept": n.kept,
+        "points_outside_outline": n.outside,
+        "cells_of_several_parts": n.multi_part,
+        "area_square_metres": round(n.area or 0.0, 2),
+        "edges": {r.source: r["count"] for r in edges.groupBy("source").count().collect()},
+        "least_degree": d.least,
+        "most_degree": d.most,
+        "points_without_edges": d.alone,
+        "parts": network.connected_parts(kept, edges).select("root").distinct().count(),
+        "neighbour_rule": settings.neighbour_rule,
+        "least_edge_metres": settings.least_edge_metres,
+        "disconnected_parts": settings.disconnected_parts,
+    }
+
+
 def features_stage(run: Run) -> dict[str, DataFrame]:
     paths = {v: f"{run.inputs.weather}/weather-{v}.csv" for v in run.inputs.variables}
     weather = run.reader("features").weather(paths, run.settings.build_start, run.settings.held_out_end)
-    return regionalise.build_scores(weather, run.read("graph", "cells"), run.read("graph", "edges"), run.settings, run.notice("features"))
+    out = regionalise.build_scores(weather, run.read("graph", "cells"), run.read("graph", "edges"), run.settings, run.notice("features"))
+    build = out["anomalies"].filter("window = 'build'").select("point_id", "variable", "date", F.col("z_score").alias("value"))
+    run.summary("features", feature_facts(out["anomalies"], run.settings))
+    return out | {"matrix": sinks.point_arrays(build)}
+
+
+def feature_facts(scores: DataFrame, settings: Settings) -> dict:
+    each = {r.window: r for r in scores.groupBy("window").agg(F.countDistinct("date").alias("days"), F.countDistinct("point_id").alias("points"), F.countDistinct("variable", "date").alias("columns"), F.sort_array(F.collect_set("variable")).alias("variables")).collect()}
+    build = each.get("build")
+    return {
+        "points": build.points if build else 0,
+        "variables": build.variables if build else [],
+        "days": {w: r.days for w, r in each.items()},
+        "build_matrix_shape": [build.points, build.columns] if build else [0, 0],
+        "build": [settings.build_start, settings.build_end],
+        "held_out": [settings.held_out_start, settings.held_out_end],
+        "log1p": settings.log1p,
+        "smoothing_days": settings.smoothing_days,
+        "weighted_national_mean": settings.weighted_national_mean,
+        "missing_data": settings.missing_data,
+    }
 
 
 def cluster_stage(run: Run) -> dict[str, DataFrame]:
@@ -209,11 +257,20 @@ def cluster_stage(run: Run) -> dict[str, DataFrame]:
     if settings.sensitivity_sets or settings.unconstrained_diagnostic:
         main = out["labels"].filter(F.col("k") == settings.number_of_regions).select("point_id", "cluster")
         out["diagnostics"] = regionalise.sensitivity(scores, edges, main, dict(settings.sensitivity_sets), settings.number_of_regions, settings.unconstrained_diagnostic)
+    cuts: dict[str, dict[str, int]] = {}
+    for r in regionalise.few(out["sizes"], "clusters"):
+        cuts.setdefault(str(r.k), {})[r.cluster] = r["size"]
+    run.summary("cluster", {"headline_k": settings.number_of_regions, "cuts": cuts, "inversions": out["inversions"].count()})
     return out
 
 
 def mapping_stage(run: Run) -> dict[str, DataFrame]:
-    return regionalise.map_areas(run.read("geometry", "pga"), run.read("graph", "cells"), run.read("cluster", "labels"), run.settings, run.notice("mapping"))
+    out = regionalise.map_areas(run.read("geometry", "pga"), run.read("graph", "cells"), run.read("cluster", "labels"), run.settings, run.notice("mapping"))
+    members: dict[int, dict[str, list[str]]] = {}
+    for r in regionalise.few(out["cut_assignments"].orderBy("k", "unit_id"), "areas"):
+        members.setdefault(r.k, {}).setdefault(r.group_id, []).append(r.unit_id)
+    run.summary("mapping", {str(r.k): r.asDict() | {"members": members[r.k]} for r in regionalise.few(out["cuts"], "cuts")})
+    return out
 
 
 def evaluate_stage(run: Run) -> dict[str, DataFrame]:
