@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +44,40 @@ def share_weights(areas: DataFrame) -> DataFrame:
     return areas.join(total, "unit_id").select("unit_id", "point_id", (F.col("area") / F.when(F.col("total") != 0, F.col("total")).otherwise(1.0)).alias("weight"))
 
 
+#: Days of a variable that are multiplied together.
+DAYS_A_BLOCK = 366
+
+
+def _together(block: pa.Table) -> pa.Table:
+    """(variable, unit_a, unit_b, n, sums and products) of each two units over the days of a block that both have."""
+    units, at = np.unique(np.array(block["unit_id"].to_pylist(), dtype=object), return_inverse=True)
+    days, on = np.unique(block["date"].cast("int32").to_numpy(), return_inverse=True)
+    x, have = np.zeros((len(days), len(units))), np.zeros((len(days), len(units)))
+    x[on, at], have[on, at] = block["value"].to_numpy(), 1.0
+    n, sx, sxx, sxy = have.T @ have, x.T @ have, (x * x).T @ have, x.T @ x
+    i, j = np.nonzero(np.triu(n > 0, 1))
+    name = pa.array([block["variable"][0].as_py()] * len(i), pa.string())
+    sums = [n[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j]]
+    return pa.table([name, pa.array(units[i], pa.string()), pa.array(units[j], pa.string()), *map(pa.array, sums)], names=["variable", "unit_a", "unit_b", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+
 def pair_correlations(series: DataFrame) -> DataFrame:
-    """(variable, unit_a, unit_b, correlation) of each two units over their common dates.
+    """(variable, unit_a, unit_b, correlation) of each two units over their common dates; null where either side is constant.
 
-    Units are the areas of a map, few by nature; the rows join by date and variable.
+    By matrix products of DAYS_A_BLOCK days of a variable at a time, on departures from each unit's own mean, which keep the
+    sums small: no pair of values moves, only six sums for each pair and block. A unit has one value for a day and variable.
     """
-    left = series.select("date", "variable", F.col("unit_id").alias("unit_a"), F.col("value").alias("x"))
-    right = series.select("date", "variable", F.col("unit_id").alias("unit_b"), F.col("value").alias("y"))
-    pairs = left.join(right, ["date", "variable"]).filter("unit_a < unit_b")
-    return pairs.groupBy("variable", "unit_a", "unit_b").agg(correlation(F.col("x"), F.col("y")).alias("correlation"))
+    have = series.filter(F.col("value").isNotNull() & ~F.isnan("value")).select("unit_id", "variable", F.col("date").cast("date").alias("date"), F.col("value").cast("double").alias("value"))
+    means = have.groupBy("unit_id", "variable").agg(F.avg("value").alias("mean"))
+    off = have.join(means, ["unit_id", "variable"]).select("unit_id", "variable", "date", (F.col("value") - F.col("mean")).alias("value"))
+    block = F.expr(f"unix_date(date) div {DAYS_A_BLOCK}").alias("_block")
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    each = off.groupBy("variable", block).applyInArrow(_together, "variable string, unit_a string, unit_b string, " + ", ".join(f"{c} double" for c in names))
+    total = each.groupBy("variable", "unit_a", "unit_b").agg(*[F.sum(c).alias(c) for c in names])
+    spread = lambda s, ss: F.sqrt(F.greatest(F.col(ss) / F.col("n") - (F.col(s) / F.col("n")) ** 2, F.lit(0.0)))
+    scale = spread("sx", "sxx") * spread("sy", "syy")
+    covariance = F.col("sxy") / F.col("n") - F.col("sx") * F.col("sy") / (F.col("n") * F.col("n"))
+    return total.select("variable", "unit_a", "unit_b", (covariance / F.when(scale > TINY, scale)).alias("correlation"))
 
 
 def within_between(correlations: DataFrame, groups: DataFrame) -> DataFrame:
