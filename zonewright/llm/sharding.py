@@ -65,7 +65,9 @@ def external_shuffle(docs: DataFrame, n_shards: int = 16, *, bucket_bytes: int =
     ahead = Window.orderBy("_zw_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_zw_bucket", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).cast("long").alias("_zw_before"))
 
-    scattered = tagged.join(before, "_zw_bucket").select("_zw_bucket", "_zw_before", "_zw_hash", "_zw_row", *columns)
+    before = materialize(before, "shard-offsets")  # a row a bucket; joined plainly, it would have the texts shuffled once more
+    small = before.count() <= MOST_TO_BROADCAST
+    scattered = tagged.join(F.broadcast(before) if small else before, "_zw_bucket").select("_zw_bucket", "_zw_before", "_zw_hash", "_zw_row", *columns)
     out = docs.withColumn("_zw_position", F.lit(0).cast("long")).schema
     # A run of buckets is a run of the order, so a task's rows are of one shard or a few, and it writes as many files.
     scattered = scattered.repartitionByRange(min(n_buckets, MOST_TASKS), "_zw_bucket")
