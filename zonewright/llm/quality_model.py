@@ -201,7 +201,10 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, sample_rows: int = SA
         n_known, n_good = known.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0))).first()
         share = F.lit(UNIT if not n_known else UNIT * n_good // n_known)
     soft = F.coalesce(F.col("good") * UNIT, share).cast("long")
-    scored = materialize(scored.join(known, "doc_id", "left").withColumn("soft", soft), "quality-scores")
+    # Null ids have no label; numbered, they do not meet in one task.
+    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id() + 1).otherwise(0)
+    labelled = scored.withColumn("apart", apart).join(known.withColumn("apart", F.lit(0).cast("long")), ["doc_id", "apart"], "left").drop("apart")
+    scored = materialize(labelled.withColumn("soft", soft), "quality-scores")
     paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("soft").alias("sum")), "quality-paths")
     hosts = materialize(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum")), "quality-hosts")
     n, total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("sum"), F.lit(0))).first()
