@@ -1,4 +1,4 @@
-"""Nearest neighbours over shifted Hilbert orderings, completed by block bounds."""
+"""Nearest neighbours over shifted Hilbert orderings; an exact check by block bounds can follow."""
 
 from __future__ import annotations
 
@@ -17,8 +17,9 @@ CURVES = 4
 #: Projected dimensions and bits of each; a key has DIMS * BITS bits.
 DIMS, BITS = 8, 7
 BLOCK_ROWS = 1024
-#: Queries that meet a block at once, about; at most so many blocks' worth of them; summaries that meet in one task.
-QUERIES_A_CHUNK, MOST_STEPS = 4096, 16
+#: A window serves the queries of at most so many blocks at once.
+MOST_STEPS = 16
+#: Summaries that meet in one task of the exact check.
 BALLS_A_LOT = 4096
 #: The windows are as wide as it takes to find this share of the neighbours of a sample of queries.
 SAMPLE_QUERIES, RECALL = 64, 0.95
@@ -205,7 +206,8 @@ def nearest_neighbours(vectors: DataFrame, queries_where, k: int = 10, *, curves
     against the blocks round its own on each curve, as many on either side as window_width finds to be needed, and the
     curves' results merge. With `complete` an exact check follows: the windows give each query a distance which its k
     nearest cannot exceed, and every block of the first curve whose ball (centre and radius) comes within that distance
-    of a chunk of neighbouring queries is searched too. Without, the result is approximate, at RECALL or so.
+    of the ball of a block's queries is searched too; on vectors without clusters those are most blocks. Without, the
+    result is approximate, at RECALL or so, and exact where windows cover the table. Scores are exact either way.
 
     Vectors are compared with those of their own length, a search for each length. Copies of a vector enter the index
     once, and come back as the k + 1 smallest ids of their group: ties go to the smaller id. Null vec_ids and vectors
@@ -255,10 +257,8 @@ def _nearest_of_length(rows: DataFrame, dim: int, queries_where, k: int, *, curv
     best = materialize(_best(_searched(pairs, near, index.select("block", "rep", "vector"), k + 1), k + 1), "vector-windows")
     if complete:
         reach = best.groupBy("query").agg(F.when(F.count("*") > k, F.max("score")).otherwise(far).alias("reach"))
-        mine = own.filter("curve = 0")
-        usual = max(1, mine.count() * block_rows // max(1, distinct.count()))
-        asked = mine.join(reach, "query").withColumn("chunk", F.expr(f"block div {max(1, QUERIES_A_CHUNK // usual)}"))
-        asked = materialize(asked.select("chunk", "query", "vector", "reach"), "vector-chunks")
+        asked = own.filter("curve = 0").join(reach, "query")
+        asked = materialize(asked.select(F.col("block").alias("chunk"), "query", "vector", "reach"), "vector-chunks")
         first = index.filter("curve = 0")
         ball = "centre array<double>, radius double, reach double"
         blocks = materialize(first.withColumn("reach", F.lit(0.0)).groupBy("block").applyInArrow(_summaries("block"), f"block long, {ball}"), "vector-balls")
