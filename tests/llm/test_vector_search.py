@@ -52,6 +52,13 @@ def test_windows_alone_on_clustered_vectors(spark):
     assert np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("n", [40, 130, 250])
+def test_windows_that_cover_the_table_are_exact(spark, n):
+    """One block a curve, and two: no block holds rows of two curves, so none has a row twice."""
+    rows = [(i, np.float32(v)) for i, v in enumerate(np.random.default_rng(n).standard_normal((n, 16)))]
+    assert got_of(nearest_neighbours(table(spark, rows), ASKED, block_rows=128, complete=False)) == brute(rows)
+
+
 def test_recall_of_the_curves_on_many_vectors(spark):
     """50,000 evenly spread vectors of 16 dimensions: windows alone, as wide as they are measured to need."""
     rng = np.random.default_rng(9)

@@ -243,7 +243,10 @@ def _nearest_of_length(rows: DataFrame, dim: int, queries_where, k: int, *, curv
     keyed = distinct.mapInArrow(_keys(turned, shifts, low, np.maximum(high - low, 1e-300)), f"curve int, key long, rep long, vector {kind}")
     stored = sorted_parts(keyed, ["curve", "key", "rep"], "vector-curves")
     offsets = running_offsets(stored, F.lit(1)).select("part", "before")
-    index = stored.join(offsets, "part").withColumn("block", F.expr(f"(before + place) div {block_rows}").cast("long")).select("curve", "block", "rep", "vector")
+    # Each curve has every row, and blocks of its own: in a block of two curves a row would take two places among the k.
+    n = distinct.count()
+    block = F.expr(f"curve * {-(-n // block_rows)}L + (before + place - curve * {n}L) div {block_rows}").cast("long")
+    index = stored.join(offsets, "part").withColumn("block", block).select("curve", "block", "rep", "vector")
     index = materialize(index, "vector-index")
 
     own = index.join(asking.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select("curve", "block", F.col("rep").alias("query"), "vector")
