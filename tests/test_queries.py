@@ -62,6 +62,23 @@ def test_cells_and_random_maps_hold_together(spark, sf_dir):
     assert draws.columns
 
 
+def test_drop_day_keeps_whole_days(spark, tmp_path):
+    """Both nations have orders on the first of March, one on the second; neither month is without holes but March."""
+    con = duckdb.connect()
+    tables = {
+        "nation": "SELECT * FROM (VALUES (0, 0), (1, 0)) t(n_nationkey, n_regionkey)",
+        "customer": "SELECT * FROM (VALUES (1, 0, 'A'), (2, 1, 'A')) t(c_custkey, c_nationkey, c_mktsegment)",
+        "orders": "SELECT * FROM (VALUES (1, DATE '1998-03-01', 11737.0), (2, DATE '1998-03-01', 1173.7), (1, DATE '1998-03-02', 1173.7), (2, DATE '1998-04-05', 1173.7)) t(o_custkey, o_orderdate, o_totalprice)",
+    }
+    for t, sql in tables.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    got = sorted((r.period, r.point_id, str(r.date), r.variable, r.value) for r in QUERIES["drop_day"](spark, str(tmp_path)).collect())
+    march = lambda period, n, value, orders: [(period, n, "1998-03-01", "orders", orders), (period, n, "1998-03-01", "value", value)]
+    assert got == march("day", "N00", 10.0, 1.0) + march("day", "N01", 1.0, 1.0) + march("month", "N00", 11.0, 2.0) + march("month", "N01", 1.0, 1.0)
+    assert got == sorted((p, n, str(t), v, x) for p, n, t, v, x in con.execute(f"SELECT period, point_id, date, variable, value FROM ({ORACLES['drop_day']})").fetchall())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

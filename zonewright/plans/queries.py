@@ -199,12 +199,16 @@ def missing_holes(spark, d):
     return _holes(spark, d)
 
 
-@query("SELECT point_id, date, variable, round(value, 3) AS value FROM monthly WHERE date NOT IN (SELECT date FROM holes)", "priced", "monthly", "nations", POINTS, HOLES.replace("daily", "monthly"))
+@query(
+    """SELECT 'day' AS period, point_id, date, variable, round(value, 3) AS value FROM daily WHERE date NOT IN (SELECT date FROM holes)
+    UNION ALL SELECT 'month', point_id, date, variable, round(value, 3) FROM monthly WHERE date NOT IN (SELECT date FROM month_holes)""",
+    "priced", "daily", "monthly", "nations", POINTS, HOLES, HOLES.replace("daily", "monthly").replace("holes AS", "month_holes AS"),
+)
 def drop_day(spark, d):
-    """By month: each day of the smaller tables has a nation without orders."""
-    s = star.monthly(spark, d)
-    missing = anomaly.holes(s, star.nations(spark, d).select(F.col("unit_id").alias("point_id")))
-    return anomaly.without_days(s, missing).select("point_id", "date", "variable", F.round("value", 3).alias("value"))
+    """Days without a hole, and months: each day of the smaller tables has a nation without orders."""
+    points = star.nations(spark, d).select(F.col("unit_id").alias("point_id"))
+    whole = lambda s, period: anomaly.without_days(s, anomaly.holes(s, points)).select(F.lit(period).alias("period"), "point_id", "date", "variable", F.round("value", 3).alias("value"))
+    return whole(star.daily(spark, d), "day").unionByName(whole(star.monthly(spark, d), "month"))
 
 
 @query(
