@@ -42,6 +42,43 @@ def test_few_points(spark):
     assert nearest.closest_pair(places.withColumnRenamed("place_id", "unit_id").limit(0), one.withColumnRenamed("point_id", "unit_id")).count() == 0
 
 
+def shuffled(spark):
+    """Bytes shuffled and written by all stages so far."""
+    lists = spark._jvm.java.util.ArrayList
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(lists(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), lists()).iterator()
+    total = 0
+    while stages.hasNext():
+        s = stages.next()
+        total += s.shuffleWriteBytes() + s.outputBytes()
+    return total
+
+
+def test_places_move_once(spark):
+    """Places go to tasks in blocks: without broadcasts, what moves is a few times the places, not the squares that each keeps."""
+    side = lambda c, seed: (F.rand(seed) * 1000).alias(c)
+    places = spark.range(60_000).select(F.col("id").alias("place_id"), side("x", 1), side("y", 2))
+    points = spark.range(4_000).select(F.col("id").alias("point_id"), side("x", 3), side("y", 4))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = nearest.nearest_join(places, points).agg(F.count("*").alias("n"), F.sum("metres").alias("m")).first()
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got.n == 60_000 and got.m / got.n == pytest.approx(0.5 * 1000 / math.sqrt(4_000), rel=0.05)
+    assert moved < 60_000 * 150
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_heaps_and_copies(spark, k):
+    """Many places at one spot, heaps far apart, and equal distances: deep squares, and blocks in several parts."""
+    rng = random.Random(11)
+    points = [(f"p{i:03d}", float(i % 20), float(i // 20)) for i in range(200)] + [(f"q{i:02d}", 1e7 + rng.random() * 1e-3, 1e7 + rng.random() * 1e-3) for i in range(40)]
+    places = [(i, 7.5, 3.5) for i in range(700)] + [(1000 + i, 1e7 + rng.random() * 1e-3, 1e7) for i in range(50)] + [(2000 + i, float(i), 3.5) for i in range(20)] + [(3000, 5e6, 5e6), (3001, -1e12, 7.0)]
+    df = nearest.nearest_join(spark.createDataFrame(places, "place_id long, x double, y double"), spark.createDataFrame(points, "point_id string, x double, y double"), k, leaf=3)
+    assert found(df) == brute(places, points, k)
+
+
 def test_cells_by_neighbours_are_the_cells(spark):
     rng = random.Random(7)
     rows = [(f"p{i:02d}", rng.uniform(0, 100) + 4e5, rng.uniform(0, 30) + 3e5) for i in range(40)] + [("line1", 4e5, 3e5), ("line2", 4e5 + 100, 3e5), ("line3", 4e5 + 50, 3e5)]

@@ -1,25 +1,31 @@
-"""Nearest points, by descending a tree of squares.
+"""Nearest points, by descending two trees of squares at once.
 
-Points are counted in squares of a grid, and the squares in the squares of 4 x 4 above, up to one. A place starts at the
-top and keeps those squares that can hold one of its k nearest; every step joins what it keeps with the occupied squares
-below. Only occupied squares are in the tree, and a place keeps a number of them that goes with k, however dense or thin
-the points lie round it, so no place meets all points, and no far pair is made.
+Places and points are counted in the squares of one grid, halved twice a step. A square of places keeps those squares of
+points that can hold one of the k nearest of any place in it, and goes down with them until its places and what it keeps
+make few enough pairs for one task. Only squares are joined on the way, so what moves is every place once and every
+point as often as there are blocks of places near it, however dense or thin the ground is; pairs are made inside tasks.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from zonewright.functions.storage import materialize
 from zonewright.operators import geometry
 
-#: Squares are halved until none holds more points of different places than this, or the tree is this deep.
-LEAF, DEEPEST = 32, 12
+#: A block of places is done when its pairs are no more than (2 * LEAF ** 2) ** 2, or squares are this many steps down.
+LEAF, DEEPEST = 32, 20
+#: The first step: so many squares a side are met all with all.
+FIRST = 2
+#: Distances that a task holds at once.
+AT_ONCE = 1 << 20
 
 
 def _at(df: DataFrame) -> DataFrame:
@@ -34,64 +40,112 @@ def _square(c: str, low: float, side: float) -> Column:
     return F.least(F.greatest(F.floor((F.col(c) - low) / side), F.lit(0)), F.lit(most)).cast("long")
 
 
-def square_tree(points: DataFrame, low_x: float, low_y: float, side: float, leaf: int = LEAF) -> tuple[DataFrame, int]:
-    """Occupied squares (step, gx, gy, n), stored by step below the top one, and the step whose squares hold at most `leaf`.
+def _up(step: int, gx: str, gy: str) -> dict[str, Column]:
+    """The square of a step that a row's finest square lies in."""
+    return {a: F.shiftright(g, 2 * (DEEPEST - step)) for a, g in ((gx, "gx"), (gy, "gy"))}
 
-    points (x, y) of different places; `side` is that of the finest squares, which DEEPEST steps reach.
+
+def _counted(df: DataFrame, step: int, side: str) -> DataFrame:
+    """Occupied squares of a step, (<side>x, <side>y), with their number of rows and the bounds of what they hold."""
+    keys = _up(step, f"{side}x", f"{side}y")
+    ends = [f(c).alias(f"{side}_{c}{n}") for c in ("x", "y") for f, n in ((F.min, 0), (F.max, 1))]
+    return df.groupBy(*(k.alias(n) for n, k in keys.items())).agg(F.count("*").alias(f"{side}_n"), *ends)
+
+
+def _kept(met: DataFrame, k: int) -> DataFrame:
+    """(ax, ay, a_n, bx, by, b_n, held): of squares of places (a) and points (b), the pairs that can hold one of a place's k nearest.
+
+    held is the number of points in all squares that a square of places keeps.
     """
-    finest = points.groupBy(_square("x", low_x, side).alias("gx"), _square("y", low_y, side).alias("gy")).agg(F.count("*").alias("n"))
-    up = lambda c: F.expr(f"shiftright({c}, 2 * ({DEEPEST} - step))").alias(c)
-    every = finest.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(DEEPEST)))).select("step", up("gx"), up("gy"), "n")
-    squares = materialize(every.groupBy("step", "gx", "gy").agg(F.sum("n").alias("n")), "squares", ["step"])
-    fullest = {r["step"]: r["n"] for r in squares.groupBy("step").agg(F.max("n").alias("n")).collect()}
-    return squares, next((i for i in range(DEEPEST) if fullest[i] <= leaf), DEEPEST)
+    e = lambda n: F.col(n)
+    near = [F.greatest(e(f"b_{c}0") - e(f"a_{c}1"), e(f"a_{c}0") - e(f"b_{c}1"), F.lit(0.0)) for c in ("x", "y")]
+    far = [F.greatest(e(f"b_{c}1") - e(f"a_{c}0"), e(f"a_{c}1") - e(f"b_{c}0")) for c in ("x", "y")]
+    met = met.select("ax", "ay", "a_n", "bx", "by", "b_n", F.hypot(*near).alias("near"), F.hypot(*far).alias("far"))
+    # Squares ordered by their furthest corner: as soon as k points are in, no nearest can be beyond that corner.
+    block = Window.partitionBy("ax", "ay")
+    upto = F.sum("b_n").over(block.orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = met.withColumn("upto", upto).withColumn("bound", F.min(F.when(F.col("upto") >= k, F.col("far"))).over(block))
+    kept = met.filter(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * (1 + 1e-9)))
+    return kept.withColumn("held", F.sum("b_n").over(block)).select("ax", "ay", "a_n", "bx", "by", "b_n", "held")
+
+
+def _in_block(k: int):
+    """The k nearest of a block's places among the points that it meets; ties to the smaller place in the order of ids."""
+
+    def look(places: pa.Table, points: pa.Table) -> pa.Table:
+        of = lambda t, c: t.column(c).to_numpy()
+        order = np.argsort(of(points, "nth"))
+        px, py, x, y = of(points, "px")[order], of(points, "py")[order], of(places, "x"), of(places, "y")
+        rows, cols, far, ranks = [], [], [], []
+        some = max(1, AT_ONCE // max(1, len(px)))
+        for i in range(0, len(x) if len(px) else 0, some):
+            dx, dy = x[i : i + some, None] - px, y[i : i + some, None] - py
+            square = dx * dx + dy * dy
+            if k < len(px):
+                edge = square.min(axis=1) if k == 1 else np.partition(square, k - 1, axis=1)[:, k - 1]
+                r, c = np.nonzero(square <= edge[:, None] * (1 + 1e-12))  # roots of unlike squares can be alike
+            else:
+                r, c = np.nonzero(np.ones(square.shape, dtype=bool))
+            m = np.sqrt(square[r, c])
+            by = np.lexsort((c, m, r))
+            r, c, m = r[by], c[by], m[by]
+            rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
+            rows.append(r[rank <= k] + i)
+            cols.append(order[c[rank <= k]])
+            far.append(m[rank <= k])
+            ranks.append(rank[rank <= k])
+        put = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        pick = lambda t, c, at: t.column(c).combine_chunks().take(pa.array(put(at, np.int64)))
+        columns = [pick(places, "place_id", rows), pa.array(put(ranks, np.int32)), pick(points, "point_id", cols), pa.array(put(far, np.float64))]
+        return pa.table(columns, names=["place_id", "rank", "point_id", "metres"])
+
+    return look
 
 
 def nearest_join(places: DataFrame, points: DataFrame, k: int = 1, leaf: int = LEAF) -> DataFrame:
     """(place_id, rank, point_id, metres): the k nearest points of every place, exactly; ties go to the smaller id.
 
-    places (place_id, x, y), points (point_id, x, y). Points at the very same spot count once in the tree and come back as
-    their k smallest ids. Rows without finite coordinates take no part, on either side; fewer points than k give fewer
-    rows, an empty side none. A place_id should stand once.
+    places (place_id, x, y), points (point_id, x, y). Of points at the very same spot the k smallest ids take part. Rows
+    without finite coordinates take no part, on either side; fewer points than k give fewer rows, an empty side none. A
+    place_id should stand once.
     """
+    at = [F.col(c).cast("double").alias(c) for c in ("x", "y")]
     spot = Window.partitionBy("x", "y").orderBy("point_id")
-    every = _at(points.select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
-    every = materialize(every.withColumn("nth", F.row_number().over(spot)).filter(F.col("nth") <= k), "nearest-points")
-    spots = every.filter("nth = 1").select("x", "y")
-    x0, y0, x1, y1 = spots.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    who = _at(places.select("place_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
-    if x0 is None:
-        return who.select("place_id", F.lit(1).alias("rank"), F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.lit(0.0).alias("metres")).limit(0)
-    reach = max(x1 - x0, y1 - y0) or 1.0
-    finest = reach * (1 + 1e-9) / 4**DEEPEST
-    squares, depth = square_tree(spots, x0, y0, finest, leaf)
-
-    def edges(g: str, c: str, low: float, side: float) -> tuple[Column, Column]:
-        """Least and largest distance along one axis from a place to a square, a hair wider than it is."""
-        hair = 1e-9 * reach
-        a, b = low + F.col(g) * side - hair, low + (F.col(g) + 1) * side + hair
-        return F.greatest(a - F.col(c), F.col(c) - b, F.lit(0.0)), F.greatest(F.abs(F.col(c) - a), F.abs(F.col(c) - b))
-
-    held = who.select("place_id", "x", "y", F.lit(0).cast("long").alias("gx"), F.lit(0).cast("long").alias("gy"))  # the top: one square
-    for step in range(1, depth + 1):
-        side = finest * 4 ** (DEEPEST - step)
-        below = squares.filter(F.col("step") == step).drop("step").withColumns({"ux": F.shiftright("gx", 2), "uy": F.shiftright("gy", 2)})
-        met = held.withColumnsRenamed({"gx": "ux", "gy": "uy"}).join(below, ["ux", "uy"])
-        (nx, fx), (ny, fy) = edges("gx", "x", x0, side), edges("gy", "y", y0, side)
-        met = met.select("place_id", "x", "y", "gx", "gy", "n", F.hypot(nx, ny).alias("near"), F.hypot(fx, fy).alias("far"))
-        # Squares ordered by their furthest corner: as soon as k points are in, no nearest can be beyond that corner.
-        upto = F.sum("n").over(Window.partitionBy("place_id").orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        bound = F.min(F.when(F.col("upto") >= k, F.col("far"))).over(Window.partitionBy("place_id"))
-        kept = met.withColumn("upto", upto).withColumn("bound", bound).filter(F.col("bound").isNull() | (F.col("near") <= F.col("bound")))
-        held = kept.select("place_id", "x", "y", "gx", "gy")
-        if step % 3 == 0:
-            held = materialize(held, "nearest-held")
-    shift = 2 * (DEEPEST - depth)
-    located = every.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.shiftright(_square("x", x0, finest), shift).alias("gx"), F.shiftright(_square("y", y0, finest), shift).alias("gy"))
-    dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
-    pairs = held.join(located, ["gx", "gy"]).select("place_id", "point_id", F.sqrt(dx * dx + dy * dy).alias("metres"))
-    rank = F.row_number().over(Window.partitionBy("place_id").orderBy("metres", "point_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("place_id", "rank", "point_id", "metres")
+    every = _at(points.select("point_id", *at)).withColumn("same", F.row_number().over(spot)).filter(F.col("same") <= k).drop("same")
+    every = materialize(every.orderBy("point_id").withColumn("nth", F.monotonically_increasing_id()), "nearest-points")  # numbers rise with the ids
+    who = materialize(_at(places.select("place_id", *at)), "nearest-places")
+    kinds = (who.schema["place_id"].dataType, T.IntegerType(), every.schema["point_id"].dataType, T.DoubleType())
+    out = T.StructType([T.StructField(c, t) for c, t in zip(("place_id", "rank", "point_id", "metres"), kinds)])
+    ends = [df.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first() for df in (every, who)]
+    if any(e[0] is None for e in ends):
+        return places.sparkSession.createDataFrame([], out)
+    x0, y0, x1, y1 = *(min(e[i] for e in ends) for i in (0, 1)), *(max(e[i] for e in ends) for i in (2, 3))
+    finest = (max(x1 - x0, y1 - y0) or 1.0) * (1 + 1e-9) / 4**DEEPEST
+    every, who = (df.withColumns({"gx": _square("x", x0, finest), "gy": _square("y", y0, finest)}) for df in (every, who))
+
+    most, few = (2 * leaf**2) ** 2, 4 * leaf * k
+    left = right = None
+    met = _counted(who, FIRST, "a").crossJoin(_counted(every, FIRST, "b"))  # 4 ** FIRST squares a side, at most
+    for step in range(FIRST, DEEPEST + 1):
+        held = materialize(_kept(met, k).withColumn("parts", F.ceil(F.col("a_n") * F.col("held") / most).cast("int")), "nearest-held")
+        ready = (F.col("parts") <= 1) | (F.col("held") <= few) | F.lit(step == DEEPEST)
+        n = held.agg(F.count_if(ready).alias("ready"), F.count_if(~ready).alias("open")).first()
+        if n["ready"]:
+            done = held.filter(ready)
+            part = F.pmod(F.xxhash64("place_id", "x", "y"), F.col("parts")).cast("int").alias("part")
+            mine = who.withColumns(_up(step, "ax", "ay")).join(done.select("ax", "ay", "parts").distinct(), ["ax", "ay"])
+            mine = mine.select(F.lit(step).alias("step"), "ax", "ay", part, "place_id", "x", "y")
+            near = every.withColumns(_up(step, "bx", "by")).join(done.select("ax", "ay", "bx", "by", "parts"), ["bx", "by"])
+            near = near.select(F.lit(step).alias("step"), "ax", "ay", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "nth", "point_id", F.col("x").alias("px"), F.col("y").alias("py"))
+            left, right = (mine, near) if left is None else (left.unionByName(mine), right.unionByName(near))
+        if not n["open"]:
+            break
+        above = held.filter(~ready).select("ax", "ay", "bx", "by").withColumnsRenamed({c: f"up_{c}" for c in ("ax", "ay", "bx", "by")})
+        inside = who.withColumns(_up(step, "up_ax", "up_ay")).join(above.select("up_ax", "up_ay").distinct(), ["up_ax", "up_ay"], "left_semi")
+        below = lambda df, s: df.withColumns({f"up_{s}{c}": F.shiftright(f"{s}{c}", 2) for c in ("x", "y")})
+        met = above.join(below(_counted(inside, step + 1, "a"), "a"), ["up_ax", "up_ay"]).join(below(_counted(every, step + 1, "b"), "b"), ["up_bx", "up_by"])
+    block = ("step", "ax", "ay", "part")
+    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(_in_block(k), out)
 
 
 def nearest_point(places: DataFrame, points: DataFrame) -> DataFrame:
