@@ -92,6 +92,19 @@ def test_slivers_of_overlapping_children(spark):
         assert got == {"Q": 12.0 + 4.0, "R": 100.0}  # 6 x 2 above; the two overlap, and 26 to 30 lacks its top row
 
 
+def test_slivers_of_crowded_squares(spark):
+    """Thousands of copies and hundreds of overlapping children in one square: no task puts more than a few together."""
+    spots = [(i % 20, i // 20) for i in range(400)]
+    boxes = [box(x, y, x + 9, y + 9) for x, y in spots] + [box(2, 2, 7, 7)] * 3000
+    children = spark.createDataFrame([("P", s) for s in boxes] + [("Q", shape(((50, 0), (50 + i / 10, 0), (50, i / 2)))) for i in range(1, 60)], f"parent_id string, shape {geometry.SHAPE}")
+    parents = spark.createDataFrame([("P", box(0, 0, 25, 30)), ("Q", box(50, 0, 60, 30))], f"parent_id string, shape {geometry.SHAPE}")
+    most = overlay.differing_squares(children, parents, 100.0, crowd=8).agg(F.max(F.size("kids"))).first()[0]
+    assert most <= 8
+    named = children.withColumn("id", F.monotonically_increasing_id())
+    got = {r.parent_id: r.sliver_area for r in overlay.slivers(named, parents.withColumnRenamed("parent_id", "id"), 100.0).collect()}
+    assert got == pytest.approx({"P": 28 * 28 + 25 * 30 - 2 * 25 * 28, "Q": 300 - 5.9 * 29.5 / 2})
+
+
 def test_points_in_shapes(spark):
     land = spark.createDataFrame([("U", U), ("B", box(100, 100, 130, 130))], f"id string, shape {geometry.SHAPE}")
     points = [("a", 5.0, 20.0), ("b", 15.0, 20.0), ("c", 0.0, 5.0), ("d", 115.0, 129.0), ("e", -50.0, 3.0), ("f", None, 1.0)]

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from zonewright.operators.geometry import SHAPE_TYPE, Point, area, bounds, clip_half, crossing, polygons_of, signed_area
+from zonewright.functions.storage import materialize
+from zonewright.operators.geometry import SHAPE_TYPE, Point, area, bounds, box_shape, clip_half, crossing, polygons_of, signed_area
 
 #: Corners closer than this are one, in metres.
 CLOSE = 1e-6
@@ -299,17 +300,51 @@ def dissolved(shapes: DataFrame, step: float) -> DataFrame:
     return pieces.groupBy("group_id").agg(F.collect_list("shape").alias("all")).select("group_id", union_of("all").alias("shape"))
 
 
+#: Squares with more pieces than this are cut 4 by 4, so many times over at most.
+CROWD, FINER = 32, 6
+
+
+def _crowds(pieces: DataFrame, side: float) -> DataFrame:
+    """(parent_id, gx, gy, n, covered): how many pieces a square of a parent has, and whether one of them is the whole square."""
+    ring = F.col("shape")[0][0]
+    full = (F.size("shape") == 1) & (F.size(F.col("shape")[0]) == 1) & (F.size(ring) == 4) & (area(F.col("shape")) >= side * side * (1 - 1e-12))
+    return pieces.groupBy("parent_id", "gx", "gy").agg(F.count("*").alias("n"), F.max(full).alias("covered"))
+
+
+def differing_squares(children: DataFrame, parents: DataFrame, step: float, crowd: int = CROWD) -> DataFrame:
+    """(parent_id, shape, kids): ground of parents (parent_id, shape) and of children (parent_id, shape), square by square.
+
+    Equal pieces stand once, and a piece that is the whole square stands for all. Squares that still have more than `crowd`
+    pieces are cut into smaller ones, so a task puts few shapes together, however many overlap or are alike.
+    """
+    at = ["parent_id", "gx", "gy"]
+    whole, parts = in_squares(parents.select("parent_id", "shape"), step), in_squares(children.select("parent_id", "shape").distinct(), step)
+    out = None
+    for i in range(FINER + 1):
+        side = step / 4**i
+        whole, parts = materialize(whole, "sliver-parents"), materialize(parts.select(*at, "shape").distinct(), "sliver-pieces")
+        squares = materialize(_crowds(parts, side), "sliver-squares")
+        crowded = squares.filter(~F.col("covered") & (F.col("n") > crowd)).select(*at) if i < FINER else squares.select(*at).limit(0)
+        corner = [(F.col(c) + d) * F.lit(float(side)) for d in (0, 1) for c in ("gx", "gy")]
+        covered = squares.filter("covered").select(*at, F.array(box_shape(*corner)).alias("kids"))
+        few = parts.join(squares.filter("NOT covered").select(*at), at, "left_semi").join(crowded, at, "left_anti")
+        few = few.groupBy(*at).agg(F.collect_list("shape").alias("kids"))
+        both = whole.join(crowded, at, "left_anti").join(covered.unionByName(few), at, "full").select("parent_id", "shape", "kids")
+        out = both if out is None else out.unionByName(both)
+        if i == FINER or crowded.isEmpty():
+            return out
+        whole, parts = (in_squares(df.join(crowded, at, "left_semi").select("parent_id", "shape"), side / 4) for df in (whole, parts))
+
+
 def slivers(children: DataFrame, parents: DataFrame, step: float, smallest: float = 1.0) -> DataFrame:
     """(parent_id, sliver_area) where parents (id, shape) and the union of their children (id, parent_id, shape) differ by more.
 
     Worked out square by square and summed: children that overlap count their common ground once. Parents without children
     differ by all their area; children of unknown parents are left to the nesting check.
     """
-    whole = in_squares(parents.select(F.col("id").alias("parent_id"), "shape"), step)
-    parts = in_squares(children.select("parent_id", "shape"), step).groupBy("parent_id", "gx", "gy").agg(F.collect_list("shape").alias("kids"))
-    known = parents.select(F.col("id").alias("parent_id"))
-    both = whole.join(parts.join(known, "parent_id", "left_semi"), ["parent_id", "gx", "gy"], "full")
-    each = both.select("parent_id", differing_area("shape", "kids").alias("area"))
+    parents = parents.select(F.col("id").alias("parent_id"), "shape")
+    children = children.join(parents.select("parent_id"), "parent_id", "left_semi")
+    each = differing_squares(children, parents, step).select("parent_id", differing_area("shape", "kids").alias("area"))
     return each.groupBy("parent_id").agg(F.sum("area").alias("sliver_area")).filter(F.col("sliver_area") > smallest)
 
 
