@@ -86,3 +86,52 @@ def test_cells_by_neighbours_are_the_cells(spark):
     area = lambda cells: {r.point_id: r.a for r in cells.select("point_id", geometry.area(F.col("shape")).alias("a")).collect()}
     got, want = area(nearest.voronoi_cells(points, in_task=0)), area(nearest.voronoi_cells(points))
     assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-6 * want[i] for i in want)
+
+
+def areas(cells):
+    return {r.point_id: r.a for r in cells.select("point_id", geometry.area(F.col("shape")).alias("a")).collect()}
+
+
+@pytest.mark.parametrize("last", [0, nearest.LAST_CELLS])
+def test_cells_of_awkward_ground(spark, last):
+    """Heaps, copies, a line, empty ground and a far point: the cells are those by all points, by corners' rounds and by the last cells' squares."""
+    rng = random.Random(5)
+    rows = [(f"p{i:03d}", rng.uniform(0, 1000), rng.uniform(0, 1000)) for i in range(300)] + [(f"h{i:03d}", 5000 + rng.random(), 700 + rng.random()) for i in range(300)]
+    rows += [(f"c{i:02d}", 500.0, 500.0) for i in range(30)] + [(f"l{i:03d}", 2000.0, i * 7.0) for i in range(150)] + [("far", 3000.0, 40000.0), ("null", None, 1.0), ("nan", 1.0, float("nan"))]
+    points = spark.createDataFrame(rows, "point_id string, x double, y double")
+    got, want = areas(nearest.cells_by_neighbours(points, last=last)), areas(geometry.voronoi_cells(points.filter("x IS NOT NULL AND NOT isnan(y)")))
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], rel=1e-6, abs=1e-6) for i in want)
+
+
+def test_cells_of_one_spot(spark):
+    points = spark.createDataFrame([(i, 3.0, 4.0) for i in range(20)], "point_id long, x double, y double")
+    assert areas(nearest.cells_by_neighbours(points)) == {i: 4.0 for i in range(20)}
+    assert nearest.cells_by_neighbours(points.limit(0)).count() == 0
+
+
+def task_memory(spark, run):
+    """MB of execution memory of the largest task of what run does."""
+    store, lists = spark._jvm.org.apache.spark.SparkContext.getOrCreate().statusStore(), spark._jvm.java.util.ArrayList
+    stages = lambda: store.stageList(lists(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), lists())
+    before = max((s.stageId() for s in (stages().apply(i) for i in range(stages().size()))), default=-1)
+    run()
+    most, found = 0, stages()
+    for i in range(found.size()):
+        if (s := found.apply(i)).stageId() > before and s.numCompleteTasks():
+            tasks = store.taskList(s.stageId(), s.attemptId(), 1000)
+            most = max([most, *(tasks.apply(j).taskMetrics().get().peakExecutionMemory() for j in range(tasks.size()) if tasks.apply(j).taskMetrics().isDefined())])
+    return most / 1e6
+
+
+def test_memory_of_cells_follows_the_points(spark):
+    """A task's memory grows no faster than the points, and no task makes all cells of some thousand points."""
+    side = lambda c, seed: (F.rand(seed) * 1000).alias(c)
+    sizes, used = (6_000, 24_000), []
+    for n in sizes:
+        points = spark.range(n).select(F.col("id").alias("point_id"), side("x", 1), side("y", 2))
+        total = []
+        used.append(task_memory(spark, lambda: total.append(nearest.voronoi_cells(points).select(geometry.area(F.col("shape")).alias("a")).agg(F.sum("a"), F.count("*")).first())))
+        x0, y0, x1, y1 = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+        margin = math.hypot(x1 - x0, y1 - y0)
+        assert total[0][1] == n and total[0][0] == pytest.approx((x1 - x0 + 2 * margin) * (y1 - y0 + 2 * margin), rel=1e-9)
+    assert 0 < used[1] <= used[0] * sizes[1] / sizes[0], used

@@ -26,6 +26,12 @@ LEAF, DEEPEST = 32, 20
 FIRST = 2
 #: Distances that a task holds at once.
 AT_ONCE = 1 << 20
+#: What a block of places is known by.
+BLOCK = ("step", "ax", "ay", "part")
+#: Cells of up to so many points are made by all of them in one task: its time grows with their square.
+IN_TASK = 1_000
+#: So many unfinished cells meet the squares that can cut them in one go, in tasks of so many points.
+LAST_CELLS, LAST_POINTS = 4_096, 1 << 14
 
 
 def _at(df: DataFrame) -> DataFrame:
@@ -53,20 +59,68 @@ def _counted(df: DataFrame, step: int, side: str) -> DataFrame:
 
 
 def _kept(met: DataFrame, k: int) -> DataFrame:
-    """(ax, ay, a_n, bx, by, b_n, held): of squares of places (a) and points (b), the pairs that can hold one of a place's k nearest.
+    """(ax, ay, a_n, bx, by, b_n, held, bound): of squares of places (a) and points (b), the pairs that can hold one of a place's k nearest.
 
-    held is the number of points in all squares that a square of places keeps.
+    met has the bounds of both squares, and the bound of the squares that they are in (within). held is the number of
+    points in all squares that a square of places keeps; every point within bound of it is among them, and all points are
+    where bound is null.
     """
     e = lambda n: F.col(n)
     near = [F.greatest(e(f"b_{c}0") - e(f"a_{c}1"), e(f"a_{c}0") - e(f"b_{c}1"), F.lit(0.0)) for c in ("x", "y")]
     far = [F.greatest(e(f"b_{c}1") - e(f"a_{c}0"), e(f"a_{c}1") - e(f"b_{c}0")) for c in ("x", "y")]
-    met = met.select("ax", "ay", "a_n", "bx", "by", "b_n", F.hypot(*near).alias("near"), F.hypot(*far).alias("far"))
+    met = met.select("ax", "ay", "a_n", "bx", "by", "b_n", F.hypot(*near).alias("near"), F.hypot(*far).alias("far"), "within")
+    met = met.filter(F.col("within").isNull() | (F.col("near") <= F.col("within") * (1 + 1e-9))).drop("within")
     # Squares ordered by their furthest corner: as soon as k points are in, no nearest can be beyond that corner.
     block = Window.partitionBy("ax", "ay")
     upto = F.sum("b_n").over(block.orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = met.withColumn("upto", upto).withColumn("bound", F.min(F.when(F.col("upto") >= k, F.col("far"))).over(block))
     kept = met.filter(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * (1 + 1e-9)))
-    return kept.withColumn("held", F.sum("b_n").over(block)).select("ax", "ay", "a_n", "bx", "by", "b_n", "held")
+    return kept.withColumn("held", F.sum("b_n").over(block)).select("ax", "ay", "a_n", "bx", "by", "b_n", "held", "bound")
+
+
+def _squared(*sides: DataFrame) -> list[DataFrame] | None:
+    """The sides with each row's finest square (gx, gy) on one grid; None if a side is empty."""
+    ends = [df.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first() for df in sides]
+    if any(e[0] is None for e in ends):
+        return None
+    x0, y0, x1, y1 = *(min(e[i] for e in ends) for i in (0, 1)), *(max(e[i] for e in ends) for i in (2, 3))
+    finest = (max(x1 - x0, y1 - y0) or 1.0) * (1 + 1e-9) / 4**DEEPEST
+    return [df.withColumns({"gx": _square("x", x0, finest), "gy": _square("y", y0, finest)}) for df in sides]
+
+
+def _in_blocks(who: DataFrame, every: DataFrame, k: int, leaf: int, bounds: bool = False) -> tuple[DataFrame, DataFrame] | None:
+    """Places (place_id, x, y) and points (x, y, and more) by BLOCK; None if a side is empty. Both are read often: stored tables.
+
+    A block has its places and all points that can be one of their k nearest, x and y of points as px and py. bounds: places
+    tell their block's bound, as _kept has it.
+    """
+    if not (sides := _squared(every, who)):
+        return None
+    more = [c for c in every.columns if c not in ("x", "y")]
+    every, who = sides
+    most, few = (2 * leaf**2) ** 2, 4 * leaf * k
+    told = ["bound"] if bounds else []
+    left = right = None
+    met = _counted(who, FIRST, "a").crossJoin(_counted(every, FIRST, "b")).withColumn("within", F.lit(None).cast("double"))  # 16 ** FIRST squares each, at most
+    for step in range(FIRST, DEEPEST + 1):
+        held = materialize(_kept(met, k).withColumn("parts", F.ceil(F.col("a_n") * F.col("held") / most).cast("int")), "nearest-held")
+        ready = (F.col("parts") <= 1) | (F.col("held") <= few) | F.lit(step == DEEPEST)
+        n = held.agg(F.count_if(ready).alias("ready"), F.count_if(~ready).alias("open")).first()
+        if n["ready"]:
+            done = held.filter(ready)
+            part = F.pmod(F.xxhash64("place_id", "x", "y"), F.col("parts")).cast("int").alias("part")
+            mine = who.withColumns(_up(step, "ax", "ay")).join(done.select("ax", "ay", "parts", *told).distinct(), ["ax", "ay"])
+            mine = mine.select(F.lit(step).alias("step"), "ax", "ay", part, "place_id", "x", "y", *told)
+            near = every.withColumns(_up(step, "bx", "by")).join(done.select("ax", "ay", "bx", "by", "parts"), ["bx", "by"])
+            near = near.select(F.lit(step).alias("step"), "ax", "ay", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *more, F.col("x").alias("px"), F.col("y").alias("py"))
+            left, right = (mine, near) if left is None else (left.unionByName(mine), right.unionByName(near))
+        if not n["open"]:
+            break
+        above = held.filter(~ready).select("ax", "ay", "bx", "by", F.col("bound").alias("within")).withColumnsRenamed({c: f"up_{c}" for c in ("ax", "ay", "bx", "by")})
+        inside = who.withColumns(_up(step, "up_ax", "up_ay")).join(above.select("up_ax", "up_ay").distinct(), ["up_ax", "up_ay"], "left_semi")
+        below = lambda df, s: df.withColumns({f"up_{s}{c}": F.shiftright(f"{s}{c}", 2) for c in ("x", "y")})
+        met = above.join(below(_counted(inside, step + 1, "a"), "a"), ["up_ax", "up_ay"]).join(below(_counted(every, step + 1, "b"), "b"), ["up_bx", "up_by"])
+    return left, right
 
 
 def _in_block(k: int):
@@ -116,36 +170,10 @@ def nearest_join(places: DataFrame, points: DataFrame, k: int = 1, leaf: int = L
     who = materialize(_at(places.select("place_id", *at)), "nearest-places")
     kinds = (who.schema["place_id"].dataType, T.IntegerType(), every.schema["point_id"].dataType, T.DoubleType())
     out = T.StructType([T.StructField(c, t) for c, t in zip(("place_id", "rank", "point_id", "metres"), kinds)])
-    ends = [df.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first() for df in (every, who)]
-    if any(e[0] is None for e in ends):
+    if not (met := _in_blocks(who, every, k, leaf)):
         return places.sparkSession.createDataFrame([], out)
-    x0, y0, x1, y1 = *(min(e[i] for e in ends) for i in (0, 1)), *(max(e[i] for e in ends) for i in (2, 3))
-    finest = (max(x1 - x0, y1 - y0) or 1.0) * (1 + 1e-9) / 4**DEEPEST
-    every, who = (df.withColumns({"gx": _square("x", x0, finest), "gy": _square("y", y0, finest)}) for df in (every, who))
-
-    most, few = (2 * leaf**2) ** 2, 4 * leaf * k
-    left = right = None
-    met = _counted(who, FIRST, "a").crossJoin(_counted(every, FIRST, "b"))  # 4 ** FIRST squares a side, at most
-    for step in range(FIRST, DEEPEST + 1):
-        held = materialize(_kept(met, k).withColumn("parts", F.ceil(F.col("a_n") * F.col("held") / most).cast("int")), "nearest-held")
-        ready = (F.col("parts") <= 1) | (F.col("held") <= few) | F.lit(step == DEEPEST)
-        n = held.agg(F.count_if(ready).alias("ready"), F.count_if(~ready).alias("open")).first()
-        if n["ready"]:
-            done = held.filter(ready)
-            part = F.pmod(F.xxhash64("place_id", "x", "y"), F.col("parts")).cast("int").alias("part")
-            mine = who.withColumns(_up(step, "ax", "ay")).join(done.select("ax", "ay", "parts").distinct(), ["ax", "ay"])
-            mine = mine.select(F.lit(step).alias("step"), "ax", "ay", part, "place_id", "x", "y")
-            near = every.withColumns(_up(step, "bx", "by")).join(done.select("ax", "ay", "bx", "by", "parts"), ["bx", "by"])
-            near = near.select(F.lit(step).alias("step"), "ax", "ay", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "nth", "point_id", F.col("x").alias("px"), F.col("y").alias("py"))
-            left, right = (mine, near) if left is None else (left.unionByName(mine), right.unionByName(near))
-        if not n["open"]:
-            break
-        above = held.filter(~ready).select("ax", "ay", "bx", "by").withColumnsRenamed({c: f"up_{c}" for c in ("ax", "ay", "bx", "by")})
-        inside = who.withColumns(_up(step, "up_ax", "up_ay")).join(above.select("up_ax", "up_ay").distinct(), ["up_ax", "up_ay"], "left_semi")
-        below = lambda df, s: df.withColumns({f"up_{s}{c}": F.shiftright(f"{s}{c}", 2) for c in ("x", "y")})
-        met = above.join(below(_counted(inside, step + 1, "a"), "a"), ["up_ax", "up_ay"]).join(below(_counted(every, step + 1, "b"), "b"), ["up_bx", "up_by"])
-    block = ("step", "ax", "ay", "part")
-    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(_in_block(k), out)
+    left, right = (df.groupBy(*BLOCK) for df in met)
+    return left.cogroup(right).applyInArrow(_in_block(k), out)
 
 
 def nearest_point(places: DataFrame, points: DataFrame) -> DataFrame:
@@ -160,20 +188,67 @@ def closest_pair(left: DataFrame, right: DataFrame) -> DataFrame:
     return best.filter("best IS NOT NULL").select("best.unit_a", "best.unit_b", "best.metres")
 
 
-def _cut_cells(box: list[geometry.Point]):
-    """Cells of points (x, y) as a box cut by the bisectors with other points (cutters)."""
-
-    @F.arrow_udf(geometry.SHAPE_TYPE)
-    def cut(x: pa.Array, y: pa.Array, cutters: pa.Array) -> pa.Array:
-        out = []
-        for px, py, others in zip(x.to_pylist(), y.to_pylist(), cutters.to_pylist()):
-            ring = [(a - px, b - py) for a, b in box]
-            for a, b in sorted({(o["x"] - px, o["y"] - py) for o in others or []} - {(0.0, 0.0)}, key=lambda p: (p[0] ** 2 + p[1] ** 2, p)):
+def _nearest_first(ring: list[geometry.Point], dx: np.ndarray, dy: np.ndarray) -> list[geometry.Point]:
+    """A convex ring round (0, 0), cut by the bisectors with points (dx, dy), nearest first until none can reach it."""
+    square = dx * dx + dy * dy
+    edge, some = 0.0, min(len(square), LEAF)
+    if some < len(square):
+        first = np.argpartition(square, some - 1)[:some]
+        edge = square[first].max()
+    else:
+        first = np.arange(len(square))
+    for rows in (first, None):
+        if rows is None:
+            if some == len(square):
+                break
+            rows = np.flatnonzero((square >= edge) & (square <= reach))
+        rows = rows[np.lexsort((dy[rows], dx[rows], square[rows]))]
+        reach = 4 * max((p * p + q * q for p, q in ring), default=0.0)
+        for d, a, b in zip(square[rows].tolist(), dx[rows].tolist(), dy[rows].tolist()):
+            if d > reach:
+                return ring
+            if a or b:
                 ring = geometry.clip_half(ring, a, b, (a * a + b * b) / 2)
-            out.append([[[{"x": a + px, "y": b + py} for a, b in ring]]])
-        return pa.array(out, to_arrow_type(geometry.SHAPE_TYPE))
+                reach = 4 * max((p * p + q * q for p, q in ring), default=0.0)
+    return ring
 
-    return cut
+
+def _shapes(rings: list, xs: list, ys: list) -> pa.Array:
+    """Rings round (0, 0) as shapes at their points."""
+    return pa.array([[[[{"x": a + x, "y": b + y} for a, b in ring]]] for ring, x, y in zip(rings, xs, ys)], to_arrow_type(geometry.SHAPE_TYPE))
+
+
+def _cells_in_block(box: list[geometry.Point]):
+    """Cells of a block's places as a box cut by the block's points; final are those that no point beyond the block's bound can reach."""
+
+    def look(places: pa.Table, points: pa.Table) -> pa.Table:
+        px, py = (points.column(c).to_numpy() for c in ("px", "py"))
+        xs, ys, bounds = (places.column(c).to_pylist() for c in ("x", "y", "bound"))
+        rings = [_nearest_first([(a - x, b - y) for a, b in box], px - x, py - y) for x, y in zip(xs, ys)]
+        final = [b is None or 2 * max((math.hypot(*p) for p in ring), default=0.0) <= b for ring, b in zip(rings, bounds)]
+        return pa.table([places.column("place_id"), places.column("x"), places.column("y"), _shapes(rings, xs, ys), pa.array(final, pa.bool_())], names=["point_id", "x", "y", "shape", "final"])
+
+    return look
+
+
+def _ring_of(shape: list, x: float, y: float) -> list[geometry.Point]:
+    """A cell's ring about its own point."""
+    return [(c["x"] - x, c["y"] - y) for c in shape[0][0]]
+
+
+@F.arrow_udf(geometry.SHAPE_TYPE)
+def _cut(x: pa.Array, y: pa.Array, shape: pa.Array, cutters: pa.Array) -> pa.Array:
+    """Cells of points (x, y), cut by the bisectors with other points (cutters) too."""
+    rings, xs, ys = [], x.to_pylist(), y.to_pylist()
+    for px, py, cell, others in zip(xs, ys, shape.to_pylist(), cutters.to_pylist()):
+        at = np.array([(o["x"] - px, o["y"] - py) for o in others or []], dtype=float).reshape(-1, 2)
+        rings.append(_nearest_first(_ring_of(cell, px, py), at[:, 0], at[:, 1]))
+    return _shapes(rings, xs, ys)
+
+
+def _nearer(own: Column | np.ndarray) -> Column | np.ndarray:
+    """A point cuts a corner that is own from its cell's point if it is nearer to it than this."""
+    return own * (1 - 1e-9) - 1e-6
 
 
 def _nearer_to_corners(cells: DataFrame, points: DataFrame) -> DataFrame:
@@ -182,42 +257,85 @@ def _nearer_to_corners(cells: DataFrame, points: DataFrame) -> DataFrame:
     corners = corners.select(F.struct("point_id", "nth").alias("place_id"), "point_id", F.col("corner.x").alias("x"), F.col("corner.y").alias("y"), "ox", "oy")
     found = nearest_join(corners, points).select("place_id", F.col("point_id").alias("cut_by"), "metres")
     own = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
-    return corners.join(found, "place_id").filter(F.col("metres") < own * (1 - 1e-9) - 1e-6).select("point_id", "cut_by").distinct()
-
-
-def cells_by_neighbours(points: DataFrame, start: int = 12) -> DataFrame:
+    return corners.join(found, "place_id").filter(F.col("metres") < _nearer(own)).select("point_id", "cut_by").distinct()
+
+
+def _cutters_in_square(cells: pa.Table, points: pa.Table) -> pa.Table:
+    """(point_id, at): points of a square that cut a cell, one after the other until none does."""
+    px, py = (points.column(c).to_numpy() for c in ("px", "py"))
+    rows, xs, ys = [], [], []
+    for i, (x, y, shape) in enumerate(zip(*(cells.column(c).to_pylist() for c in ("x", "y", "shape")))):
+        ring, qx, qy = _ring_of(shape, x, y), px - x, py - y
+        while len(qx) and len(ring) > 2:
+            v = np.array(ring)
+            gain = (_nearer(np.hypot(v[:, 0], v[:, 1])) - np.hypot(qx[:, None] - v[:, 0], qy[:, None] - v[:, 1])).max(axis=1)
+            if gain.max() <= 0:
+                break
+            a, b = float(qx[gain.argmax()]), float(qy[gain.argmax()])
+            ring = geometry.clip_half(ring, a, b, (a * a + b * b) / 2)
+            rows.append(i)
+            xs.append(a + x)
+            ys.append(b + y)
+            gain[gain.argmax()] = 0
+            qx, qy = qx[gain > 0], qy[gain > 0]  # what does not cut a cell does not cut a part of it
+    at = pa.StructArray.from_arrays([pa.array(xs, pa.float64()), pa.array(ys, pa.float64())], names=["x", "y"])
+    return pa.table([cells.column("point_id").combine_chunks().take(pa.array(rows, pa.int64())), at], names=["point_id", "at"])
+
+
+def _cutters(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """(point_id, more): the points that cut cells (point_id, x, y, shape) further, by the squares that a corner's circle through the cell's own point meets."""
+    every = _squared(points)[0]
+    squares = _counted(every, FIRST, "b").withColumn("parts", F.ceil(F.col("b_n") / LAST_POINTS).cast("int"))
+    off = lambda c, v: F.greatest(F.col(f"b_{c}0") - v[c], v[c] - F.col(f"b_{c}1"), F.lit(0.0))
+    meets = F.exists(F.col("shape")[0][0], lambda v: F.hypot(off("x", v), off("y", v)) < F.hypot(v["x"] - F.col("x"), v["y"] - F.col("y")))
+    asks = cells.crossJoin(F.broadcast(squares)).filter(meets)  # 16 ** FIRST squares, at most
+    asks = asks.select("bx", "by", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "point_id", "x", "y", "shape")
+    part = F.pmod(F.xxhash64("x", "y"), F.col("parts")).cast("int").alias("part")
+    near = every.withColumns(_up(FIRST, "bx", "by")).join(F.broadcast(squares.select("bx", "by", "parts")), ["bx", "by"])
+    near = near.select("bx", "by", part, F.col("x").alias("px"), F.col("y").alias("py"))
+    spot = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x", "y")])
+    out = T.StructType([T.StructField("point_id", cells.schema["point_id"].dataType), T.StructField("at", spot)])
+    block = ("bx", "by", "part")
+    found = asks.groupBy(*block).cogroup(near.groupBy(*block)).applyInArrow(_cutters_in_square, out)
+    return found.groupBy("point_id").agg(F.collect_list("at").alias("more"))
+
+
+def cells_by_neighbours(points: DataFrame, start: int = 12, last: int = LAST_CELLS) -> DataFrame:
     """(point_id, shape): Voronoi cells as geometry.voronoi_cells has them, for any number of points (point_id, x, y).
 
-    A cell is first cut by the points round its own. Each of its corners then asks for the nearest point: if that is nearer
-    than the cell's own point, it cuts the cell further, and new corners ask again; a cell none of whose corners has a nearer
-    point is final, since whatever cuts a convex cell takes off a corner. Every round at least doubles what corners a wrong cell
-    can have, so rounds are few. Points without finite coordinates have no cell.
+    Spots go to tasks in the blocks of a search for their nearest points. A block has every point within its bound, so a
+    cell whose corners are less than half of that away is final: all but those on the rim and beside empty ground. Of
+    the others each corner asks for the nearest point: if that is nearer than the cell's own point, it cuts the cell
+    further, and new corners ask again; a cell none of whose corners has a nearer point is final, since whatever cuts a
+    convex cell takes off a corner. As soon as they are few (last), they meet all that can cut them at once. Points at one
+    spot have the same cell; points without finite coordinates have none.
     """
     points = materialize(_at(points.select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))), "sites")
-    x0, y0, x1, y1 = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    spots = materialize(points.groupBy("x", "y").agg(F.min("point_id").alias("point_id"), F.count("*").alias("n")), "spots")
+    x0, y0, x1, y1, most = spots.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.max("n")).first()
     if x0 is None:
         return points.select("point_id").withColumn("shape", F.lit(None).cast(geometry.SHAPE))
     margin = math.hypot(x1 - x0, y1 - y0) or 1.0
-    cut = _cut_cells([(x0 - margin, y0 - margin), (x1 + margin, y0 - margin), (x1 + margin, y1 + margin), (x0 - margin, y1 + margin)])
-    at = points.select(F.col("point_id").alias("cut_by"), F.struct("x", "y").alias("at"))
-    gathered = lambda pairs: pairs.join(at, "cut_by").groupBy("point_id").agg(F.collect_list("at").alias("more"))
-    near = nearest_join(points.withColumnRenamed("point_id", "place_id"), points, start + 1)
-    near = gathered(near.select(F.col("place_id").alias("point_id"), F.col("point_id").alias("cut_by")))
-    open_ = materialize(points.join(near, "point_id").withColumnRenamed("more", "cutters").withColumn("shape", cut("x", "y", "cutters")), "cells-open")
-    done = []
-    while True:
-        more = materialize(gathered(_nearer_to_corners(open_, points)), "cells-cutters")
-        done.append(open_.join(more, "point_id", "left_anti").select("point_id", "shape"))
-        if more.isEmpty():
+    box = [(x0 - margin, y0 - margin), (x1 + margin, y0 - margin), (x1 + margin, y1 + margin), (x0 - margin, y1 + margin)]
+    at = spots.select("x", "y")
+    left, right = (df.groupBy(*BLOCK) for df in _in_blocks(spots.select(F.col("point_id").alias("place_id"), "x", "y"), at, start + 1, LEAF, bounds=True))
+    kinds = [*spots.select("point_id", "x", "y").schema.fields, T.StructField("shape", geometry.SHAPE_TYPE), T.StructField("final", T.BooleanType())]
+    cells = materialize(left.cogroup(right).applyInArrow(_cells_in_block(box), T.StructType(kinds)), "cells")
+    out, open_ = cells.filter("final").select("point_id", "shape"), cells.filter("NOT final").drop("final")
+    while n := open_.count():
+        if n <= last:
+            more = _cutters(open_, at)
+            out = out.unionByName(materialize(open_.join(more, "point_id", "left").select("point_id", _cut("x", "y", "shape", "more").alias("shape")), "cells-last"))
             break
-        wider = open_.join(more, "point_id").withColumn("cutters", F.array_union("cutters", "more")).drop("more", "shape")
-        open_ = materialize(wider.withColumn("shape", cut("x", "y", "cutters")), "cells-open")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        near = _nearer_to_corners(open_, spots.select("point_id", "x", "y")).join(spots.select(F.col("point_id").alias("cut_by"), F.struct("x", "y").alias("at")), "cut_by")
+        more = materialize(near.groupBy("point_id").agg(F.collect_list("at").alias("more")), "cells-cutters")
+        out = out.unionByName(open_.join(more, "point_id", "left_anti").select("point_id", "shape"))
+        open_ = materialize(open_.join(more, "point_id").select("point_id", "x", "y", _cut("x", "y", "shape", "more").alias("shape")), "cells-open")
+    if most == 1:
+        return out
+    return points.join(spots.select("x", "y", F.col("point_id").alias("first")), ["x", "y"]).join(out.withColumnRenamed("point_id", "first"), "first").select("point_id", "shape")
 
 
-def voronoi_cells(points: DataFrame, in_task: int = geometry.MOST_POINTS) -> DataFrame:
+def voronoi_cells(points: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """(point_id, shape): by all points in each task, where they are few; by neighbours otherwise. The cells are the same."""
     return geometry.voronoi_cells(points) if points.count() <= in_task else cells_by_neighbours(points)
