@@ -4,6 +4,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from zonewright.llm import whitening
@@ -117,3 +118,13 @@ def test_partitions_do_not_matter(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(300)
     a, b = (sorted((r.vec_id, r.component, r.deviation, r.whitened) for r in whiten(df.repartition(n)).collect()) for n in (1, 9))
     assert a == b
+
+
+def test_a_row_has_the_same_digits_in_any_batch():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-300, 300, (200, 64))
+    f = whitening.Fit(200, [int(v) for v in x.sum(axis=0)], 300, 1.0, np.ones(64), np.linalg.qr(rng.normal(size=(64, 64)))[0])
+    rows = pa.record_batch([pa.array(range(200), pa.int64()), pa.array(x.tolist(), pa.list_(pa.int64()))], names=["vec_id", "x"])
+    together = [r for b in whitening._whitened(f, 4)([rows]) for r in b.to_pylist()]
+    alone = [r for b in whitening._whitened(f, 4)(rows.slice(i, 1 + i % 7) for i in range(200)) for r in b.to_pylist()[:1]]
+    assert together == alone

@@ -124,7 +124,7 @@ def _whitened(f: Fit, most: int):
     """Of each row, its deviation and the first `most` components, null for those that do not vary."""
     n, s, dim = f.n, np.array(f.sums, dtype=object), len(f.sums)
     good = usable_components(f, most)
-    turned = f.vectors[:, :good]
+    turned = np.ascontiguousarray(f.vectors[:, :good])
     scale = 1 / np.sqrt(f.values[:good])
     furthest = n * f.largest + max((abs(v) for v in f.sums), default=0)
     plain = furthest < 1 << 62  # n * x - S in longs
@@ -141,7 +141,7 @@ def _whitened(f: Fit, most: int):
                 else:
                     each = (off.astype(object) ** 2).sum(axis=1).tolist()
                     deviation = pa.array([v if v < 1 << 63 else None for v in each], pa.int64())
-                flat = (off / n).astype(np.float64) @ turned * scale
+                flat = np.einsum("ij,jk->ik", (off / n).astype(np.float64), turned) * scale  # a matrix product's last digits vary with the batch
                 whole = [pa.array(flat[:, k]) if k < good else pa.nulls(len(x), pa.float64()) for k in range(min(most, dim))]
                 names = ["vec_id", "deviation", *(f"w{k + 1}" for k in range(len(whole)))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, ROWS), deviation, *whole], names=names)
